@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import line_dedup, packing, quality_rules, secrets
+from citegrid.llm import line_dedup, near_dup, packing, quality_rules, secrets
 from citegrid.llm.shared import table
 
 LLM_QUERIES = {}
@@ -34,3 +34,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@register
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))

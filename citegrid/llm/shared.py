@@ -154,9 +154,9 @@ def shingles(words: np.ndarray, per: np.ndarray, width: int = 5) -> tuple[np.nda
     tail = np.repeat(np.cumsum(per), per) - np.arange(n) < width  # the last width-1 starts of a document have no full run
     keep[tail] = False
     for d in np.flatnonzero(short):  # at most a few words each
-        a = np.uint64(per[d])
-        for w in words[first[d] : first[d] + per[d]]:
-            a = a * _BASE + w
+        a = int(per[d])
+        for w in words[first[d] : first[d] + per[d]].tolist():
+            a = (a * int(_BASE) + w) & 0xFFFFFFFFFFFFFFFF
         acc[first[d]] = mix(np.array([a], np.uint64))[0]
         keep[first[d]] = True
     return acc[keep], counts
