@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citegrid.llm import line_dedup, near_dup, packing, quality_rules, secrets
+from citegrid.llm import decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secrets
 from citegrid.llm.shared import table
 
 LLM_QUERIES = {}
@@ -39,3 +40,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.transform("leaks", lambda x: x["item_id"])
+    return found.select("doc_id", F.size("leaks").cast("bigint").alias("n_items"), F.sort_array(items).alias("item_ids"), (F.size("leaks") > 0).alias("contaminated"))
