@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrid.llm import decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secrets
+from citegrid.llm import ctw, decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secrets
 from citegrid.llm.shared import table
 
 LLM_QUERIES = {}
@@ -52,3 +52,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.transform("leaks", lambda x: x["item_id"])
     return found.select("doc_id", F.size("leaks").cast("bigint").alias("n_items"), F.sort_array(items).alias("item_ids"), (F.size("leaks") > 0).alias("contaminated"))
+
+
+@register
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
