@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrid.llm import ctw, decontaminate, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, suffix_dedup
+from citegrid.llm import ctw, decontaminate, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, suffix_dedup
 from citegrid.llm.shared import table
 
 LLM_QUERIES = {}
@@ -62,3 +62,8 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@register
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
