@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = r"(?i)licen[cs]e|copyright|permission is hereby|redistribut|warrant|spdx|all rights reserved|public domain|creative commons|\bCC (?:BY|0)"
-#: Lines between two vocabulary lines of one block at most; templates that are confirmed per block, in rank order.
-GAP, TRIED = 2, 4
+#: Lines between two vocabulary lines of one block at most.
+GAP = 2
 SHARE = 0.85
 
 
@@ -124,15 +124,11 @@ class Scanner:
         out: list[dict] = []
         for begin, block in self.blocks(text):
             taken: list[tuple[int, int]] = []
-            tries = 0
             for saved, k in self.ranked(block):
                 hits = [h for h in self.confirm(block, k) if not any(h[0] < e and s < h[1] for s, e in taken)]
                 for s, e, missing, added in hits:
                     taken.append((s, e))
                     out.append({"license": self.templates[k].license, "start": begin + s, "end": begin + e, "saved": saved, "missing": missing, "added": added})
-                tries += not hits
-                if tries >= TRIED and taken:
-                    break
         return sorted(out, key=lambda x: (x["start"], x["end"]))
 
 
