@@ -80,14 +80,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Every input row comes out once, with all its columns; a text that loses everything is empty. Null text stays null.
     Rows with a null id neither lose lines nor count as copies. Rows that repeat an id with the same text are one
     document; with other texts each is judged by its own. Ties: the first place has the least id, then the least line. An
-    empty table gives no rows. Columns of the input may have any names but __id, __hash and removed_spans.
+    empty table gives no rows. Columns of the input may have any names but __id, __hash, __id2, __hash2, __spans and removed_spans.
     """
-    gone = repeated_chunks(docs, id_col=id_col, text_col=text_col, modulus=modulus)
+    gone = repeated_chunks(docs, id_col=id_col, text_col=text_col, modulus=modulus).withColumnRenamed("spans", "__spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     left = docs.withColumns({"__id2": F.col(id_col), "__hash2": F.xxhash64(text)})
     joined = left.join(gone.hint("shuffle_hash"), (F.col("__id2") == F.col("__id")) & (F.col("__hash2") == F.col("__hash")), "left")
-    columns = [_without(F.col(f"`{c}`"), F.col("spans")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns, F.col("spans").alias("removed_spans"))
+    columns = [_without(F.col(f"`{c}`"), F.col("__spans")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, F.col("__spans").alias("removed_spans"))
 
 
 def digest(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
