@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from citegrid.functions.text import plain
 
-ZERO = F.lit(0.0)
-
 
 def mean_or_zero(c: Column) -> Column:
     return F.coalesce(F.avg(c), F.lit(0.0))
@@ -61,7 +59,7 @@ def column_productivity(papers: DataFrame, column: str, label: str) -> DataFrame
 def _counted(rows: DataFrame, label: str) -> DataFrame:
     return (
         rows.groupBy(label)
-        .agg(F.count(F.lit(1)).alias("publications"), F.sum("cited").cast("bigint").alias("citations"), F.coalesce(F.sum("citation_rate"), ZERO).alias("total_rate"), mean_or_zero(F.col("citation_rate")).alias("mean_rate"))
+        .agg(F.count(F.lit(1)).alias("publications"), F.sum("cited").cast("bigint").alias("citations"), F.coalesce(F.sum("citation_rate"), F.lit(0.0)).alias("total_rate"), mean_or_zero(F.col("citation_rate")).alias("mean_rate"))
         .orderBy(F.desc("publications"), F.desc("citations"), F.asc(label))
     )
 
@@ -112,7 +110,7 @@ def annual_counts(papers: DataFrame) -> DataFrame:
 
 
 def annual_rates(papers: DataFrame) -> DataFrame:
-    return papers.filter(F.col("year").isNotNull()).groupBy(F.col("year").cast("int").alias("year")).agg(F.coalesce(F.sum("citation_rate"), ZERO).alias("total_rate"), F.avg("citation_rate").alias("mean_rate")).orderBy("year")
+    return papers.filter(F.col("year").isNotNull()).groupBy(F.col("year").cast("int").alias("year")).agg(F.coalesce(F.sum("citation_rate"), F.lit(0.0)).alias("total_rate"), F.avg("citation_rate").alias("mean_rate")).orderBy("year")
 
 
 def zero_filled(table: DataFrame, year: str, values: list[str], until: int | None = None) -> DataFrame:
@@ -142,7 +140,7 @@ def open_access_summary(papers: DataFrame) -> DataFrame:
     joined = sides.join(stats, "open", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in stats.columns if c != "open"}
     total = F.sum(zero["publications"]).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    share = F.coalesce(F.try_divide(100.0 * zero["publications"], total), ZERO)
+    share = F.coalesce(F.try_divide(100.0 * zero["publications"], total), F.lit(0.0))
     return joined.select("status", zero["publications"].alias("publications"), share.alias("share"), *[v.alias(c) for c, v in zero.items() if c != "publications"])
 
 
@@ -163,7 +161,7 @@ def open_access_by_entity(papers: DataFrame, entities: str, label: str) -> DataF
             F.count_if(side).alias(f"{name}_publications"),
             F.coalesce(F.sum(F.when(side, F.col("cited"))), F.lit(0)).cast("bigint").alias(f"{name}_citations"),
             F.avg(F.when(side, F.col("cited"))).alias(f"{name}_mean_citations"),
-            F.coalesce(F.sum(F.when(side, F.col("citation_rate"))), ZERO).alias(f"{name}_total_rate"),
+            F.coalesce(F.sum(F.when(side, F.col("citation_rate"))), F.lit(0.0)).alias(f"{name}_total_rate"),
             F.avg(F.when(side, F.col("citation_rate"))).alias(f"{name}_mean_rate"),
         ]
     t = rows.groupBy(label).agg(*aggs)
@@ -215,7 +213,7 @@ def describe(table: DataFrame, metrics: list[str], labels: dict[str, str]) -> Da
     """
     values = table.select(*[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
     values = values.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs(F.col("value")) < F.lit(float("inf"))))
-    stats = values.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.coalesce(F.stddev_samp("value"), ZERO).alias("deviation"), F.min("value").alias("least"), F.max("value").alias("most"))
+    stats = values.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("deviation"), F.min("value").alias("least"), F.max("value").alias("most"))
     return stats.select(*[F.lit(v).alias(k) for k, v in labels.items()], *stats.columns)
 
 

@@ -303,7 +303,7 @@ def cluster(work: DataFrame, compared: DataFrame, dataset: str, decisions: DataF
     linked = as_graph.select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
     comp = (components or label_components)(as_graph, linked).select(F.col("entity").cast("bigint").alias("k_order"), F.col("component").alias("c"))
     rows = work.select("k_order", "k_doi", "k_title", "k_year", "k_venue", "k_notice", "k_first", "k_signature", "k_complete").join(comp, "k_order")
-    own = edges.join(comp.select(F.col("k_order").alias("first"), "c"), "first")
+    own = edges.join(comp.select(F.col("k_order").alias("first"), F.col("c").alias("edge_c")), "first")
     def identify(a, b) -> str:
         sign = lambda r: "|".join([r.k_doi, r.k_title, r.k_year, r.k_venue, ",".join(r.k_signature)])
         return hashlib.sha1((dataset + "||" + "||".join(sorted([sign(a), sign(b)]))).encode()).hexdigest()[:20]
@@ -324,7 +324,7 @@ def cluster(work: DataFrame, compared: DataFrame, dataset: str, decisions: DataF
         return pd.DataFrame(out, columns=["k_order", "kept", "forced", "pair_id", "first", "second", "status", "suggestion"]).astype({"k_order": "Int64", "kept": "Int64", "first": "Int64", "second": "Int64"})
 
     schema = "k_order bigint, kept bigint, forced string, pair_id string, first bigint, second bigint, status string, suggestion string"
-    resolved = rows.groupBy("c").cogroup(own.groupBy("c")).applyInPandas(resolve, schema)
+    resolved = rows.groupBy("c").cogroup(own.groupBy("edge_c")).applyInPandas(resolve, schema)
     found = resolved.filter("k_order is not null").select("k_order", "kept", "forced")
     clusters = work.select("k_order").join(found, "k_order", "left").select("k_order", F.coalesce("kept", "k_order").alias("kept"), F.coalesce("forced", F.lit("")).alias("forced"))
     return clusters, resolved.filter("k_order is null").select("pair_id", "first", "second", "status", "suggestion")
