@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from citegrid.llm.shared import _SPACE, cut, mix, span_hashes, text_blocks, word_spans
 
-#: Labelled rows that a fit may see; those with the least hash of their id.
-SAMPLE = 40_000
+#: Labelled rows that a fit may see; those with the least hash of their id. The driver holds about 10 KB for each.
+SAMPLE = 8_000
 BUCKETS = 1 << 18
 STEMS = (5, 6)
 STATS = 10
@@ -204,12 +204,10 @@ def fit(bucket: np.ndarray, doc: np.ndarray, stats: np.ndarray, labels: np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled documents: the share of ids with the least hashes that is expected to fit."""
+    """Fit on at most `sample` labelled documents, those with the least hashes of their ids; the bound makes their ids a safe broadcast."""
     known = labels.filter(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
-    n = known.count()
-    part = known if n <= sample else known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1e6 * 0.95 * sample / n))
-    part = part.select(F.col(id_col).alias("__id"), "quality", "toxic")
-    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t")).join(part.hint("shuffle_hash"), "__id").select("t", "quality", "toxic")
+    part = known.orderBy(F.xxhash64(id_col), id_col, "quality", "toxic").limit(sample).select(F.col(id_col).alias("__id"), "quality", "toxic")
+    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(part), "__id").select("t", "quality", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, 0):
@@ -221,10 +219,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     rows = joined.mapInArrow(run, f"f binary, s array<double>, q {labels.schema['quality'].dataType.simpleString()}, x {labels.schema['toxic'].dataType.simpleString()}").toArrow()
     if not rows.num_rows:
         return Model(np.zeros(BUCKETS), np.zeros(STATS), 4.0, np.zeros(STATS), np.ones(STATS), np.zeros(BUCKETS), np.array([-4.0, 0, 0, 0, 0]))
-    lists = [np.frombuffer(x, "<i4") for x in rows["f"].to_pylist()]
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    sizes = np.array([len(x) for x in rows["f"].to_pylist()], np.int64) // 4
+    bucket = np.frombuffer(b"".join(rows["f"].to_pylist()), "<i4")
     target = np.stack([np.array(rows[c].to_pylist(), float) for c in ("q", "x")], axis=1)
-    return fit(np.concatenate(lists).astype(np.int64), doc, np.array(rows["s"].to_pylist()), target)
+    stats = np.array(rows["s"].to_pylist())
+    del rows
+    return fit(bucket, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), stats, target)
 
 
 def evidence(docs: DataFrame, model: Model, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
