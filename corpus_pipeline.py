@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegrid.llm import decontaminate, line_dedup, near_dup, packing, quality_model
-from citegrid.llm.shared import cut, table
+from citegrid.llm.shared import cut, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
+    small_batches(spark)
     return near_dup.keep_one(docs)
 
 
@@ -36,6 +37,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts that are left, as pieces of token sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
