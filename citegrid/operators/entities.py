@@ -100,7 +100,7 @@ def tick_values(maximum: Column) -> Column:
 def plot_value(value: Column, kind: str = "int") -> Column:
     """Text beside a bar: empty for null; integers rounded half to even, decimals to two places without closing zeros."""
     if kind == "float":
-        return F.coalesce(F.regexp_replace(F.regexp_replace(F.format_string("%.2f", value), "0+$", ""), "\\.$", ""), F.lit(""))
+        return F.when(value.isNull(), "").otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.2f", value), "0+$", ""), "\\.$", ""))
     return F.coalesce(F.bround(value, 0).cast("bigint").cast("string"), F.lit(""))
 
 
