@@ -41,7 +41,7 @@ def test_keys(spark):
 
 def test_affiliations(spark):
     found = one(spark, T.affiliations, "\"Dept A ,, Uni B\"; ; City, Land |")
-    assert [(a.raw_affiliation, a.components) for a in found] == [("Dept A, Uni B", ["Dept A", "Uni B"]), ("City, Land", ["City", "Land"])]
+    assert [(a.raw_affiliation, a.components) for a in found] == [("Dept A,  Uni B", ["Dept A", "Uni B"]), ("City, Land", ["City", "Land"])]
 
 
 def test_flags(spark):
