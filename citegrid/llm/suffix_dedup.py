@@ -125,11 +125,18 @@ def _reduced(names: np.ndarray, letters: int) -> np.ndarray:
     if letters <= BUCKETS:
         return suffix_array(names.astype(np.uint16), letters)
     rank, step, n = names + 1, 1, len(names)
+    bits = np.uint64(n.bit_length())
     while True:
-        pair = rank.astype(np.uint64) << np.uint64(32)
-        pair[: n - step] |= rank[step:].astype(np.uint64)
-        order = np.argsort(pair, kind="stable")
-        new = np.concatenate(([1], 1 + np.cumsum(pair[order][1:] != pair[order][:-1])))
+        second = np.zeros(n, np.uint64)
+        second[: n - step] = rank[step:]
+        if 3 * int(bits) <= 64:  # both ranks and the place fit one number: sorting numbers is much faster than sorting places
+            key = np.sort((rank.astype(np.uint64) << (bits + bits)) | (second << bits) | np.arange(n, dtype=np.uint64))
+            order, pair = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), key >> bits
+        else:
+            key = (rank.astype(np.uint64) << np.uint64(32)) | second
+            order = np.argsort(key, kind="stable")
+            pair = key[order]
+        new = np.concatenate(([1], 1 + np.cumsum(pair[1:] != pair[:-1])))
         rank = np.zeros(n, np.int64)
         rank[order] = new
         step *= 2
@@ -240,6 +247,13 @@ def group_minima(pieces: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np
     return out[starts], upto - number
 
 
+def _five(raw: bytes) -> np.ndarray:
+    """Numbers of five bytes each."""
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.reshape(-1).view("<u8")
+
+
 def _shares(docs: DataFrame, shards: int) -> DataFrame:
     """id, tag, lows: least hashes that each document shares with another one (packed), several rows per document."""
 
@@ -260,8 +274,8 @@ def _shares(docs: DataFrame, shards: int) -> DataFrame:
                 v, d = low[edges[s] : edges[s + 1]], doc[edges[s] : edges[s + 1]]
                 at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
                 many = np.diff(np.concatenate((at, [len(d)])))
-                halves = v.astype("<u8").view("<u2").reshape(-1, 4)[:, :3]  # 48 bits; the other 16 chose the shard
-                bodies.append(np.array([len(at), len(v)], "<i8").tobytes() + ids[d[at]].astype("<i8").tobytes() + tags[d[at]].astype("<u4").tobytes() + many.astype("<u4").tobytes() + np.ascontiguousarray(halves).tobytes())
+                low5 = v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits; 16 others chose the shard
+                bodies.append(np.array([len(at), len(v)], "<i8").tobytes() + ids[d[at]].astype("<i8").tobytes() + tags[d[at]].astype("<u4").tobytes() + many.astype("<u4").tobytes() + np.ascontiguousarray(low5).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(bodies, pa.binary())], ["shard", "body"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +288,10 @@ def _shares(docs: DataFrame, shards: int) -> DataFrame:
                 ids.append(np.frombuffer(raw, "<i8", d, 16))
                 tags.append(np.frombuffer(raw, "<u4", d, 16 + 8 * d))
                 many.append(np.frombuffer(raw, "<u4", d, 16 + 12 * d))
-                values.append(np.frombuffer(raw, "<u2", 3 * n, 16 + 16 * d))
+                values.append(np.frombuffer(raw, np.uint8, 5 * n, 16 + 16 * d))
             ids, tags, many = np.concatenate(ids), np.concatenate(tags), np.concatenate(many).astype(np.int64)
-            wide = np.zeros((int(many.sum()), 4), "<u2")
-            wide[:, :3] = np.concatenate(values).reshape(-1, 3)
+            wide = np.zeros((int(many.sum()), 8), np.uint8)
+            wide[:, :5] = np.concatenate(values).reshape(-1, 5)
             value = wide.reshape(-1).view("<u8")
             # values of one document are distinct, so a value with two entries of different ids is shared
             row = np.repeat(np.arange(len(ids)), many)
@@ -290,7 +304,8 @@ def _shares(docs: DataFrame, shards: int) -> DataFrame:
             value, row = value[shared], row[shared]
             at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
             stop = np.concatenate((at[1:], [len(row)]))
-            packed = [value[a:b].tobytes() for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
+            raw5 = np.ascontiguousarray(value.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+            packed = [raw5[5 * a : 5 * b] for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(ids[row[at]]), pa.array(tags[row[at]].astype(np.int64)), pa.array(packed, pa.binary())], ["id", "tag", "lows"])
 
         for batch in batches:
@@ -311,17 +326,20 @@ def _intervals(with_lows: DataFrame, shards: int) -> DataFrame:
     """id, tag, spans (packed pairs of u4: first byte, end): what goes, several rows per document. Rows: id, tag, t, lows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
         for block in text_blocks(batches, 2, BLOCK):
             low, first, number, doc = runs_of(block)
             if not len(low):
                 continue
             ids, tags = np.asarray(block.rows.column(0)), np.asarray(block.rows.column(1)).astype(np.int64)
-            wanted = [np.frombuffer(b"".join(x), "<u8") for x in block.rows.column(3).to_pylist()]
+            wanted = [_five(b"".join(x)) if x else None for x in block.rows.column(3).to_pylist()]
             edges = np.searchsorted(doc, np.arange(len(block) + 1))
             keep = np.zeros(len(low), bool)
             for d, want in enumerate(wanted):
-                if len(want):
-                    keep[edges[d] : edges[d + 1]] = np.isin(low[edges[d] : edges[d + 1]] & np.uint64(0xFFFFFFFFFFFF), want)
+                if want is not None:
+                    keep[edges[d] : edges[d + 1]] = np.isin(low[edges[d] : edges[d + 1]] & np.uint64(0xFFFFFFFFFF), want)
             low, first, number, doc = low[keep], first[keep], number[keep], doc[keep]
             to = (mix(low) % np.uint64(shards)).astype(np.int64)
             raw = block.buf.tobytes()
@@ -342,11 +360,13 @@ def _intervals(with_lows: DataFrame, shards: int) -> DataFrame:
                     tags[doc[rows]].astype("<u4"),
                     places[rows].astype("<u4"),
                 ]
-                bodies.append(b"".join([*(p.tobytes() for p in parts), *pieces]))
+                bodies.append(b"".join([*(p.tobytes() for p in parts), packer.compress(b"".join(pieces))]))
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(bodies, pa.binary())], ["shard", "body"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, table = None, {}
+        import zstandard
+
+        now, table, unpacker = None, {}, zstandard.ZstdDecompressor()
 
         def take(raw: bytes) -> None:
             p, n = np.frombuffer(raw, "<i8", 2).tolist()
@@ -357,11 +377,11 @@ def _intervals(with_lows: DataFrame, shards: int) -> DataFrame:
             lens, many = np.frombuffer(raw, "<u4", p, at).tolist(), np.frombuffer(raw, "<u4", p, at + 4 * p)
             at += 8 * p
             tags, places = np.frombuffer(raw, "<u4", n, at), np.frombuffer(raw, "<u4", n, at + 4 * n)
-            at += 8 * n
+            text, at = unpacker.decompress(raw[at + 8 * n :]), 0
             ends = np.cumsum(many).tolist()
             begin = 0
             for v, m, end in zip(low, lens, ends, strict=True):
-                table.setdefault((v, raw[at : at + m]), []).append((ids[begin:end], tags[begin:end], places[begin:end]))
+                table.setdefault((v, text[at : at + m]), []).append((ids[begin:end], tags[begin:end], places[begin:end]))
                 at += m
                 begin = end
 
@@ -437,7 +457,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         shards = int(min(max(rows.rdd.getNumPartitions(), 12), 1 << 12))
     named = rows.filter(F.col("id").isNotNull())
     lows = _shares(named, shards).groupBy("id", "tag").agg(F.collect_list("lows").alias("lows"))
-    candidates = rows.join(lows.hint("shuffle_hash"), ["id", "tag"]).select("id", "tag", "t", "lows")
+    # both joins are outer ones over the same rows, so the texts are exchanged once for the two of them
+    candidates = rows.join(lows.hint("shuffle_hash"), ["id", "tag"], "left").select("id", "tag", F.when(F.col("lows").isNotNull(), F.col("t")).alias("t"), "lows")
     gone = _intervals(candidates, 8 * shards).groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
