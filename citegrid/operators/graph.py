@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrid.operators.entities import distinct_entities
+from citegrid.operators.lineage import checkpointed
 
 MOST_NODES = 2000
 
@@ -74,19 +75,13 @@ def density(e: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(e: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
     """entity, component, component_size: numbered by size, then by least name. Labels jump to their label's label."""
-    spark = e.sparkSession
-    has_dir = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    if not has_dir:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/citegrid-checkpoints")
-    both = both_ways(e).select(F.col("src").alias("entity"), "dst")
-    labels = nodes.select("entity", F.col("entity").alias("label"))
+    both = checkpointed(both_ways(e).select(F.col("src").alias("entity"), "dst"))
+    labels = checkpointed(nodes.select("entity", F.col("entity").alias("label")))
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("entity").alias("dst"), "label"), "dst").groupBy("entity").agg(F.min("label").alias("m"))
         moved = labels.join(near, "entity", "left").select("entity", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("l"))
         jump = labels.select(F.col("entity").alias("l"), F.col("label").alias("far"))
-        new = moved.join(jump, "l").select("entity", "old", F.least("l", "far").alias("label")).checkpoint()
+        new = checkpointed(moved.join(jump, "l").select("entity", "old", F.least("l", "far").alias("label")))
         labels = new.select("entity", "label")
         if not new.filter("label != old").limit(1).count():
             break
@@ -97,9 +92,10 @@ def components(e: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFra
 
 def pagerank(e: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """entity, pagerank by power iteration over weighted edges; nodes without edges spread their rank evenly."""
-    links = both_ways(e).select("src", "dst", "weight")
+    nodes = checkpointed(nodes.select("entity"))
+    links = checkpointed(both_ways(e).select("src", "dst", "weight"))
     out = links.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
+    share = checkpointed(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
     n = nodes.count()
     if not n:
         return nodes.select("entity", F.lit(None).cast("double").alias("pagerank"))
@@ -117,7 +113,7 @@ def pagerank(e: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int
             new, spread = new.join(F.broadcast(total), how="cross"), F.coalesce("s", F.lit(0.0)) / n  # one row
         ranks = new.select("entity", ((1 - damping) / n + damping * (F.coalesce("g", F.lit(0.0)) + spread)).alias("r"))
         if k % 5 == 4:
-            ranks = ranks.checkpoint()
+            ranks = checkpointed(ranks)
     return ranks.select("entity", F.col("r").alias("pagerank"))
 
 
@@ -331,7 +327,7 @@ def graph_measures(e: DataFrame, nodes: DataFrame) -> DataFrame:
 def ranked_network(papers: DataFrame, paper_id: str, entities: str, table: DataFrame, label: str, selected: DataFrame, per_node: int) -> dict[str, DataFrame]:
     """ranking, summary and displayed edges of the graph of the selected entities (columns entity, selection_rank)."""
     nodes = selected.select("entity").distinct()
-    e = edges(papers, paper_id, entities, nodes).checkpoint() if papers.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else edges(papers, paper_id, entities, nodes)
+    e, nodes = checkpointed(edges(papers, paper_id, entities, nodes)), checkpointed(nodes)
     comp = components(e, nodes)
     metrics = table.select(F.col(label).alias("entity"), "publications", "citations", "total_rate", "mean_rate")
     rows = selected.join(metrics, "entity", "left").na.fill(0).join(node_strength(e, nodes), "entity").join(node_measures(e, nodes), "entity").join(pagerank(e, nodes), "entity").join(comp, "entity")

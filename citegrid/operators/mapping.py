@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citegrid.functions import text as T
 from citegrid.functions.similarity import component_metrics, token_sort_ratio
+from citegrid.operators.lineage import checkpointed
 
 #: Words too common in component names to block on.
 GENERIC_BLOCKS = ("university", "department", "of", "and", "the", "for", "hospital", "institute", "center", "centre", "school", "faculty", "college", "medical", "medicine", "research", "national", "sciences", "science")
@@ -22,10 +23,14 @@ def rules(table: DataFrame, variant: str = "Variant", canonical: str = "Canonica
 
 def chains(rule: DataFrame, most: int = 64) -> DataFrame:
     """variant, canonical with every chain followed to its end; a cycle is an error. Paths double each round."""
+    rule = checkpointed(rule)
     step = rule.filter("variant != canonical").select("variant", "canonical")
     for _ in range(most.bit_length()):
         far = step.select(F.col("variant").alias("canonical"), F.col("canonical").alias("next"))
-        step = step.join(far, "canonical", "left").select("variant", F.coalesce("next", "canonical").alias("canonical"))
+        new = checkpointed(step.join(far, "canonical", "left").select("variant", F.coalesce("next", "canonical").alias("canonical"), F.col("next").isNotNull().alias("moved")))
+        step = new.select("variant", "canonical")
+        if not new.filter("moved").limit(1).count():
+            break
     cyclic = F.raise_error(F.concat(F.lit("circular mapping at "), F.col("variant"))).cast("string")
     ends = step.join(rule.filter("variant != canonical").select(F.col("variant").alias("canonical"), F.lit(True).alias("open")), "canonical", "left")
     done = ends.select("variant", F.when(F.coalesce("open", F.lit(False)), cyclic).otherwise(F.col("canonical")).alias("canonical"))
