@@ -31,7 +31,7 @@ from citegrid.llm.shared import mix, text_blocks
 WIDTH, GRAM = 50, 20
 WINDOW = WIDTH - GRAM + 1
 #: Bytes of pieces that one suffix array covers at most, unless a single least hash has more.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 1 << 19
 BLOCK = 8 << 20
 #: Names up to which a reduced string is sorted by bucket passes.
 BUCKETS = 512
