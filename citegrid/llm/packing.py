@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOCUMENT_CUT, SENTENCE_CUT, HARD_CUT = 0.0, 4.0, 16.0
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 SOLVE_TOKENS = 1 << 19
 GRID = 16
 STOPS, CLOSING = (".", "!", "?", "\u2026", "\u3002"), "\"')]\u00bb\u201d"
@@ -66,11 +66,21 @@ class Ragged:
     """Lists of ids one after another; item k is ids[offsets[k] : offsets[k] + lens[k]]."""
 
     def __init__(self) -> None:
-        self.ids, self.offsets, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.offsets, self.lens = np.zeros(1024, np.uint32), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.n_ids = self.n_items = 0
 
     def extend(self, flat: np.ndarray, lens: np.ndarray) -> None:
-        self.offsets = np.concatenate((self.offsets, len(self.ids) + np.cumsum(lens) - lens))
-        self.ids, self.lens = np.concatenate((self.ids, flat)), np.concatenate((self.lens, lens))
+        """Append items; capacity doubles, so growing costs the same per item at any size."""
+        to_ids, to_items = self.n_ids + len(flat), self.n_items + len(lens)
+        if to_ids > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(to_ids, 2 * len(self.ids)) - len(self.ids), np.uint32)))
+        if to_items > len(self.lens):
+            more = np.zeros(max(to_items, 2 * len(self.lens)) - len(self.lens), np.int64)
+            self.offsets, self.lens = np.concatenate((self.offsets, more)), np.concatenate((self.lens, more))
+        self.ids[self.n_ids : to_ids] = flat
+        self.offsets[self.n_items : to_items] = self.n_ids + np.cumsum(lens) - lens
+        self.lens[self.n_items : to_items] = lens
+        self.n_ids, self.n_items = to_ids, to_items
 
     def gather(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all items in order, and the number of them per item."""
@@ -163,6 +173,16 @@ class WordEncoder:
         return out, per, stop
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker; it keeps its caches from task to task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def plan_cuts(positions: list[int], penalties: list[float], length: int) -> list[int]:
     """Positions (first 0, last the stream's end) at which the cheapest plan cuts. Neighbours are at most `length` apart."""
     m = len(positions)
@@ -291,7 +311,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = WordEncoder(resolve_tokenizer(tokenizer))
+        encoder = word_encoder(resolve_tokenizer(tokenizer))
         packer = Packer(length, TaskContext.get().partitionId() << 36, cut_costs)
         sent: dict[object, np.ndarray] = {}
 
