@@ -5,13 +5,14 @@
 2.  Several trees order the nodes by their signature, each starting at another place. Nodes whose first two values agree
     are a region of that tree; regions of one node are dropped by a count on narrow rows. The rest is range-partitioned
     and sorted by (region, rest of the signature), so a crowded region spreads over tasks, and nodes with the longest
-    common prefixes are neighbours. A region is looked at whole up to SLICE nodes; a larger one goes deeper: it is taken
-    in slices of its sorted order that overlap. Pairs that agree on too few values to be similar are not candidates.
-3.  Candidates are verified on the full sets in two steps. First each node's smallest and most similar partner, which
-    contracts groups of copies to few components with a number of pairs in proportion to the nodes. Then every slice in
-    which candidates still lie in different components is settled as a whole: the sets of the nodes concerned come
-    together once per slice, an inverted index gives all their intersections, and only links that join components leave.
-    No pair of nodes becomes a row, however large a group is, and nothing is capped.
+    common prefixes are neighbours. Pairs that agree on too few values to be similar are not candidates.
+3.  Candidates are verified on the full sets in two steps. First, in slices of the sorted order, each node's smallest and
+    most similar partner, which contracts groups of copies to few components with a number of pairs in proportion to the
+    nodes. Then every region that still has different components is compared whole: up to SLICE nodes in one cell, a
+    larger one in blocks of half a SLICE, each block against itself and every other in a cell of its own. Where
+    candidates of a cell lie in different components, the sets of the nodes concerned come together once per cell, all
+    their intersections are counted, and only links that join components leave. No pair of nodes becomes a row and
+    nothing is capped; the cells of a crowded region that does not contract grow with the square of its nodes.
 
 At similarity 0.75, twenty trees of depth two miss a pair with probability (1 - 0.75**2)**20 < 1e-7.
 """
@@ -79,21 +80,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """key, ord, node, for each tree in which the node shares its region. ord: the rest of the signature, in the tree's order."""
+    """key, ord, node, t and the region's nodes n, for each tree in which the node shares its region. ord: the rest of the
+    signature, in the tree's order."""
     wide = 4 * DEPTH
     trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("t")
     narrow = nodes.select("node", "sig", trees).select("node", F.xxhash64("t", F.expr(f"substring(sig, {wide} * t + 1, {wide})")).alias("key"), "t")
-    crowded = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    crowded = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     kept = narrow.join(crowded, "key")
     order = F.expr(f"concat(substring(sig, {wide} * t + 1), substring(sig, 1, {wide} * t))")
-    return kept.join(nodes.select("node", "sig"), "node").select("key", order.alias("ord"), "node", "t")
+    return kept.join(nodes.select("node", "sig"), "node").select("key", order.alias("ord"), "node", "t", "n")
 
 
-def _agreements(sig: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Numbers of equal values between rows a..b and all rows."""
-    out = np.zeros((b - a, len(sig)), np.uint8)
+def _agreements(sig: np.ndarray, a: int, b: int, base: int = 0) -> np.ndarray:
+    """Numbers of equal values between rows a..b and all rows from base."""
+    out = np.zeros((b - a, len(sig) - base), np.uint8)
     for p in range(sig.shape[1]):
-        out += sig[a:b, p, None] == sig[None, :, p]
+        out += sig[a:b, p, None] == sig[None, base:, p]
     return out
 
 
@@ -114,33 +116,76 @@ def _propose(nodes: np.ndarray, labels: np.ndarray, sig: np.ndarray) -> list[np.
     return out
 
 
-def _concerned(labels: np.ndarray, sig: np.ndarray, tree: int) -> np.ndarray:
-    """Nodes of one slice with a candidate in another component that no earlier tree has in one region with them."""
+def _concerned(labels: np.ndarray, sig: np.ndarray, tree: int, first: int) -> np.ndarray:
+    """Nodes of one cell with a candidate in another component that no earlier tree has in one region with them.
+
+    The earlier tree compares that pair itself, because regions are compared whole. The first rows are one block and meet
+    the others; if they are all, they meet each other.
+    """
     hit = np.zeros(len(labels), bool)
-    for at in range(0, len(labels), 128):
-        to = min(at + 128, len(labels))
-        near = (_agreements(sig, at, to) >= AGREE) & (labels[at:to, None] != labels[None, :])
+    base = first if first < len(labels) else 0
+    for at in range(0, first, 128):
+        to = min(at + 128, first)
+        near = (_agreements(sig, at, to, base) >= AGREE) & (labels[at:to, None] != labels[None, base:])
         for t in range(tree):
             if not near.any():
                 break
             same = np.ones_like(near)
             for k in range(DEPTH * t, DEPTH * (t + 1)):
-                same &= sig[at:to, k, None] == sig[None, :, k]
+                same &= sig[at:to, k, None] == sig[None, base:, k]
             near &= ~same
         hit[at:to] |= near.any(1)
-        hit |= near.any(0)
+        hit[base:] |= near.any(0)
     return np.flatnonzero(hit)
 
 
+def _signatures_of(ords: pa.Array, tree: np.ndarray) -> np.ndarray:
+    """Signatures in one order again, from each tree's order."""
+    raw = np.frombuffer(b"".join(ords.to_pylist()), ">u4").astype(np.uint32).reshape(len(ords), VALUES)
+    return raw[np.arange(len(raw))[:, None], (np.arange(VALUES)[None, :] - DEPTH * tree[:, None]) % VALUES]
+
+
+def _celled(rows: DataFrame) -> DataFrame:
+    """rows (key, ord, node, label, t, n) with cell and side, once for each cell of the region that the node is in.
+
+    A region of up to SLICE nodes is one cell. The nodes of a larger one are dealt to blocks by hash, and each two blocks
+    are a cell, as is each block alone; side tells its two blocks apart.
+    """
+    blocks = F.when(F.col("n") <= SLICE, 1).otherwise(F.ceil(F.col("n") * 2 / SLICE)).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return met.select(cell.alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"), "ord", "node", "label", "t")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """(nodes, labels, signatures, tree, rows of the first side) of each cell, from rows sorted by (cell, side)."""
+    rest: tuple[np.ndarray, ...] | None = None
+
+    def one(rows: tuple[np.ndarray, ...], a: int, b: int):
+        return rows[2][a:b], rows[3][a:b], rows[4][a:b], int(rows[5][a]), int((rows[1][a:b] == 0).sum())
+
+    for batch in batches:
+        tree = np.asarray(batch.column(5)).astype(np.int64)
+        rows = (*(np.asarray(batch.column(k)) for k in (0, 1, 3, 4)), _signatures_of(batch.column(2), tree), tree)
+        if rest is not None:
+            rows = tuple(np.concatenate(x) for x in zip(rest, rows, strict=True))
+        edges = np.flatnonzero(np.diff(rows[0], prepend=rows[0][:1])).tolist()
+        for a, b in zip([0, *edges], edges, strict=False):
+            if b - a > 1:
+                yield one(rows, a, b)
+        rest = tuple(c[edges[-1] if edges else 0 :] for c in rows)
+    if rest is not None and len(rest[0]) > 1:
+        yield one(rest, 0, len(rest[0]))
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """(nodes, labels, signatures, tree) of each slice, from sorted rows (key, ord, node, label, t)."""
     rest: tuple[np.ndarray, ...] | None = None
 
     def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         ords, tree = batch.column(1), np.asarray(batch.column(4)).astype(np.int64)
-        raw = np.frombuffer(b"".join(ords.to_pylist()), ">u4").astype(np.uint32).reshape(len(ords), VALUES)
-        sig = raw[np.arange(len(raw))[:, None], (np.arange(VALUES)[None, :] - DEPTH * tree[:, None]) % VALUES]  # back to one order
-        return np.asarray(batch.column(0)), np.asarray(batch.column(2)), np.asarray(batch.column(3)), sig, tree
+        return np.asarray(batch.column(0)), np.asarray(batch.column(2)), np.asarray(batch.column(3)), _signatures_of(ords, tree), tree
 
     def complete(rows: tuple[np.ndarray, ...], last: bool):
         """Slices of the regions that are complete, and the place from which rows go on."""
@@ -201,8 +246,8 @@ def _candidates(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.select("key", "ord", "node", "label", "t").mapInArrow(run, "a bigint, b bigint, agree bigint")
 
 
-def _unsettled(sorted_rows: DataFrame) -> DataFrame:
-    """slice, node, label: the nodes of each slice that have a candidate in another component."""
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """slice, node, label: the nodes of each cell that have a candidate in another component; a slice is one cell's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -212,8 +257,8 @@ def _unsettled(sorted_rows: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, nodes, labels)], ["slice", "node", "label"])
 
-        for node, label, sig, tree in _slices(batches):
-            hit = _concerned(label, sig, tree)
+        for node, label, sig, tree, first in _cells(batches):
+            hit = _concerned(label, sig, tree, first)
             if len(hit):
                 number += 1
                 ids.append(np.full(len(hit), number, np.int64))
@@ -225,18 +270,38 @@ def _unsettled(sorted_rows: DataFrame) -> DataFrame:
         if ids:
             yield out()
 
-    return sorted_rows.select("key", "ord", "node", "label", "t").mapInArrow(run, "slice bigint, node bigint, label bigint")
+    cells = _celled(rows).repartition("cell").sortWithinPartitions("cell", "side")
+    return cells.select("cell", "side", "ord", "node", "label", "t").mapInArrow(run, "slice bigint, node bigint, label bigint")
 
 
 def _settle(members: DataFrame, per_cent: int) -> DataFrame:
     """Links (a, b) between components from rows (slice, node, label, grams): a spanning set of each slice's links."""
 
     def links(nodes: list[int], labels: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        total = len(sets)
+        sizes = np.fromiter(map(len, sets), np.int64, total)
         flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), sizes)
+        owner = np.repeat(np.arange(total), sizes)
         order = np.argsort(flat, kind="stable")
-        value, posting = flat[order], owner[order]
+        posting, new = owner[order], np.diff(flat[order], prepend=~flat[order[:1]]) != 0
+        start = np.flatnonzero(new)
+        times = np.diff(np.append(start, len(flat)))
+        group = np.empty(len(flat), np.int64)
+        group[order] = np.cumsum(new) - 1
+        # shingles of many sets are counted by matrix products, the others by their postings
+        shared = np.zeros((total, total), np.float32)
+        common = np.flatnonzero(times * 16 > total)
+        for at in range(0, len(common), 512):
+            some = common[at : at + 512]
+            many = times[some]
+            ends = np.cumsum(many)
+            held = np.zeros((total, len(some)), np.float32)
+            held[posting[np.repeat(start[some] - (ends - many), many) + np.arange(int(ends[-1]))], np.repeat(np.arange(len(some)), many)] = 1
+            shared += held @ held.T
+        rare = (times > 1) & (times * 16 <= total)
+        of_rare = rare[group]
+        rare_groups, bounds = group[of_rare], np.searchsorted(owner[of_rare], np.arange(total + 1)).tolist()
+        names = np.array(labels)
         up: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -246,14 +311,15 @@ def _settle(members: DataFrame, per_cent: int) -> DataFrame:
             return x
 
         made = []
-        for i, own in enumerate(sets):
-            a, b = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
-            many = b - a
-            ends = np.cumsum(many)
-            shared = np.bincount(posting[np.repeat(a - (ends - many), many) + np.arange(int(ends[-1]))], minlength=len(sets))
-            for j in np.flatnonzero(100 * shared >= per_cent * (sizes[i] + sizes - shared)).tolist():
+        for i in range(total):
+            both, own = shared[i].astype(np.int64), rare_groups[bounds[i] : bounds[i + 1]]
+            if len(own):
+                many = times[own]
+                ends = np.cumsum(many)
+                both += np.bincount(posting[np.repeat(start[own] - (ends - many), many) + np.arange(int(ends[-1]))], minlength=total)
+            for j in np.flatnonzero((100 * both >= per_cent * (sizes[i] + sizes - both))[:i] & (names[:i] != names[i])).tolist():
                 x, y = root(labels[i]), root(labels[j])
-                if j < i and x != y:
+                if x != y:
                     up[x] = y
                     made.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
         return made
@@ -344,7 +410,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     labels = None
     pairs = cut(_candidates(ordered(regions.withColumn("label", F.col("node")))).groupBy("a", "b").agg(F.max("agree").alias("agree")).filter("a != b"), "pairs")
-    if pairs.limit(1).count():
+    if regions.limit(1).count():
         sets = cut(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), id_col, text_col, width), "sets")
         ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("w"), "agree").union(pairs.select(F.col("b").alias("v"), F.col("a").alias("w"), "agree"))
         one = ends.groupBy("v").agg(F.min("w").alias("w1"), F.max_by("w", F.struct("agree", "w")).alias("w2"))
@@ -353,8 +419,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         labels = components(links)
         rows = regions.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        open_ = cut(_unsettled(ordered(rows.join(mixed, "key"))), "open")
-        # slices of a crowded region are cut anew; a node may meet its first candidate only now
+        open_ = cut(_unsettled(rows.join(mixed, "key")), "open")
+        # a node of a crowded region may meet its first candidate only in a cell
         late = cut(open_.select("node").distinct().join(sets.select("node"), "node", "left_anti"), "late")
         if late.limit(1).count():
             sets = sets.unionByName(cut(_sets(docs, late, id_col, text_col, width), "sets"))

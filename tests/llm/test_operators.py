@@ -322,6 +322,23 @@ def test_crowded_regions_are_settled_in_slices(docs, corpus, monkeypatch):
             assert r.component_id == want[r.doc_id]
 
 
+def boilerplate(n: int, pairs: int):
+    """n documents of 80 shingles in common and 20 of their own; the last `pairs` repeat a first one's, but for 12 shingles (similarity 0.786)."""
+    head = " ".join(f"common{k}" for k in range(84))
+    own = [[f"w{i}x{k}" for k in range(20)] for i in range(n)]
+    for k in range(pairs):
+        own[n - 1 - k] = own[k][:8] + [f"v{k}x{j}" for j in range(12)]
+    return [(i, head + " " + " ".join(w)) for i, w in enumerate(own)]
+
+
+def test_crowded_regions_of_boilerplate_lose_no_pair(spark):
+    """Thousands of documents that share most of their text are in one region of most trees: more than one SLICE."""
+    n, pairs = 6000, 300
+    rows = spark.createDataFrame(boilerplate(n, pairs), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(rows).collect()}
+    assert got == {i: n - 1 - i if i >= n - pairs else i for i in range(n)}
+
+
 def test_long_chains_are_one_component(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(70)] + [(200, 201)], "a long, b long")
     labels = {r.node: r.label for r in near_dup.components(links).collect()}
