@@ -339,6 +339,16 @@ def test_crowded_regions_of_boilerplate_lose_no_pair(spark):
     assert got == {i: n - 1 - i if i >= n - pairs else i for i in range(n)}
 
 
+def test_each_two_nodes_of_a_region_meet_in_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SLICE", 8)
+    rows = [(key, b"", 100 * key + k, k, 0, n) for key, n in ((1, 2), (2, 8), (3, 9), (4, 50)) for k in range(n)]
+    cells = collections.defaultdict(list)
+    for r in near_dup._celled(spark.createDataFrame(rows, "key long, ord binary, node long, label long, t int, n long")).collect():
+        cells[r.cell].append((r.node, r.side))
+    met = {frozenset((x, y)) for c in cells.values() for x, s in c for y, z in c if x != y and (s != z or not any(w for _, w in c))}
+    assert met == {frozenset((a[2], b[2])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
+
+
 def test_long_chains_are_one_component(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(70)] + [(200, 201)], "a long, b long")
     labels = {r.node: r.label for r in near_dup.components(links).collect()}
