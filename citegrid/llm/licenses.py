@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Blocks of lines that use license vocabulary are compressed with zstandard, once alone and once with each template as a raw
-dictionary. A template that tells the compressor most of what a block says reduces its size most; templates are ranked by
-that reduction, and the best ones are confirmed by the exact differences in wording: a match holds most of the
-template's words in order, close together, and all of its deciding words (names, versions, clauses).
+Blocks of lines that use license vocabulary are searched for the wording of every template: a match holds most of the
+template's words in order, close together, and all of its deciding words (names, versions, clauses). Each match, with a
+little text around it, is compressed with zstandard, once alone and once with the template as a raw dictionary. The
+template that tells the compressor most of what the place says reduces its size most, and of overlapping matches it
+stays. What is compressed is as long as the match, so the length of a block or line cannot hide a notice.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ VOCABULARY = r"(?i)licen[cs]e|copyright|permission is hereby|redistribut|warrant
 #: Lines between two vocabulary lines of one block at most.
 GAP = 2
 SHARE = 0.85
+#: Characters around a match that are compressed with it.
+AROUND = 20
 
 
 @dataclass(frozen=True)
@@ -88,24 +91,22 @@ class Scanner:
         if begin >= 0:
             yield begin, text[begin:last]
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(share of its size that the block saves, template), best first; ties in the order of the templates."""
-        raw = block.encode()
+    def saved(self, place: str, k: int) -> float:
+        """Share of its size that a place saves with the template as dictionary."""
+        raw = place.encode()
         alone = len(self.plain.compress(raw))
-        saved = [(round((alone - len(c.compress(raw))) / alone, 6), k) for k, c in enumerate(self.primed)]
-        return sorted((s for s in saved if s[0] > 0), key=lambda s: (-s[0], s[1]))
+        return round((alone - len(self.primed[k].compress(raw))) / alone, 6)
 
-    def confirm(self, block: str, k: int) -> list[tuple[int, int, list[str], list[str]]]:
-        """Places where the template's wording stands: start, end, words missing, words added. Several per block at most
-        once each, left to right."""
+    def confirm(self, words: list[tuple[str, int, int]], k: int) -> list[tuple[int, int, list[str], list[str]]]:
+        """Places in a block's words where the template's wording stands: start, end, words missing, words added. Several
+        per block at most once each, left to right."""
         found, want = [], self.words[k]
-        words = wording(block)
-        while words:
-            have = [w for w, _, _ in words]
-            anchor = next((i for i, w in enumerate(have) if w == self.templates[k].deciding[0]), -1)
-            if anchor < 0:
-                break
-            lo, hi = max(0, anchor - len(want) - 5), anchor + len(want) + 5
+        have, at = [w for w, _, _ in words], 0
+        anchors = [i for i, w in enumerate(have) if w == self.templates[k].deciding[0]]
+        for anchor in anchors:
+            if anchor < at:
+                continue
+            lo, hi = max(at, anchor - len(want) - 5), anchor + len(want) + 5
             match = [m for m in SequenceMatcher(None, want, have[lo:hi], autojunk=False).get_matching_blocks() if m.size]
             held = sum(m.size for m in match)
             first, last = (match[0].b, match[-1].b + match[-1].size) if match else (0, 0)
@@ -115,18 +116,19 @@ class Scanner:
                 covered = {m.b + i for m in match for i in range(m.size)}
                 kept = {m.a + i for m in match for i in range(m.size)}
                 found.append((words[lo + first][1], words[lo + last - 1][2], [w for i, w in enumerate(want) if i not in kept], [w for i, w in enumerate(inside, first) if i not in covered]))
-                words = words[lo + last :]
+                at = lo + last
             else:
-                words = words[anchor + 1 :]
+                at = anchor + 1
         return found
 
     def scan(self, text: str) -> list[dict]:
         out: list[dict] = []
         for begin, block in self.blocks(text):
-            taken: list[tuple[int, int]] = []
-            for saved, k in self.ranked(block):
-                hits = [h for h in self.confirm(block, k) if not any(h[0] < e and s < h[1] for s, e in taken)]
-                for s, e, missing, added in hits:
+            words, taken = wording(block), []
+            hits = [(h, k) for k in range(len(self.templates)) for h in self.confirm(words, k)]
+            ranked = [(self.saved(block[max(0, h[0] - AROUND) : h[1] + AROUND], k), h, k) for h, k in hits]
+            for saved, (s, e, missing, added), k in sorted(ranked, key=lambda x: (-x[0], x[2], x[1][0])):
+                if not any(s < b and a < e for a, b in taken):
                     taken.append((s, e))
                     out.append({"license": self.templates[k].license, "start": begin + s, "end": begin + e, "saved": saved, "missing": missing, "added": added})
         return sorted(out, key=lambda x: (x["start"], x["end"]))

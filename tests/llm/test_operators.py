@@ -429,6 +429,20 @@ def test_license_scan(spark):
             assert 0 <= x.start < x.end <= len(cases[r.doc_id][0]) and x.saved > 0
 
 
+def test_long_lines_hide_no_notice(spark):
+    import random
+
+    rng = random.Random(6)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    rows, want = [], {}
+    for i, n in enumerate((100, 500, 1500, 10000)):
+        for k, t in enumerate(licenses.TEMPLATES):
+            rows.append((100 * i + k, f"{filler(n)} {t.text} {filler(n)}"))
+            want[100 * i + k] = t.license
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert [x.license for x in r.found] == [want[r.doc_id]], r.doc_id
+
+
 # ---- decontamination ---------------------------------------------------------------------------------------------
 
 
