@@ -1,9 +1,11 @@
-"""Line dedup by content-defined chunks of lines.
-
-Each line is hashed; a rolling hash over two neighbouring line hashes chooses chunk boundaries, so an inserted or dropped
-line moves only the boundaries next to it. Chunks of two or more lines that occur again anywhere are removed except
-at their first place (least document id, then least line). Grouping is by two hashes and the chunk's bytes, so equality
-is of bytes; partial aggregation on the map side folds frequent chunks before anything is sent.
+"""Line dedup by windows of two lines, which grow to runs.
+
+Every two neighbouring lines that hold a word are a window, known by two hashes of each line. A window that stands anywhere
+before (least document id, then least line) is repeated, and every line of it goes; so each passage of two or more lines
+that occurs again is found whole, whatever lines stand around it. Windows that follow each other both here and at their
+first place join into one span, the maximal equal run. Equality is of bytes: lines are grouped by hashes and bytes, and
+hashes that stand for more than one line count for nothing. Partial aggregation on the map side folds frequent lines
+and windows before anything is sent.
 """
 
 from __future__ import annotations
@@ -13,29 +15,25 @@ from pyspark.sql import functions as F
 
 from citegrid.llm.native import NOT_BLANK, let
 
-MODULUS, LEAST_LINES = 3, 2
+WINDOW = ("a1", "a2", "b1", "b2")
 
 
-def chunks_of(text: Column, modulus: int, with_text: bool) -> Column:
-    """array<struct<h1, h2, start, n[, text]>> of a text's chunks of two or more lines that hold a word."""
+def _hashes(line: Column) -> tuple[Column, Column]:
+    return F.xxhash64(line), F.xxhash64(F.lit(1), line)
 
-    def from_lines(lines: Column) -> Column:
-        def from_hashes(h: Column) -> Column:
-            edge = lambda i: (i == 0) | (F.pmod(F.xxhash64(F.get(h, i - 2), F.get(h, i - 1)), F.lit(modulus)) == 0)
-            starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), edge)
 
-            def cut_at(s: Column) -> Column:
-                raw = F.transform(s, lambda a, k: F.struct(a.alias("start"), (F.coalesce(F.get(s, k + 1), F.size(h)) - a).alias("n")))
-                many = F.filter(raw, lambda c: c["n"] >= LEAST_LINES)
-                full = F.transform(many, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.slice(lines, c["start"] + 1, c["n"]), "\n").alias("text")))
-                tagged = lambda c: F.struct(F.xxhash64(c["text"]).alias("h1"), F.xxhash64(F.lit(1), c["text"]).alias("h2"), c["start"].alias("start"), c["n"].alias("n"), *([c["text"].alias("text")] if with_text else []))
-                return F.transform(F.filter(full, lambda c: c["text"].rlike(NOT_BLANK)), tagged)
+def windows_of(text: Column) -> Column:
+    """array<struct<a1, a2, b1, b2, start>> of each two neighbouring lines of a text of two or more that hold a word."""
 
-            return let(starts, cut_at)
+    def known(line: Column) -> Column:
+        h1, h2 = _hashes(line)
+        return F.struct(h1.alias("h1"), h2.alias("h2"), line.rlike(NOT_BLANK).alias("word"))
 
-        return let(F.transform(lines, lambda x: F.xxhash64(x)), from_hashes)
+    def pairs(h: Column) -> Column:
+        one = lambda a, k: let(F.get(h, k + 1), lambda b: F.struct(a["h1"].alias("a1"), a["h2"].alias("a2"), b["h1"].alias("b1"), b["h2"].alias("b2"), k.alias("start"), (a["word"] | b["word"]).alias("word")))
+        return F.filter(F.transform(F.slice(h, 1, F.size(h) - 1), one), lambda w: w["word"])
 
-    return let(F.split(text, "\n", -1), from_lines)
+    return let(F.transform(F.split(text, "\n", -1), known), pairs)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,46 +41,63 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
 
 
-def repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = MODULUS) -> DataFrame:
-    """(id, text hash, spans): the line spans that go, one row per document that loses any."""
-    keyed = _keyed(docs, id_col, text_col).filter(F.col("__id").isNotNull() & F.contains(F.col("__text"), F.lit("\n")))
-    exploded = keyed.select("__id", F.explode(chunks_of(F.col("__text"), modulus, True)).alias("c")).select("__id", "c.h1", "c.h2", "c.text")
-    variants = exploded.groupBy("h1", "h2", "text").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
-    repeated = variants.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first")).filter((F.col("n") > 1) & (F.col("texts") == 1))
+def _runs(windows: Column) -> Column:
+    """Spans (start, lines) of sorted windows (start, first): a window that follows the one before here and there continues it."""
+
+    def follows(k: Column) -> Column:
+        w, v = F.get(windows, k), F.get(windows, k - 1)
+        same = (w["first"]["id"] == v["first"]["id"]) & (w["first"]["hash"] == v["first"]["hash"]) & (w["first"]["start"] == v["first"]["start"] + 1)
+        return (k > 0) & (w["start"] == v["start"] + 1) & same
 
-    def ordered(cs: Column) -> Column:
-        again = lambda c, k: F.coalesce((c["h1"] == F.get(cs, k - 1)["h1"]) & (c["h2"] == F.get(cs, k - 1)["h2"]), F.lit(False))
-        return F.transform(cs, lambda c, k: F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"), c["start"].alias("start"), c["n"].alias("n"), again(c, k).alias("again")))
+    def spans(begins: Column) -> Column:
+        last = lambda k: F.get(windows, F.coalesce(F.get(begins, k + 1), F.size(windows)) - 1)["start"]
+        return F.transform(begins, lambda b, k: F.struct(F.get(windows, b)["start"].alias("start"), (last(k) + 2 - F.get(windows, b)["start"]).alias("lines")))
 
-    places = keyed.select("__id", F.xxhash64("__text").alias("__hash"), F.explode(let(F.sort_array(chunks_of(F.col("__text"), modulus, False)), ordered)).alias("c")).select("__id", "__hash", "c.h1", "c.h2", "c.start", F.col("c.n").alias("lines"), "c.again")
-    gone = places.join(repeated.select("h1", "h2", "first"), ["h1", "h2"]).filter((F.col("__id") != F.col("first")) | F.col("again"))
-    return gone.groupBy("__id", "__hash").agg(F.sort_array(F.collect_set(F.struct("start", "lines"))).alias("spans"))
+    return let(F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda k: ~follows(k)), spans)
+
+
+def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text hash, spans): the line spans that go, one row per document that loses any."""
+    keyed = _keyed(docs, id_col, text_col).filter(F.col("__id").isNotNull() & F.contains(F.col("__text"), F.lit("\n")))
+    places = keyed.select(F.col("__id").alias("id"), F.xxhash64("__text").alias("hash"), F.explode(windows_of(F.col("__text"))).alias("w")).select("id", "hash", *[f"w.{c}" for c in WINDOW], "w.start")
+    place = F.struct("id", "hash", "start")
+    repeated = places.groupBy(*WINDOW).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
+    lines = keyed.select(F.explode(F.split("__text", "\n", -1)).alias("line"))
+    h1, h2 = _hashes(F.col("line"))
+    unequal = F.broadcast(lines.select(h1.alias("h1"), h2.alias("h2"), "line").distinct().groupBy("h1", "h2").count().filter("count > 1"))
+    for x in "ab":
+        repeated = repeated.join(unequal, (F.col(f"{x}1") == F.col("h1")) & (F.col(f"{x}2") == F.col("h2")), "left_anti")
+    again = (F.col("id") != F.col("first.id")) | (F.col("hash") != F.col("first.hash")) | (F.col("start") > F.col("first.start") + 1)
+    gone = places.join(repeated.select(*WINDOW, "first"), list(WINDOW)).filter(again)
+    found = gone.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.sort_array(F.collect_set(F.struct("start", "first"))).alias("w"))
+    return found.select("__id", "__hash", _runs(F.col("w")).alias("spans"))
 
 
 def _without(text: Column, spans: Column) -> Column:
-    """The text without the lines of sorted, disjoint spans."""
+    """The text without the lines of sorted spans, of which neighbours may share a line."""
 
     def rest(lines: Column) -> Column:
         stops = F.concat(spans, F.array(F.struct(F.size(lines).alias("start"), F.lit(0).alias("lines"))))
 
         def pieces(st: Column) -> Column:
             before = lambda k: F.coalesce(F.get(st, k - 1)["start"] + F.get(st, k - 1)["lines"], F.lit(0))
-            return F.array_join(F.flatten(F.transform(st, lambda x, k: F.slice(lines, before(k) + 1, x["start"] - before(k)))), "\n")
+            return F.array_join(F.flatten(F.transform(st, lambda x, k: F.slice(lines, before(k) + 1, F.greatest(x["start"] - before(k), F.lit(0))))), "\n")
 
         return let(stops, pieces)
 
     return F.when(spans.isNull(), text).otherwise(let(F.split(text, "\n", -1), rest))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = MODULUS) -> DataFrame:
-    """docs with repeated chunks taken out of the text, and a column removed_spans (array of first line and line count).
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with repeated runs of lines taken out of the text, and a column removed_spans (array of first line and line count).
 
     Every input row comes out once, with all its columns; a text that loses everything is empty. Null text stays null.
     Rows with a null id neither lose lines nor count as copies. Rows that repeat an id with the same text are one
-    document; with other texts each is judged by its own. Ties: the first place has the least id, then the least line. An
-    empty table gives no rows. Columns of the input may have any names but __id, __hash, __id2, __hash2, __spans and removed_spans.
+    document; with other texts each is judged by its own. Ties: the first place has the least id, then the least line (of
+    texts with one id, those of the least hash). Spans whose first places are apart may share a line; a window that shares
+    a line with its own first place stays. An empty table gives no rows. Columns of the input may have any names but __id, __hash, __id2, __hash2, __spans and removed_spans.
     """
-    gone = repeated_chunks(docs, id_col=id_col, text_col=text_col, modulus=modulus).withColumnRenamed("spans", "__spans")
+    gone = repeated_runs(docs, id_col=id_col, text_col=text_col).withColumnRenamed("spans", "__spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     left = docs.withColumns({"__id2": F.col(id_col), "__hash2": F.xxhash64(text)})
     joined = left.join(gone.hint("shuffle_hash"), (F.col("__id2") == F.col("__id")) & (F.col("__hash2") == F.col("__hash")), "left")
@@ -91,8 +106,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def digest(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: lines left, chunks and lines removed, and the hash of the text that is left."""
+    """Per document: runs and lines removed, characters left, and the hash of the text that is left."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     spans = F.coalesce(F.col("removed_spans"), F.array().cast("array<struct<start:int,lines:int>>"))
-    lines = F.aggregate(spans, F.lit(0), lambda a, x: a + x["lines"])
+    end = lambda x: x["start"] + x["lines"]
+    own = F.transform(spans, lambda x, k: end(x) - F.greatest(x["start"], F.coalesce(end(F.get(spans, k - 1)), F.lit(0))))
+    lines = F.aggregate(own, F.lit(0), lambda a, x: a + x)
     return cleaned.select(F.col(id_col).alias("doc_id"), F.size(spans).cast("bigint").alias("n_chunks_removed"), lines.cast("bigint").alias("n_lines_removed"), F.length(t).cast("bigint").alias("kept_chars"), F.sha2(t.cast("binary"), 256).alias("kept_sha256"))

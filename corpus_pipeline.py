@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegrid.llm import decontaminate, line_dedup, near_dup, packing, quality_model
+from citegrid.llm.native import NOT_BLANK
 from citegrid.llm.shared import cut, small_batches, table
 
 
@@ -19,15 +20,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks leave the texts; every document stays, and n_chars follows its text."""
+    """Repeated runs of lines leave the texts; every document stays, and n_chars follows its text."""
     cleaned = line_dedup.dedup_lines(docs).drop("removed_spans")
     return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else cleaned
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
+    """Of each group of near-duplicates the document with the least id stays; one that line dedup has emptied is a copy too."""
     small_batches(spark)
-    return near_dup.keep_one(docs)
+    wordless = lambda c: ~F.coalesce(F.col(c), F.lit("")).rlike(NOT_BLANK)
+    had_words = table(spark, sf_dir, "documents").filter(~wordless("text")).select(F.col("doc_id").alias("__emptied"))
+    emptied = had_words.join(docs.filter(wordless("text")).select("doc_id"), F.col("__emptied") == F.col("doc_id"), "left_semi").distinct()
+    kept = near_dup.keep_one(docs)
+    return kept.join(emptied, (kept["doc_id"] == F.col("__emptied")) & wordless("text"), "left_anti")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,26 @@ def test_line_dedup_within_one_text(spark):
     assert len(line_dedup.dedup_lines(rows).first().text) < 1.7 * len(part)
 
 
+def test_line_dedup_finds_short_passages_whole(spark):
+    """Passages of two or more lines between foreign lines lose every line, whatever stands around them."""
+    rows, want = [], {}
+    for n in range(2, 9):
+        for k in range(12):
+            passage = [f"passage {n} {k} line {j}" for j in range(n)]
+            for copy in range(2):
+                i = 1000 * copy + 20 * n + k
+                around = [f"own line {i} {j}" for j in range(4)]
+                rows.append((i, "\n".join(around[:2] + passage + around[2:])))
+                want[i] = "\n".join(around) if copy else rows[-1][1]
+    # two passages from different places share a line; three equal lines overlap themselves
+    rows += [(2000, "p\nq"), (2001, "q\nr"), (2002, "x\np\nq\nr\ny"), (2003, "z\nz\nz")]
+    want |= {2000: "p\nq", 2001: "q\nr", 2002: "x\ny", 2003: "z\nz\nz"}
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.text for r in out.collect()} == want
+    removed = {r.doc_id: (r.n_chunks_removed, r.n_lines_removed) for r in line_dedup.digest(out).collect()}
+    assert removed[2002] == (2, 3) and removed[1000 + 40] == (1, 2)
+
+
 # ---- packing -----------------------------------------------------------------------------------------------------
 
 
