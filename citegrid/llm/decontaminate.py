@@ -8,6 +8,9 @@ bound that does not shrink with the document. Window signatures for all classes
 of doubling length. A window that shares any of the VALUES minima with an item is a candidate; candidates are confirmed
 by exact containment of the item's shingles in the document.
 
+Items of up to SHORT shingles would have windows that are mostly foreign. They are looked up exactly: an item of q
+shingles that needs n of them in the document has one of any q - n + 1, so its rarest q - n + 1 are its keys.
+
 Items are broadcast in blocks of a fixed number of shingles at most, so the broadcast is bounded whatever the size of
 the benchmark; each block of items is one pass over the documents, and the passes are united.
 """
@@ -27,7 +30,7 @@ WIDTH, PER_CENT = 5, 75
 VALUES = 40
 #: Shingles of items that one pass broadcasts, at 8 bytes each and as much again for their minima.
 BLOCK_SHINGLES = 1 << 20
-LEAST_CLASS = 8
+SHORT = 8
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -45,12 +48,19 @@ def item_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
 
 
 class Index:
-    """Items of one pass, by size class: sorted (value, item) pairs for each of the VALUES minima."""
+    """Items of one pass: sorted (key, item) pairs of short ones; by size class, sorted (value, item) pairs for each of the
+    VALUES minima."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], per_cent: int = PER_CENT):
         self.sets = sets
+        short = [m for m, s in enumerate(sets) if 0 < len(s) <= SHORT]
+        grams, times = np.unique(np.concatenate([sets[m] for m in short] or [np.zeros(0, np.uint64)]), return_counts=True)
+        keys = [s[np.argsort(times[np.searchsorted(grams, s)], kind="stable")][: len(s) - max(1, -(-per_cent * len(s) // 100)) + 1] for s in (sets[m] for m in short)]
+        key, owner = np.concatenate(keys or [np.zeros(0, np.uint64)]), np.repeat(np.array(short, np.int64), [len(k) for k in keys])
+        order = np.argsort(key, kind="stable")
+        self.keys, self.owners = key[order], owner[order]
         self.classes: dict[int, tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]] = {}
-        limits = np.array([max(LEAST_CLASS, 1 << (len(s) - 1).bit_length()) if len(s) else 0 for s in sets])
+        limits = np.array([1 << (len(s) - 1).bit_length() if len(s) > SHORT else 0 for s in sets])
         for limit in sorted(set(limits.tolist()) - {0}):
             members = np.flatnonzero(limits == limit)
             values, owners = [], []
@@ -63,10 +73,19 @@ class Index:
 
     def candidates(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Distinct codes document * number of items + item. grams: shingles in text order, document after document."""
-        found: list[np.ndarray] = []
+        found: list[int] = []
         n, items = len(grams), len(self.sets)
         if not n:
             return np.zeros(0, np.int64)
+        if len(self.keys):
+            at, to = np.searchsorted(self.keys, grams, "left"), np.searchsorted(self.keys, grams, "right")
+            hit = np.flatnonzero(to > at)
+            doc, many = np.repeat(np.arange(len(counts)), counts)[hit], (to - at)[hit]
+            ends = np.cumsum(many)
+            own = self.owners[np.repeat(at[hit] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            found += np.unique(np.repeat(doc, many) * items + own).tolist()
+        if not self.classes:
+            return np.unique(np.array(found, np.int64))
         pads = {limit: self._padding(limit, counts) for limit in self.classes}
         for p in range(VALUES):
             hashed = grams * _MULTIPLIERS[p]
@@ -114,7 +133,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, members = shared.value
-            index = Index(members)
+            index = Index(members, per_cent)
             arrow = pa.list_(pa.struct([("item_id", pa.array(names).type if names else pa.null()), ("shared", pa.int64()), ("size", pa.int64())]))
             for block in text_blocks(batches, 1):
                 starts, ends, per = word_spans(block)

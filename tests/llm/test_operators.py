@@ -499,6 +499,25 @@ def test_leaks_in_several_passes(docs, corpus, spark, monkeypatch):
     assert all(not r.leaks for r in decontaminate.find_leaks(docs, empty).collect())
 
 
+def test_short_items_are_found_in_every_document_that_holds_them(spark):
+    """One copy of an item of 1 to 12 words amid other words; items share words and shingles."""
+    import random
+
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(5 + k % 8))) for k in range(400)]
+    items += [(400 + k, items[k][1] + " " + word()) for k in range(50)] + [(450, "one two"), (451, "one")]
+    rows = [(k, " ".join([*(word() for _ in range(rng.randint(20, 60))), t, *(word() for _ in range(rng.randint(20, 60)))])) for k, t in items[:450] for _ in range(3)]
+    rows += [(450, "One two"), (451, "one")]
+    wanted = [(k, shingle_set(t)) for k, t in items]
+    want = collections.Counter()
+    for i, t in rows:
+        s = shingle_set(t)
+        want[i, tuple(k for k, x in wanted if 100 * len(x & s) >= 75 * len(x))] += 1
+    out = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert collections.Counter((r.doc_id, tuple(sorted(x.item_id for x in r.leaks))) for r in out.collect()) == want
+
+
 # ---- quality rules -----------------------------------------------------------------------------------------------
 
 
