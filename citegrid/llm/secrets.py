@@ -27,8 +27,9 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidates, window, and the least entropy in bits per character of the densest window, by class.
 CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
 LIMITS = {"hex": 3.0, "upper": 3.6, "mixed": 3.7}
-#: Suppressed: no digit at all (words, identifiers), digits alone (numbers), paths of words, UUIDs, one repeated unit.
-ALLOWED = (r"^[^0-9]*$", r"^[0-9_=-]+$", r"^/?([a-z]+[/_-])+[a-z0-9]*$", r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"^(.{1,4}?)\1+$")
+#: Suppressed: words without digits (_wordlike), digits alone (numbers), paths of words with at most a few digits at the
+#: end, UUIDs, one repeated unit.
+ALLOWED = (r"^[0-9_=-]+$", r"^/?([a-z]+[/_-])+[a-z]*[0-9]{0,4}$", r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"^(.{1,4}?)\1+$")
 
 
 def densest_window(text: Column, width: int = WINDOW) -> Column:
@@ -59,9 +60,16 @@ def densest_window(text: Column, width: int = WINDOW) -> Column:
     return let(F.transform(F.split(text, ""), lambda ch: F.ascii(ch) % 128), run)
 
 
+def _wordlike(m: Column) -> Column:
+    """No digit, and each part between separators in one case or with at most a third of capitals, as camel case has."""
+    capitals = lambda p: F.length(F.regexp_replace(p, "[^A-Z]", ""))
+    part = lambda p: (capitals(p) == 0) | (capitals(p) == F.length(p)) | (3 * capitals(p) <= F.length(p))
+    return ~m.rlike("[0-9]") & F.forall(F.split(m, "[/_+=-]+"), part)
+
+
 def _dense(m: Column) -> Column:
     limit = F.when(m.rlike("^[0-9a-fA-F]+$"), LIMITS["hex"]).when(~m.rlike("[a-z]"), LIMITS["upper"]).otherwise(LIMITS["mixed"])
-    allowed = F.lit(False)
+    allowed = _wordlike(m)
     for rule in ALLOWED:
         allowed = allowed | m.rlike(rule)
     return F.when(allowed, F.lit(False)).otherwise(densest_window(m) >= limit)

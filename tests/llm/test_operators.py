@@ -622,3 +622,11 @@ def test_empty_tables(no_docs, spark):
 def test_cut_survives_reading_twice(docs):
     made = cut(docs.select("doc_id"))
     assert made.count() == made.count() == docs.count()
+
+
+def test_allow_rules_pass_words_and_paths_but_no_keys(spark):
+    secret = ["key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "sk-7h2k9d0f3g5j8l1q4w6e", "qXvBnRtYkLpWzCdFgHsJ", "aKwQz/RtYpLmXc+vBnGhJd"]
+    plain = ["/usr/share/doc/package-name/readme12", "thisIsAnIdentifierOfManyParts", "MAXIMUM_BUFFER_SIZE_LIMIT", "some-very-long-article-title-2024", "donaudampfschifffahrtsgesellschaft"]
+    rows = spark.createDataFrame([(k, f"see {t} here") for k, t in enumerate(secret + plain)], "doc_id long, text string")
+    found = {r.doc_id: r.n_entropy for r in secrets.digest(secrets.scan(rows)).collect()}
+    assert [found[k] for k in range(len(found))] == [1] * len(secret) + [0] * len(plain)
