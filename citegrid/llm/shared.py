@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 #: Rows and bytes that Spark hands to Python at a time; texts and packed rows can be large.
@@ -49,6 +50,40 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """wanted, with underscores in front until no column has that name (Spark does not tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in gone (one column of ids); rows with a null id stay."""
+    key = free_name(docs.columns, "gone_id")
+    ids = gone.toDF(key).filter(F.col(key).isNotNull()).distinct()
+    return docs.join(ids.hint("shuffle_hash"), F.col(f"`{id_col}`") == F.col(key), "left_anti")
+
+
+#: Most groups that join_counted() broadcasts.
+HOT_GROUPS = 50_000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> DataFrame:
+    """rows joined with groups, which has one row per key and is materialised; n: how many of the rows have the key.
+
+    A key with more than 1/HOT_GROUPS of the joined rows is hot; there are HOT_GROUPS of those at most, so they are
+    broadcast, and no task gathers a hot key. The others are joined by a shuffle.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > F.lit(max(int(total) // HOT_GROUPS, 1000))
+    if not groups.filter(hot).limit(1).count():
+        return rows.join(groups, on)
+    known = F.broadcast(groups.filter(hot))
+    rest = rows.join(F.broadcast(groups.filter(hot).select(*on)), on, "left_anti")
+    return rows.join(known, on).unionByName(rest.join(groups.filter(~hot), on))
+
+
 @dataclass
 class Block:
     """Documents of one block: buf holds each text followed by one separator byte (a blank)."""

@@ -489,16 +489,37 @@ def test_leaks(docs, corpus, spark):
     assert {r.doc_id for r in decontaminate.clean(both, bench).collect()} == {i for (i, x) in want if not x}
 
 
-def test_leaks_in_several_passes(docs, corpus, spark, monkeypatch):
-    items = spark.createDataFrame([(k, corpus[k][1]) for k in range(8)], "item_id long, text string")
-    whole = {(r.doc_id, tuple(sorted(x.item_id for x in r.leaks))) for r in decontaminate.find_leaks(docs, items).collect() if r.leaks}
-    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", 60)
-    parts = {(r.doc_id, tuple(sorted(x.item_id for x in r.leaks))) for r in decontaminate.find_leaks(docs, items).collect() if r.leaks}
-    assert parts >= whole and whole
+def leak_rows(found):
+    return collections.Counter((r.doc_id, tuple((x.item_id, x.shared, x.size) for x in r.leaks)) for r in found.collect())
+
+
+def test_size_of_the_benchmark_changes_no_row(docs, corpus, spark):
+    """Repeated and null ids, repeated rows, items that share an id: a joined benchmark gives the rows of a broadcast one."""
+    source = [(k % 6, corpus[k][1]) for k in range(30)] + [(None, corpus[3][1]), (7, None), (8, "one two"), (8, "One two"), (9, corpus[69][1])]
+    items = spark.createDataFrame([*source, (None, "ONE two")], "item_id long, text string")
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(8, "one two"), (8, "one two"), (8, "three"), (None, "one two"), (None, None)], "doc_id long, text string"))
+    whole = leak_rows(decontaminate.find_leaks(more, items))
+    assert sum(whole.values()) == more.count() and sum(1 for k in whole if k[1]) > 10
+    assert leak_rows(decontaminate.find_leaks(more, items, most_shingles=1)) == whole
+    assert leak_rows(decontaminate.find_leaks(more.repartition(7), items.repartition(5), most_shingles=1, key_bits=64)) == whole
+    want = collections.Counter()
+    sets = [(k, shingle_set(t)) for k, t in [*source, (None, "ONE two")]]
+    for r in more.collect():
+        s = shingle_set(r.text)
+        hits = [(k, len(x & s), len(x)) for k, x in sets if x and 100 * len(x & s) >= 75 * len(x)]
+        want[r.doc_id, tuple(sorted(hits, key=lambda x: (x[0] is not None, x[0] or 0, *x[1:])))] += 1
+    assert whole == want
     empty = spark.createDataFrame([], "item_id long, text string")
     assert all(not r.leaks for r in decontaminate.find_leaks(docs, empty).collect())
 
 
+def test_clean_keeps_every_column(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "x", 5, 6), (None, "a b c d e f", 5, 6), (2, "x", 5, 6)], "doc_id long, text string, gone_id int, __gone int")
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    out = decontaminate.clean(rows, items)
+    assert out.columns == rows.columns and sorted(str(r.doc_id) for r in out.collect()) == ["2", "2", "None"]
+
+
 def test_short_items_are_found_in_every_document_that_holds_them(spark):
     """One copy of an item of 1 to 12 words amid other words; items share words and shingles."""
     import random
