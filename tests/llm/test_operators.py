@@ -90,6 +90,45 @@ def test_line_dedup_finds_short_passages_whole(spark):
     assert removed[2002] == (2, 3) and removed[1000 + 40] == (1, 2)
 
 
+def plain_line_dedup(rows):
+    """What stays of each (id, text): lines of a two-line window that has an earlier place go."""
+    first, places = {}, []
+    for i, t in sorted({(i, t or "") for i, t in rows if i is not None}):
+        lines = t.split("\n")
+        for k in range(len(lines) - 1):
+            if WORD.search(lines[k]) or WORD.search(lines[k + 1]):
+                window = (lines[k], lines[k + 1])
+                first.setdefault(window, (i, t, k))
+                places.append((i, t, k, window))
+    gone = collections.defaultdict(set)
+    for i, t, k, window in places:
+        j, u, at = first[window]
+        if (j, u) != (i, t) or k > at + 1:
+            gone[i, t] |= {k, k + 1}
+    return collections.Counter((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if i is None or k not in gone[i, t])) for i, t in rows)
+
+
+def test_line_dedup_equals_brute_force(docs, corpus, spark):
+    rows = [(r[0], r[1]) for r in corpus if (r[0], r[1]) != (7, corpus[3][1])]  # texts with one id are ordered by hash
+    rows += [(500 + k, "\n".join(f"shared line {j} of words" for j in range(k % 7, k % 7 + 3)) + f"\nown {k}") for k in range(40)]
+    rows += [(600, "\n".join(f"l{k % 900}" for k in range(200_000))), (601, "l1\nl2\nl3")]
+    source = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, removed_spans int, own_id int").repartition(5)
+    for out in (line_dedup.dedup_lines(source), line_dedup.dedup_lines(source.unionByName(source.filter("doc_id = 501")))):
+        assert out.columns == [*source.columns, "_removed_spans"]
+        assert set((r.doc_id, r.text) for r in out.collect()) == set(plain_line_dedup(rows))
+    assert line_dedup.digest(out).count() == len(rows) + 1
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from citegrid.llm import shared
+
+    rows = spark.createDataFrame([(0, k) for k in range(3000)] + [(k % 40 + 1, k) for k in range(400)], "key int, v int")
+    groups = cut(rows.groupBy("key").count().withColumnRenamed("count", "n"))
+    got = shared.join_counted(rows, groups, ["key"], "n")
+    assert sorted(map(tuple, got.select("key", "v", "n").collect())) == sorted((r.key, r.v, r.n) for r in rows.join(groups, "key").collect())
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
 # ---- packing -----------------------------------------------------------------------------------------------------
 
 
