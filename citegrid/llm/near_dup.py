@@ -2,19 +2,25 @@
 
 1.  Each document gets a MinHash signature of its 5-word shingle set and a 128-bit hash of the set. Documents with equal
     sets form one node; partial aggregation folds copies before anything is sent, so later steps see different sets only.
-2.  Several trees order the nodes by their signature, each starting at another place. Nodes whose first two values agree
-    are a region of that tree; regions of one node are dropped by a count on narrow rows. The rest is range-partitioned
-    and sorted by (region, rest of the signature), so a crowded region spreads over tasks, and nodes with the longest
-    common prefixes are neighbours. Pairs that agree on too few values to be similar are not candidates.
-3.  Candidates are verified on the full sets in two steps. First, in slices of the sorted order, each node's smallest and
-    most similar partner, which contracts groups of copies to few components with a number of pairs in proportion to the
-    nodes. Then every region that still has different components is compared whole: up to SLICE nodes in one cell, a
-    larger one in blocks of half a SLICE, each block against itself and every other in a cell of its own. Where
-    candidates of a cell lie in different components, the sets of the nodes concerned come together once per cell, all
-    their intersections are counted, and only links that join components leave. No pair of nodes becomes a row and
-    nothing is capped; the cells of a crowded region that does not contract grow with the square of its nodes.
-
-At similarity 0.75, twenty trees of depth two miss a pair with probability (1 - 0.75**2)**20 < 1e-7.
+2.  The forest: TREES trees order the nodes by their signature, each starting at another place. Nodes whose first two values
+    agree are a region of that tree; regions of one node are dropped by a count on narrow rows. The rest is
+    range-partitioned and sorted by (region, rest of the signature), so the nodes with the longest common prefixes are
+    neighbours. A region of more than SLICE nodes is split at the shortest common prefixes of neighbours, again and again,
+    until its groups fit a slice: the depth is as large as each part of a region needs.
+3.  In each slice a node's smallest and most similar candidate is verified on the full sets; that contracts groups of copies
+    to few components with a number of pairs in proportion to the nodes. Pairs that agree on too few values to be similar
+    are not candidates.
+4.  Every region that still has different components is then settled. One that fits a cell (SLICE nodes, and as many
+    bytes of shingles) is compared whole. In larger ones depth cannot tell what is similar, because the nodes share most of
+    their text; their nodes are joined exactly, by prefixes: of two sets with similarity t, the larger has one of the
+    smaller's rarest (1 - 2t/(1+t)) share of shingles among its own rarest (1 - t) share, so nodes that share such a rare
+    shingle are a cell. What many nodes have in common is rare in none of them and makes no cell.
+5.  Where candidates of a cell lie in different components, the sets of the nodes concerned come together once per cell, all
+    their intersections are counted, and only links that join components leave. A cell that is too large is dealt to
+    blocks, and each two blocks meet. No pair of nodes becomes a row and nothing is capped.
+
+At similarity 0.75, twenty trees of depth two miss a pair with probability (1 - 0.75**2)**20 < 1e-7; neither the size of a
+region nor the number of partitions changes that.
 """
 
 from __future__ import annotations
@@ -26,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrid.llm.shared import cut, mix, shingles, span_hashes, text_blocks, word_spans
+from citegrid.llm.shared import cut, join_counted, mix, shingles, span_hashes, text_blocks, without_ids, word_spans
 
 WIDTH, PER_CENT = 5, 75
 TREES, DEPTH = 20, 2
 VALUES = TREES * DEPTH
 #: Values that a candidate pair must share. At similarity 0.75 the number is binomial(40, 0.75); under 16 has p < 1e-6.
 AGREE = 16
-SLICE, OVERLAP = 2048, 64
+#: Nodes of a cell or slice at most. A node counts as one for each UNIT shingles, so a cell's sets are bounded too.
+SLICE, UNIT = 2048, 2048
+#: The first round over rare shingles takes one in SIFT of them: it joins most of what is similar at a fraction of the work.
+SIFT = 16
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -80,13 +89,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """key, ord, node, t and the region's nodes n, for each tree in which the node shares its region. ord: the rest of the
-    signature, in the tree's order."""
+    """key, ord, node, t and the region's weight n, for each tree in which the node shares its region. ord: the rest of the
+    signature, in the tree's order. nodes: node, sig, n_shingles."""
     wide = 4 * DEPTH
     trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("t")
-    narrow = nodes.select("node", "sig", trees).select("node", F.xxhash64("t", F.expr(f"substring(sig, {wide} * t + 1, {wide})")).alias("key"), "t")
-    crowded = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = narrow.join(crowded, "key")
+    weight = F.ceil((F.col("n_shingles") + 1) / UNIT).alias("w")
+    narrow = nodes.select("node", "sig", weight, trees).select("node", F.xxhash64("t", F.expr(f"substring(sig, {wide} * t + 1, {wide})")).alias("key"), "t", "w")
+    crowded = cut(narrow.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("n")).filter("k > 1"), "crowded")
+    kept = join_counted(narrow.drop("w"), crowded, ["key"], "k").drop("k")
     order = F.expr(f"concat(substring(sig, {wide} * t + 1), substring(sig, 1, {wide} * t))")
     return kept.join(nodes.select("node", "sig"), "node").select("key", order.alias("ord"), "node", "t", "n")
 
@@ -145,13 +155,13 @@ def _signatures_of(ords: pa.Array, tree: np.ndarray) -> np.ndarray:
     return raw[np.arange(len(raw))[:, None], (np.arange(VALUES)[None, :] - DEPTH * tree[:, None]) % VALUES]
 
 
-def _celled(rows: DataFrame) -> DataFrame:
-    """rows (key, ord, node, label, t, n) with cell and side, once for each cell of the region that the node is in.
+def _celled(rows: DataFrame, size: int) -> DataFrame:
+    """rows (key, ord, node, label, t, n) with cell and side, once for each cell of the group that the node is in.
 
-    A region of up to SLICE nodes is one cell. The nodes of a larger one are dealt to blocks by hash, and each two blocks
+    A group of weight n up to `size` is one cell. The nodes of a larger one are dealt to blocks by hash, and each two blocks
     are a cell, as is each block alone; side tells its two blocks apart.
     """
-    blocks = F.when(F.col("n") <= SLICE, 1).otherwise(F.ceil(F.col("n") * 2 / SLICE)).cast("int")
+    blocks = F.when(F.col("n") <= size, 1).otherwise(F.ceil(F.col("n") * 2 / size)).cast("int")
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
@@ -179,48 +189,71 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         yield one(rest, 0, len(rest[0]))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(nodes, labels, signatures, tree) of each slice, from sorted rows (key, ord, node, label, t)."""
+def prefix_slices(sig: np.ndarray, size: int, depth: int = DEPTH) -> list[tuple[int, int]]:
+    """Slices of at most `size` rows of sorted signatures (columns in the tree's order, equal in the first `depth`).
+
+    Rows are parted where neighbours' common prefix is shortest; neighbouring parts that fit together stay together.
+    Rows with equal signatures that are too many are cut anywhere.
+    """
+    n = len(sig)
+    if n <= size:
+        return [(0, n)]
+    if depth == sig.shape[1]:
+        return [(a, min(n, a + size)) for a in range(0, n, size)]
+    edges = np.flatnonzero(sig[1:, depth] != sig[:-1, depth]) + 1
+    out: list[tuple[int, int]] = []
+    begin = 0
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True):
+        if b - begin <= size:
+            continue
+        if a > begin:
+            out.append((begin, a))
+        if b - a > size:
+            out += [(a + x, a + y) for x, y in prefix_slices(sig[a:b], size, depth + 1)]
+            begin = b
+        else:
+            begin = a
+    if begin < n:
+        out.append((begin, n))
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, labels, signatures) of each slice, from sorted rows (key, ord, node, label, t).
+
+    At most some 16 slices of one region are held at a time; a region that goes on is cut there.
+    """
     rest: tuple[np.ndarray, ...] | None = None
 
     def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        ords, tree = batch.column(1), np.asarray(batch.column(4)).astype(np.int64)
-        return np.asarray(batch.column(0)), np.asarray(batch.column(2)), np.asarray(batch.column(3)), _signatures_of(ords, tree), tree
-
-    def complete(rows: tuple[np.ndarray, ...], last: bool):
-        """Slices of the regions that are complete, and the place from which rows go on."""
-        key = rows[0]
-        edges = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])).tolist()
-        found, keep = [], len(key)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            open_ = b == len(key) and not last
-            if open_ and b - a < SLICE:
-                keep = a
-                break
-            found += [(max(a, s - OVERLAP), min(b, s + SLICE)) for s in range(a, b, SLICE)]
-            if open_:  # a crowded region that goes on: its next slice overlaps this one
-                keep = max(a, b - OVERLAP)
-        return found, keep
-
-    def whole():
-        nonlocal rest
-        for batch in batches:
-            rows = columns(batch)
-            if rest is not None:
-                rows = tuple(np.concatenate(x) for x in zip(rest, rows, strict=True))
-            found, keep = complete(rows, False)
-            rest = tuple(c[keep:] for c in rows)
-            yield rows, found
-        if rest is not None and len(rest[0]):
-            yield rest, complete(rest, True)[0]
-
-    for (_, node, label, sig, tree), found in whole():
-        for a, b in found:
-            if b - a > 1:
-                yield node[a:b], label[a:b], sig[a:b], int(tree[a])
+        tree = np.asarray(batch.column(4)).astype(np.int64)
+        return np.asarray(batch.column(0)), np.asarray(batch.column(2)), np.asarray(batch.column(3)), _signatures_of(batch.column(1), tree), tree
 
+    def region(rows: tuple[np.ndarray, ...], a: int, b: int):
+        if b - a < 2:
+            return
+        tree = int(rows[4][a])
+        for x, y in prefix_slices(np.roll(rows[3][a:b], -DEPTH * tree, axis=1), size) if b - a > size else [(0, b - a)]:
+            if y - x > 1:
+                yield rows[1][a + x : a + y], rows[2][a + x : a + y], rows[3][a + x : a + y]
 
-def _candidates(sorted_rows: DataFrame) -> DataFrame:
+    for batch in batches:
+        rows = columns(batch)
+        if rest is not None:
+            rows = tuple(np.concatenate(x) for x in zip(rest, rows, strict=True))
+        edges = [0, *(np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1).tolist()]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield from region(rows, a, b)
+        if len(rows[0]) - edges[-1] > 16 * size:
+            yield from region(rows, edges[-1], len(rows[0]))
+            rest = None
+        else:
+            rest = tuple(c[edges[-1] :] for c in rows)
+    if rest is not None:
+        yield from region(rest, 0, len(rest[0]))
+
+
+def _candidates(sorted_rows: DataFrame, size: int) -> DataFrame:
     """a, b, agree from rows (key, ord, node, label, t) that are sorted within partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +263,7 @@ def _candidates(sorted_rows: DataFrame) -> DataFrame:
             a, b, n = np.concatenate(found, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "agree"])
 
-        for node, label, sig, _ in _slices(batches):
+        for node, label, sig in _slices(batches, size):
             if len(node) == 2:
                 n = int((sig[0] == sig[1]).sum())
                 if n >= AGREE and label[0] != label[1]:
@@ -246,7 +279,7 @@ def _candidates(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.select("key", "ord", "node", "label", "t").mapInArrow(run, "a bigint, b bigint, agree bigint")
 
 
-def _unsettled(rows: DataFrame) -> DataFrame:
+def _unsettled(rows: DataFrame, size: int) -> DataFrame:
     """slice, node, label: the nodes of each cell that have a candidate in another component; a slice is one cell's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +303,7 @@ def _unsettled(rows: DataFrame) -> DataFrame:
         if ids:
             yield out()
 
-    cells = _celled(rows).repartition("cell").sortWithinPartitions("cell", "side")
+    cells = _celled(rows, size).repartition("cell").sortWithinPartitions("cell", "side")
     return cells.select("cell", "side", "ord", "node", "label", "t").mapInArrow(run, "slice bigint, node bigint, label bigint")
 
 
@@ -374,15 +407,73 @@ def _verify(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
-def components(links: DataFrame, vertices: str = "node", most_rounds: int = 60) -> DataFrame:
+def _rare(sets: DataFrame, per_cent: int) -> DataFrame:
+    """gram, node, small: each node's rarest shingles (by how many of the nodes have them), those that others have too.
+
+    Of two sets with the similarity, the larger has one of the smaller's shingles marked `small` in its rows. sets: node,
+    grams (packed, distinct).
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = np.frombuffer(raw.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), node, np.int64)), pa.array(grams)], ["node", "gram"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, grams, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams, times = np.array(grams, np.int64), np.array(times, np.int64)
+                grams, times = (x[np.lexsort((grams, times))] for x in (grams, times))
+                n = len(grams)
+                probe = n - -(-per_cent * n // 100) + 1
+                index = n - -(-2 * per_cent * n // (100 + per_cent)) + 1
+                some = np.flatnonzero(times[:probe] > 1)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[some]), pa.array(np.full(len(some), node, np.int64)), pa.array(some < index)], ["gram", "node", "small"])
+
+    rows = cut(sets.select("node", "grams").mapInArrow(explode, "node bigint, gram bigint"), "grams")
+    times = cut(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("times")), "times")
+    known = join_counted(rows, times, ["gram"], "times")
+    listed = known.groupBy("node").agg(F.collect_list(F.struct("gram", "times")).alias("x")).select("node", F.col("x.gram").alias("gram"), F.col("x.times").alias("times"))
+    return cut(listed.mapInArrow(pick, "gram bigint, node bigint, small boolean"), "rare")
+
+
+def _crowd_links(docs: DataFrame, crowd: DataFrame, signed: DataFrame, labels: DataFrame | None, found: list[DataFrame], id_col: str, text_col: str, width: int, per_cent: int, size: int) -> list[DataFrame]:
+    """Links between the nodes of crowd (node), by the shingles that are rare among them. signed: node, sig, n_shingles."""
+    sets = cut(_sets(docs, crowd, id_col, text_col, width), "sets")
+    rare = _rare(sets, per_cent)
+    about = cut(crowd.join(signed, "node"), "about")
+    made: list[DataFrame] = []
+    for sift in (SIFT, 1):
+        if made:
+            labels = components(_union([*found, *made]))
+        now = about.select("node", F.ceil((F.col("n_shingles") + 1) / UNIT).alias("w"))
+        now = now.withColumn("label", F.col("node")) if labels is None else now.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = rare.filter(F.pmod("gram", F.lit(sift)) == 0).join(now, "node")
+        mixed = cut(rows.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("w").alias("n"), F.count(F.lit(1)).alias("k"), F.max("small").alias("any")).filter("lo < hi and any").select("gram", "n", "k"), "mixed")
+        met = join_counted(rows, mixed, ["gram"], "k").join(about.select("node", "sig"), "node")
+        cells = met.select(F.col("gram").alias("key"), F.col("sig").alias("ord"), "node", "label", F.lit(0).alias("t"), "n")
+        open_ = cut(_unsettled(cells, size), "open")
+        made.append(cut(_settle(open_.join(sets, "node"), per_cent), "links"))
+    return made
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): label is the least node that can be reached.
 
     Labels move to the least label among neighbours and then jump to their label's label, so long chains halve each
-    round. Each round is written to the shared folder; only counts reach the driver.
+    round; the rounds end when no label moves. Each is written to the shared folder; only counts reach the driver.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("l"))
         jump = labels.select(F.col("node").alias("l"), F.col("label").alias("far"))
@@ -390,43 +481,49 @@ def components(links: DataFrame, vertices: str = "node", most_rounds: int = 60)
         labels = new.select("node", "label")
         if not new.filter("label != old").limit(1).count():
             return labels
-    raise RuntimeError("connected components did not settle")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, per_cent: int = PER_CENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, per_cent: int = PER_CENT, size: int = SLICE) -> DataFrame:
     """doc_id, n_shingles, component_id (least reachable id, itself included), kept; one row per input row.
 
     Null, empty or wordless text: no shingles, linked with nothing. Null ids: component_id null, kept, linked with nothing.
-    Rows that share an id are one document with the links of all its texts. An empty table gives no rows. Only the id and
-    the text are read.
+    Rows that share an id are one document with the links of all its texts; repeated rows and equal texts are one node. Ids
+    are numbers that fit a bigint. A long text is a block of its own, and its set one value. An empty table gives no rows.
+    Only the id and the text are read, so other names cannot clash. size: nodes that are compared whole.
     """
     signed = cut(signatures(docs, id_col, text_col, width), "signatures")
     known = signed.filter("doc_id is not null and n_shingles > 0")
     classes = cut(known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").cast("bigint").alias("node"), F.first("sig").alias("sig")), "classes")
-    regions = cut(_regions(classes.select("node", "sig")), "regions")
+    regions = cut(_regions(classes.select("node", "sig", "n_shingles")), "regions")
 
     def ordered(rows: DataFrame) -> DataFrame:
         return rows.repartitionByRange("key", "ord", "node").sortWithinPartitions("key", "ord", "node")
 
-    labels = None
-    pairs = cut(_candidates(ordered(regions.withColumn("label", F.col("node")))).groupBy("a", "b").agg(F.max("agree").alias("agree")).filter("a != b"), "pairs")
+    labels, found = None, []
+    pairs = cut(_candidates(ordered(regions.withColumn("label", F.col("node"))), size).groupBy("a", "b").agg(F.max("agree").alias("agree")).filter("a != b"), "pairs")
     if regions.limit(1).count():
         sets = cut(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), id_col, text_col, width), "sets")
         ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("w"), "agree").union(pairs.select(F.col("b").alias("v"), F.col("a").alias("w"), "agree"))
         one = ends.groupBy("v").agg(F.min("w").alias("w1"), F.max_by("w", F.struct("agree", "w")).alias("w2"))
         chosen = one.select("v", F.explode(F.array("w1", "w2")).alias("w")).select(F.greatest("v", "w").alias("a"), F.least("v", "w").alias("b")).distinct()
-        links = cut(_verify(chosen, sets, per_cent).filter("linked").select("a", "b"), "links")
-        labels = components(links)
+        found.append(cut(_verify(chosen, sets, per_cent).filter("linked").select("a", "b"), "links"))
+        labels = components(found[0])
         rows = regions.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        open_ = cut(_unsettled(rows.join(mixed, "key")), "open")
-        # a node of a crowded region may meet its first candidate only in a cell
+        mixed = cut(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo < hi").select("key", "k"), "mixed")
+        still = join_counted(rows, mixed, ["key"], "k").drop("k")
+        open_ = cut(_unsettled(still.filter(F.col("n") <= size), size), "open")
+        # a node that had no candidate in its slices has its set not there yet
         late = cut(open_.select("node").distinct().join(sets.select("node"), "node", "left_anti"), "late")
         if late.limit(1).count():
             sets = sets.unionByName(cut(_sets(docs, late, id_col, text_col, width), "sets"))
         more = cut(_settle(open_.join(sets, "node"), per_cent), "links")
+        crowd = cut(still.filter(F.col("n") > size).select("node").distinct(), "crowd")
         if more.limit(1).count():
-            labels = components(links.unionByName(more))
+            found.append(more)
+            labels = components(_union(found))
+        if crowd.limit(1).count():
+            found += _crowd_links(docs, crowd, classes.select("node", "sig", "n_shingles"), labels, found, id_col, text_col, width, per_cent, size)
+            labels = components(_union(found))
     keyed = classes.select("s1", "s2", "n_shingles", "node")
     if labels is not None:
         keyed = keyed.join(labels, "node", "left")
@@ -438,6 +535,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are near-duplicates of one with a smaller id."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct().hint("shuffle_hash"), docs[id_col] == F.col("__gone"), "left_anti")
+    """docs without the documents that are near-duplicates of one with a smaller id, with all columns, whatever their names.
+
+    Rows with a null id and texts without words stay. Rows that share an id are one document: they stay or go together.
+    An empty table gives no rows.
+    """
+    return without_ids(docs, near_duplicates(docs, id_col=id_col, text_col=text_col).filter("not kept").select("doc_id"), id_col)

@@ -371,16 +371,29 @@ def test_near_duplicates(docs, corpus):
     assert len(set(want.values())) < len(want) - 10
 
 
-def test_crowded_regions_are_settled_in_slices(docs, corpus, monkeypatch):
-    """Tiny slices force every path of a crowded region."""
-    monkeypatch.setattr(near_dup, "SLICE", 4)
-    monkeypatch.setattr(near_dup, "OVERLAP", 2)
+@pytest.mark.parametrize("size", [1, 4])
+def test_crowded_regions_are_settled_exactly(docs, corpus, size):
+    """Tiny cells force every path of a crowded region, in the workers too."""
     want = brute_components([(r[0], r[1]) for r in corpus])
-    for r in near_dup.near_duplicates(docs).collect():
+    for r in near_dup.near_duplicates(docs, size=size).collect():
         if r.doc_id is not None and r.n_shingles:
             assert r.component_id == want[r.doc_id]
 
 
+def test_slices_follow_common_prefixes():
+    rng = np.random.default_rng(1)
+    sig = np.sort(rng.integers(0, 3, 600).astype(np.uint32)[:, None] * 100 + rng.integers(0, 4, (600, 1)), axis=0)
+    sig = np.concatenate((np.zeros((600, 2), np.uint32), sig // 100, sig % 100, np.zeros((600, 1), np.uint32)), axis=1)
+    for size in (2, 7, 60, 250, 1000):
+        found = near_dup.prefix_slices(sig, size)
+        assert found[0][0] == 0 and found[-1][1] == 600 and all(a[1] == b[0] for a, b in zip(found, found[1:], strict=False))
+        assert all(b - a <= size for a, b in found)
+        for (_, x), (_, y) in zip(found, found[1:], strict=False):
+            group = np.flatnonzero((sig == sig[x]).all(1))
+            assert x == group[0] or len(group) > size  # only rows that are equal throughout, and too many, are cut
+            del y
+
+
 def boilerplate(n: int, pairs: int):
     """n documents of 80 shingles in common and 20 of their own; the last `pairs` repeat a first one's, but for 12 shingles (similarity 0.786)."""
     head = " ".join(f"common{k}" for k in range(84))
@@ -390,24 +403,45 @@ def boilerplate(n: int, pairs: int):
     return [(i, head + " " + " ".join(w)) for i, w in enumerate(own)]
 
 
-def test_crowded_regions_of_boilerplate_lose_no_pair(spark):
-    """Thousands of documents that share most of their text are in one region of most trees: more than one SLICE."""
+@pytest.mark.parametrize("partitions", [4, 61])
+def test_crowded_regions_of_boilerplate_lose_no_pair(spark, partitions):
+    """Thousands of documents that share most of their text are in one region of most trees: more than one cell."""
     n, pairs = 6000, 300
-    rows = spark.createDataFrame(boilerplate(n, pairs), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(rows).collect()}
+    rows = spark.createDataFrame(boilerplate(n, pairs), "doc_id long, text string").repartition(partitions)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {i: n - 1 - i if i >= n - pairs else i for i in range(n)}
 
 
-def test_each_two_nodes_of_a_region_meet_in_a_cell(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "SLICE", 8)
+def test_each_two_nodes_of_a_group_meet_in_a_cell(spark):
     rows = [(key, b"", 100 * key + k, k, 0, n) for key, n in ((1, 2), (2, 8), (3, 9), (4, 50)) for k in range(n)]
     cells = collections.defaultdict(list)
-    for r in near_dup._celled(spark.createDataFrame(rows, "key long, ord binary, node long, label long, t int, n long")).collect():
+    for r in near_dup._celled(spark.createDataFrame(rows, "key long, ord binary, node long, label long, t int, n long"), 8).collect():
         cells[r.cell].append((r.node, r.side))
     met = {frozenset((x, y)) for c in cells.values() for x, s in c for y, z in c if x != y and (s != z or not any(w for _, w in c))}
     assert met == {frozenset((a[2], b[2])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2]}
 
 
+def test_rare_shingles_of_similar_sets_meet(spark):
+    import random
+
+    rng = random.Random(8)
+    sets = [set(rng.sample(range(60), rng.randint(1, 50))) for _ in range(60)]
+    sets += [set(list(s)[: max(1, int(len(s) * rng.uniform(0.7, 1)))]) for s in sets]
+    rows = spark.createDataFrame([(k, np.array(sorted(s), np.int64).tobytes()) for k, s in enumerate(sets)], "node long, grams binary")
+    marks = collections.defaultdict(dict)
+    for r in near_dup._rare(rows, 75).collect():
+        marks[r.node][r.gram] = r.small
+    similar = [(a, b) for a in range(120) for b in range(120) if a != b and len(sets[a]) <= len(sets[b]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(similar) > 30
+    for a, b in similar:
+        assert any(small and g in marks[b] for g, small in marks[a].items())
+
+
 def test_long_chains_are_one_component(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(70)] + [(200, 201)], "a long, b long")
     labels = {r.node: r.label for r in near_dup.components(links).collect()}
