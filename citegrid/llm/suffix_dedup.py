@@ -8,11 +8,10 @@ A byte goes if a string of WIDTH = 50 bytes that covers it also starts in a docu
 2.  The documents' other runs, each as one piece of text with its places, are sent to shards by that hash, so equal
     strings meet in one shard, whatever documents they are in. Equal pieces are stored once.
 3.  Each shard's pieces get a suffix array by induced sorting: suffixes are classified, leftmost-smaller substrings are
-    sorted and named, their order is found recursively, and it induces the order of all suffixes in two linear passes. The
-    passes go bucket by bucket with array operations. Where names are too many for bucket passes, the reduced string
-    is ranked by doubling instead of by a further pass.
-4.  Permuted common prefixes (in text order, against the predecessor in the suffix array) are compared byte for byte up to
-    50; they split the array into groups of equal strings, whose least document id decides.
+    sorted and named, the string of their names is sorted in the same way, and its order induces that of all suffixes in
+    two passes, which place buckets as soon as all they depend on is placed.
+4.  Permuted common prefixes (in text order, with the predecessor in the suffix array) are computed byte for byte up to 50,
+    as longer ones change nothing; they split the array into groups of equal strings, whose least document id decides.
 5.  The removed intervals go back to the documents. Texts are exchanged by id once, for steps 2 and 5.
 """
 
@@ -33,8 +32,6 @@ WINDOW = WIDTH - GRAM + 1
 #: Bytes of pieces that one suffix array covers at most, unless a single least hash has more.
 ARRAY_BYTES = 1 << 19
 BLOCK = 8 << 20
-#: Names up to which a reduced string is sorted by bucket passes.
-BUCKETS = 512
 
 
 def words8(buf: np.ndarray) -> np.ndarray:
@@ -117,101 +114,90 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     if name[-1] + 1 < len(lms):
         by_place = np.zeros(n, np.int64)
         by_place[order] = name
-        order = lms[_reduced(by_place[lms], int(name[-1]) + 1)]
+        order = lms[suffix_array(by_place[lms], int(name[-1]) + 1)]
     return _induce(text, small, order, head, tail)
 
 
-def _reduced(names: np.ndarray, letters: int) -> np.ndarray:
-    if letters <= BUCKETS:
-        return suffix_array(names.astype(np.uint16), letters)
-    rank, step, n = names + 1, 1, len(names)
-    bits = np.uint64(n.bit_length())
-    while True:
-        second = np.zeros(n, np.uint64)
-        second[: n - step] = rank[step:]
-        if 3 * int(bits) <= 64:  # both ranks and the place fit one number: sorting numbers is much faster than sorting places
-            key = np.sort((rank.astype(np.uint64) << (bits + bits)) | (second << bits) | np.arange(n, dtype=np.uint64))
-            order, pair = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), key >> bits
+def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Order of all suffixes from the order of the leftmost-smaller ones: first the larger type, then the smaller one.
+
+    In a bucket (one first letter, one type) suffixes are ordered by the place of what follows their run of that letter.
+    That is in a bucket to the left for the larger type and to the right for the smaller one. A bucket is placed as soon as
+    all it depends on is, so a pass takes as many rounds as the longest dependency has buckets, not one for each bucket.
+    """
+    n, letters = len(text), len(head)
+    place = np.full(n + 1, -1, np.int64)  # the empty suffix, at n, is least
+    out = np.empty(n + 1, np.int64)  # suffixes by place, one further on
+    out[0] = n
+    if len(lms):
+        chars = text[lms].astype(np.int64)
+        count = np.bincount(chars, minlength=letters)
+        place[lms] = (tail - count)[chars] + np.arange(len(lms)) - (np.cumsum(count) - count)[chars]
+        out[place[lms] + 1] = lms
+    edge = np.concatenate((np.flatnonzero(text[:-1] != text[1:]) + 1, [n]))
+    after = np.repeat(edge, np.diff(np.concatenate(([0], edge))))  # where each position's run of one letter ends
+    _place_type(text, np.flatnonzero(~small), after, head, place, out, small, False)
+    smaller = np.flatnonzero(small)
+    if len(smaller):
+        _place_type(text, smaller, after, tail - np.bincount(text[smaller], minlength=letters), place, out, small, True)
+    return out[1:]
+
+
+def _place_type(text: np.ndarray, members: np.ndarray, after: np.ndarray, first: np.ndarray, place: np.ndarray, out: np.ndarray, small: np.ndarray, kind: bool) -> None:
+    """Places of all suffixes of one type, and the suffixes by place; first: where each letter's bucket of that type begins."""
+    n, letters = len(text), len(first)
+    key = text[members]
+    members = members[np.argsort(key.astype(np.uint16) if letters <= 1 << 16 else key, kind="stable")]
+    size = np.bincount(key, minlength=letters)
+    begin = np.cumsum(size) - size
+    # the last of a run waits for what follows it if that is of the same type; others have their place already
+    follows = after[members]
+    waits = members[(follows == members + 1) & (follows < n) & (small[np.minimum(follows, n - 1)] == kind)]
+    pending = np.bincount(text[waits], minlength=letters)
+    ready = np.flatnonzero((size > 0) & (pending == 0))
+    bits = int(n + 1).bit_length()
+    mask, narrow = (1 << bits) - 1, 3 * bits <= 63
+    while len(ready):
+        many = size[ready]
+        ends = np.cumsum(many)
+        rank = np.arange(int(ends[-1])) - np.repeat(ends - many, many)
+        j = members[np.repeat(begin[ready], many) + rank]
+        follows = after[j]
+        run = n - (follows - j) if kind else follows - j  # a longer run is less in the smaller type
+        bucket, then = np.repeat(np.arange(len(ready)), many), place[follows] + 1
+        if narrow:  # sorting numbers is much faster than sorting places, and the suffix follows from its number
+            packed = np.sort((bucket << (bits + bits)) | (run << bits) | then)
+            run = (packed >> bits) & mask
+            j = out[packed & mask] - ((n - run) if kind else run)
         else:
-            key = (rank.astype(np.uint64) << np.uint64(32)) | second
-            order = np.argsort(key, kind="stable")
-            pair = key[order]
-        new = np.concatenate(([1], 1 + np.cumsum(pair[1:] != pair[:-1])))
-        rank = np.zeros(n, np.int64)
-        rank[order] = new
-        step *= 2
-        if new[-1] == n or step >= n:
-            return order
+            j = j[np.lexsort((then, run, bucket))]
+        at = np.repeat(first[ready], many) + rank
+        place[j] = at
+        out[at + 1] = j
+        before = j[j > 0] - 1
+        before = before[(small[before] == kind) & (after[before] == before + 1)]
+        if 16 * len(before) < letters:
+            np.subtract.at(pending, text[before], 1)
+            hit = np.unique(text[before])
+            ready = hit[pending[hit] == 0]
+        else:
+            hit = np.bincount(text[before], minlength=letters)
+            pending -= hit
+            ready = np.flatnonzero((hit > 0) & (pending == 0))
 
 
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Order of all suffixes from the order of the leftmost-smaller ones."""
-    n = len(text)
-    out = np.full(n, -1, np.int64)
-    chars = text[lms]
-    count = np.bincount(chars, minlength=len(head)) if len(lms) else np.zeros(len(head), np.int64)
-    begin = tail - count
-    if len(lms):
-        ranks = np.arange(len(lms)) - np.concatenate(([0], np.cumsum(count)))[chars]
-        out[begin[chars] + ranks] = lms
-    used = np.flatnonzero(tail > head).tolist()
-    ptr = head.copy()
-
-    def put_large(j: np.ndarray) -> None:
-        key = text[j]
-        by = np.argsort(key, kind="stable")
-        j, key = j[by], key[by]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        letters, many = key[start], np.diff(np.concatenate((start, [len(key)])))
-        out[np.repeat(ptr[letters] - start, many) + np.arange(len(j))] = j
-        ptr[letters] += many
-
-    out_last = n - 1  # the empty suffix induces the last one, which is of the larger type
-    put_large(np.array([out_last]))
-    for c in used:
-        done = int(head[c])
-        while done < ptr[c]:
-            to = int(ptr[c])
-            j = out[done:to] - 1
-            done = to
-            j = j[j >= 0]
-            j = j[~small[j]]
-            if len(j):
-                put_large(j)
-        if count[c]:
-            j = out[begin[c] : tail[c]] - 1
-            j = j[j >= 0]
-            j = j[~small[j]]
-            if len(j):
-                put_large(j)
-    large_end = ptr
-    low = tail.copy()
-
-    def put_small(j: np.ndarray) -> None:
-        key = text[j]
-        by = np.argsort(key, kind="stable")
-        j, key = j[by], key[by]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        letters, many = key[start], np.diff(np.concatenate((start, [len(key)])))
-        out[np.repeat(low[letters] - 1 + start, many) - np.arange(len(j))] = j
-        low[letters] -= many
-
-    for c in reversed(used):
-        done = int(tail[c])
-        while done > low[c]:
-            to = int(low[c])
-            j = out[to:done][::-1] - 1
-            done = to
-            j = j[j >= 0]
-            j = j[small[j]]
-            if len(j):
-                put_small(j)
-        j = out[head[c] : large_end[c]][::-1] - 1
-        j = j[j >= 0]
-        j = j[small[j]]
-        if len(j):
-            put_small(j)
-    return out
+def common_prefixes(text: np.ndarray, at: np.ndarray, other: np.ndarray, most: int = WIDTH) -> np.ndarray:
+    """Lengths of the common prefixes of text[at:] and text[other:], up to `most`."""
+    w, n = words8(np.concatenate((text, np.zeros(most + 8, np.uint8)))), len(text)
+    out, going = np.zeros(len(at), np.int64), np.arange(len(at))
+    for k in range(0, most, 8):
+        if not len(going):
+            break
+        differ = w[at[going] + k] ^ w[other[going] + k]
+        low = differ & (~differ + np.uint64(1))  # its least bit that is set
+        out[going] = np.where(differ == 0, k + 8, k + np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) // 8)
+        going = going[differ == 0]
+    return np.minimum(out, np.minimum(most, n - np.maximum(at, other)))
 
 
 def group_minima(pieces: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,13 +219,10 @@ def group_minima(pieces: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np
     array = array[valid[array]]  # equal strings are neighbours: only they share 50 bytes without a separator
     before = np.full(len(text), -1, np.int64)
     before[array[1:]] = array[:-1]
-    at = starts[before[starts] >= 0]  # permuted common prefixes, in text order
-    other, w = before[at], words8(text)
-    for k in (0, 8, 16, 24, 32, 40, 42):
-        same = w[at + k] == w[other + k]
-        at, other = at[same], other[same]
-    full = np.zeros(len(text), bool)
-    full[at] = True
+    at = starts[before[starts] >= 0]
+    permuted = np.zeros(len(text), np.int64)  # common prefixes with the predecessor in the array, in text order
+    permuted[at] = common_prefixes(text, at, before[at])
+    full = permuted >= WIDTH
     first = np.flatnonzero(~full[array])
     minima = np.minimum.reduceat(least[owner[array]], first)
     out = np.zeros(len(text), np.int64)
@@ -254,8 +237,19 @@ def _five(raw: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
+def _lows_body(ids: np.ndarray, tags: np.ndarray, doc: np.ndarray, low: np.ndarray, known: bool) -> bytes:
+    """Documents and their hashes, packed; `known` ones (marked by a negative number) are shared for certain."""
+    at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    many = np.diff(np.concatenate((at, [len(doc)])))
+    low5 = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits; the whole hash chose the shard
+    return np.array([-len(at) if known else len(at), len(low)], "<i8").tobytes() + ids[doc[at]].astype("<i8").tobytes() + tags[doc[at]].astype("<u4").tobytes() + many.astype("<u4").tobytes() + np.ascontiguousarray(low5).tobytes()
+
+
 def _shares(docs: DataFrame, shards: int) -> DataFrame:
-    """id, tag, lows: least hashes that each document shares with another one (packed), several rows per document."""
+    """id, tag, lows: least hashes that each document shares with another one (packed), several rows per document.
+
+    A hash that many documents have leaves a block of documents twice at most, so no task gathers all of them.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, 2, BLOCK):
@@ -263,19 +257,26 @@ def _shares(docs: DataFrame, shards: int) -> DataFrame:
             if not len(low):
                 continue
             ids, tags = np.asarray(block.rows.column(0)), np.asarray(block.rows.column(1)).astype(np.int64)
-            to = ((low >> np.uint64(48)) % np.uint64(shards)).astype(np.uint16)
+            order = np.lexsort((doc, low))
+            low, doc = low[order], doc[order]
+            new = np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])))
+            low, doc = low[new], doc[new]
+            # what documents of one block share is known here; for the others its least and greatest id will do
+            first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+            size = np.diff(np.concatenate((first, [len(low)])))
+            least, most = (np.repeat(f.reduceat(ids[doc], first), size) for f in (np.minimum, np.maximum))
+            common = least != most
+            if common.any():
+                by = np.lexsort((low[common], doc[common]))
+                yield pa.RecordBatch.from_arrays([pa.array([int(mix(low[:1].copy())[0] % np.uint64(shards))], pa.int32()), pa.array([_lows_body(ids, tags, doc[common][by], low[common][by], True)], pa.binary())], ["shard", "body"])
+            told = ~common | (ids[doc] == least) | (ids[doc] == most)
+            low, doc = low[told], doc[told]
+            to = (mix(low.copy()) % np.uint64(shards)).astype(np.uint32)
             order = np.lexsort((low, doc, to))
             low, doc, to = low[order], doc[order], to[order]
-            new = np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (to[1:] != to[:-1])))
-            low, doc, to = low[new], doc[new], to[new]
             edges = np.searchsorted(to, np.arange(shards + 1))
-            which, bodies = np.flatnonzero(np.diff(edges)), []
-            for s in which.tolist():
-                v, d = low[edges[s] : edges[s + 1]], doc[edges[s] : edges[s + 1]]
-                at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-                many = np.diff(np.concatenate((at, [len(d)])))
-                low5 = v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits; 16 others chose the shard
-                bodies.append(np.array([len(at), len(v)], "<i8").tobytes() + ids[d[at]].astype("<i8").tobytes() + tags[d[at]].astype("<u4").tobytes() + many.astype("<u4").tobytes() + np.ascontiguousarray(low5).tobytes())
+            which = np.flatnonzero(np.diff(edges))
+            bodies = [_lows_body(ids, tags, doc[edges[s] : edges[s + 1]], low[edges[s] : edges[s + 1]], False) for s in which.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(bodies, pa.binary())], ["shard", "body"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +309,18 @@ def _shares(docs: DataFrame, shards: int) -> DataFrame:
             packed = [raw5[5 * a : 5 * b] for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(ids[row[at]]), pa.array(tags[row[at]].astype(np.int64)), pa.array(packed, pa.binary())], ["id", "tag", "lows"])
 
+        def certain(raw: bytes) -> pa.RecordBatch:
+            d, n = np.frombuffer(raw, "<i8", 2).tolist()
+            d = -d
+            ends = 5 * np.cumsum(np.frombuffer(raw, "<u4", d, 16 + 12 * d).astype(np.int64)) + 16 + 16 * d
+            packed = [raw[a:b] for a, b in zip([16 + 16 * d, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<i8", d, 16)), pa.array(np.frombuffer(raw, "<u4", d, 16 + 8 * d).astype(np.int64)), pa.array(packed, pa.binary())], ["id", "tag", "lows"])
+
         for batch in batches:
             for shard, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if body[7] & 0x80:
+                    yield certain(body)
+                    continue
                 if shard != now:
                     if bodies:
                         yield out()
@@ -323,7 +334,10 @@ def _shares(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _intervals(with_lows: DataFrame, shards: int) -> DataFrame:
-    """id, tag, spans (packed pairs of u4: first byte, end): what goes, several rows per document. Rows: id, tag, t, lows."""
+    """id, tag, spans (packed pairs of u4: first byte, end): what goes, several rows per document. Rows: id, tag, t, lows.
+
+    A piece that documents of one block share is asked about for that with the least id only; the others lose it whole.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -347,20 +361,32 @@ def _intervals(with_lows: DataFrame, shards: int) -> DataFrame:
             by: dict[int, dict[bytes, list[int]]] = {}
             for r, (s, a, m) in enumerate(zip(to.tolist(), first.tolist(), number.tolist(), strict=True)):
                 by.setdefault(s, {}).setdefault(raw[a : a + m + WIDTH - 1], []).append(r)
-            bodies = []
+            bodies, gone = [], []
             for pieces in by.values():
                 rows = np.array([r for rs in pieces.values() for r in rs])
                 heads = np.array([rs[0] for rs in pieces.values()])
+                size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                many = np.fromiter(map(len, pieces.values()), np.int64, len(pieces))
+                at = np.cumsum(many) - many
+                least = np.minimum.reduceat(ids[doc[rows]], at)
+                asks = ids[doc[rows]] == np.repeat(least, many)  # the others lose the piece to a document of this block
+                lost = rows[~asks]
+                gone.append((ids[doc[lost]], tags[doc[lost]], places[lost], places[lost] + np.repeat(size, many)[~asks]))
+                rows, many = rows[asks], np.add.reduceat(asks, at, dtype=np.int64)
                 parts = [
                     np.array([len(pieces), len(rows)], "<i8"),
                     low[heads].astype("<u8"),
                     ids[doc[rows]].astype("<i8"),
-                    np.array(list(map(len, pieces)), "<u4"),
-                    np.array(list(map(len, pieces.values())), "<u4"),
+                    size.astype("<u4"),
+                    many.astype("<u4"),
                     tags[doc[rows]].astype("<u4"),
                     places[rows].astype("<u4"),
                 ]
                 bodies.append(b"".join([*(p.tobytes() for p in parts), packer.compress(b"".join(pieces))]))
+            lost = [np.concatenate(x) for x in zip(*gone, strict=True)] if gone else []
+            if gone and len(lost[0]):
+                body = b"".join([np.array([-1, len(lost[0])], "<i8").tobytes(), *(x.astype(t).tobytes() for x, t in zip(lost, ("<i8", "<u4", "<u4", "<u4"), strict=True))])
+                yield pa.RecordBatch.from_arrays([pa.array([next(iter(by))], pa.int32()), pa.array([body], pa.binary())], ["shard", "body"])
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(bodies, pa.binary())], ["shard", "body"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,17 +446,23 @@ def _intervals(with_lows: DataFrame, shards: int) -> DataFrame:
                 s.append(place[r] + edge[0::2])
                 e.append(place[r] + edge[1::2] + WIDTH - 1)
             d, t, s, e = map(np.concatenate, (d, t, s, e))
-            if not len(d):
-                return
+            if len(d):
+                yield packed_spans(d, t, s, e)
+
+        def packed_spans(d: np.ndarray, t: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
             order = np.lexsort((s, t, d))
             d, t, s, e = d[order], t[order], s[order], e[order]
             new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]))))
             spans = np.stack((s, e), axis=1).astype("<u4")
             packed = [spans[a:b].tobytes() for a, b in zip(new.tolist(), [*new[1:].tolist(), len(d)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(t[new].astype(np.int64)), pa.array(packed, pa.binary())], ["id", "tag", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(t[new].astype(np.int64)), pa.array(packed, pa.binary())], ["id", "tag", "spans"])
 
         for batch in batches:
             for shard, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if body[7] & 0x80:  # decided where it was sent
+                    n = int(np.frombuffer(body, "<i8", 2)[1])
+                    yield packed_spans(np.frombuffer(body, "<i8", n, 16), *(np.frombuffer(body, "<u4", n, 16 + (8 + 4 * k) * n) for k in range(3)))
+                    continue
                 if shard != now:
                     if table:
                         yield from settle()
@@ -447,14 +479,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_bytes, spans (array of struct<start, end>, bytes, disjoint and sorted), kept (binary); one row per input row.
 
     Null text counts as empty; texts under 50 bytes lose nothing. Rows with a null id neither lose anything nor take part.
-    Rows that share an id do not remove each other; if their texts differ, each is judged by its own. Cuts may fall
-    inside a character, so what is kept is binary. An empty table gives no rows. Ids are cast to bigint; other columns
-    are not read.
+    Rows that share an id do not remove each other; if their texts differ, each is judged by its own; repeated rows come
+    out as often as they came in. Cuts may fall inside a character, so what is kept is binary. A text of many megabytes is a
+    block of its own and goes to many shards. An empty table gives no rows. Ids are cast to bigint; other columns are not
+    read, so their names cannot clash.
     """
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.crc32(t.cast("binary")).alias("tag"), t.alias("t"))
-    if shards is None:  # as many as the table has partitions, within reason
-        shards = int(min(max(rows.rdd.getNumPartitions(), 12), 1 << 12))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.crc32(t.cast("binary")).alias("tag"), t.alias("t"))
+    if shards is None:  # in proportion to the table, so that a shard does not grow with it
+        shards = max(rows.rdd.getNumPartitions(), 12)
     named = rows.filter(F.col("id").isNotNull())
     lows = _shares(named, shards).groupBy("id", "tag").agg(F.collect_list("lows").alias("lows"))
     # both joins are outer ones over the same rows, so the texts are exchanged once for the two of them

@@ -203,7 +203,46 @@ def test_suffix_array():
             assert suffix_dedup.suffix_array(a, 256).tolist() == sorted(range(n), key=lambda i: b[i:])  # noqa: B023
 
 
-def test_suffix_dedup(docs, corpus):
+@pytest.mark.parametrize("letters", [3, 60, 5000])
+def test_suffix_array_with_deep_recursion(letters):
+    """Long arrays of few, of many, and of numbers beyond two bytes, with runs, periods and rising and falling stretches."""
+    rng = np.random.default_rng(letters)
+    parts = [rng.integers(0, letters, 20_000), np.tile(rng.integers(0, letters, 37), 200), np.full(3000, 1), np.arange(letters), np.arange(letters)[::-1], rng.integers(0, letters, 5000)]
+    text = np.concatenate([*parts, parts[0][:4000], parts[1][:500]])
+    got = suffix_dedup.suffix_array(text, letters)
+    place = np.empty(len(text) + 1, np.int64)
+    place[got], place[-1] = np.arange(len(text)), -1
+    assert sorted(got.tolist()) == list(range(len(text)))
+    a, b = got[:-1], got[1:]
+    assert ((text[a] < text[b]) | ((text[a] == text[b]) & (place[a + 1] < place[b + 1]))).all()
+
+
+def test_common_prefixes():
+    import random
+
+    rng = random.Random(3)
+    raw = bytes(rng.choice(b"ab") for _ in range(50)) * 6 + bytes(rng.choice(b"ab") for _ in range(200))
+    text = np.frombuffer(raw, np.uint8)
+    at, other = (np.array([rng.randrange(len(raw)) for _ in range(400)]) for _ in range(2))
+    plain = [next((k for k in range(50) if x + k >= len(raw) or y + k >= len(raw) or raw[x + k] != raw[y + k]), 50) for x, y in zip(at.tolist(), other.tolist(), strict=True)]
+    assert suffix_dedup.common_prefixes(text, at, other).tolist() == plain
+
+
+def test_shards_of_half_a_megabyte(spark):
+    """Whole shards of real length, hot pieces, a document that repeats itself, and one of several megabytes."""
+    import random
+
+    from tests.llm.conftest import text
+
+    rng = random.Random(12)
+    shared = [text(rng, 3) for _ in range(40)]
+    rows = [(k, "".join([text(rng, 3), rng.choice(shared), text(rng, 2), rng.choice(shared)])) for k in range(1500)]
+    rows += [(5000, shared[0] * 50), (5001, text(rng, 30_000) + shared[1]), (5001, shared[2]), (5002, rows[7][1]), (5002, rows[7][1])]
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=1)).collect()
+    assert collections.Counter(map(tuple, got)) == plain_suffix_dedup(rows)
+
+
+def plain_suffix_dedup(corpus):
     first: dict[bytes, int] = {}
     rows = [(r[0], (r[1] or "").encode()) for r in corpus]
     for i, b in rows:
@@ -219,8 +258,11 @@ def test_suffix_dedup(docs, corpus):
                     gone[k : k + 50] = b"\1" * 50
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
-    got = collections.Counter(map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(docs)).collect()))
-    assert got == want
+    return want
+
+
+def test_suffix_dedup(docs, corpus):
+    assert collections.Counter(map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(docs)).collect())) == plain_suffix_dedup(corpus)
 
 
 # ---- language model ----------------------------------------------------------------------------------------------
