@@ -87,101 +87,136 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     """Suffix array of numbers in 0..letters-1 by induced sorting; the empty suffix is least and left out."""
     n = len(text)
     if n < 2:
-        return np.arange(n)
-    edge = np.concatenate((np.flatnonzero(text[:-1] != text[1:]), [n - 1]))
-    rising = np.concatenate((text[edge[:-1]] < text[edge[:-1] + 1], [False]))
-    small = np.repeat(rising, np.diff(np.concatenate(([-1], edge))))  # S-type
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    size = np.bincount(text, minlength=letters)
-    tail = np.cumsum(size)
-    head = tail - size
-    if not len(lms):
-        return _induce(text, small, lms, head, tail)
-    first = _induce(text, small, lms[np.argsort(text[lms], kind="stable")], head, tail)
-    mark = np.zeros(n, bool)
-    mark[lms] = True
-    order = first[mark[first]]
-    # name the leftmost-smaller substrings: equal ones get one name
-    stop = np.concatenate((lms[1:] + 1, [n]))
-    end = np.zeros(n, np.int64)
-    end[lms] = stop
-    power = np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)))
-    code = (sums[end[order]] - sums[order]) * power[n - 1 - order]  # one power for all, so equal strings give equal codes
-    width = end[order] - order
-    same = (code[1:] == code[:-1]) & (width[1:] == width[:-1]) & (end[order[1:]] != n) & (end[order[:-1]] != n)
-    name = np.concatenate(([0], np.cumsum(~same)))
-    if name[-1] + 1 < len(lms):
-        by_place = np.zeros(n, np.int64)
-        by_place[order] = name
-        order = lms[suffix_array(by_place[lms], int(name[-1]) + 1)]
-    return _induce(text, small, order, head, tail)
-
-
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Order of all suffixes from the order of the leftmost-smaller ones: first the larger type, then the smaller one.
+        return np.arange(n, dtype=np.int32)
+    edge = np.concatenate((np.flatnonzero(text[:-1] != text[1:]), [n - 1])).astype(np.int32)
+    run = np.diff(np.concatenate((np.array([-1], np.int32), edge)))
+    small = np.repeat(np.concatenate((text[edge[:-1]] < text[edge[:-1] + 1], [False])), run)  # S-type
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
+    if len(lms):
+        order, name = _named(text, lms, letters)
+        if int(name[-1]) + 1 < len(lms):
+            by_place = np.empty(len(lms), np.int32)
+            by_place[order] = name
+            order = suffix_array(by_place, int(name[-1]) + 1)
+        lms = lms[order]
+    return _induce(text, letters, small, lms, np.repeat(edge + np.int32(1), run))
+
+
+def _named(text: np.ndarray, lms: np.ndarray, letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leftmost-smaller substrings in order (as indexes into lms), and their names: equal ones get one name.
+
+    They are compared some letters at a time, as one number; only those that are equal so far and go on are looked at
+    again. Where one ends, the other can only go on with letters of the larger type, so the one that ends is greater.
+    """
+    n, m = len(text), len(lms)
+    bits = int(letters + 1).bit_length()
+    per, pad = 63 // bits, (1 << bits) - 1
+    letter = np.zeros(n + 1, np.int64)  # 0: the end of the text
+    letter[:n] = text
+    letter[:n] += 1
+    stop = np.concatenate((lms[1:] + 1, [n + 1]))
+
+    def word(which: np.ndarray | slice, skip: int) -> np.ndarray:
+        at, end = lms[which] + skip, stop[which]
+        out = np.zeros(len(at), np.int64)
+        for k in range(per):
+            out = (out << bits) | np.where(at + k < end, letter[np.minimum(at + k, n)], pad)
+        return out
+
+    key = word(slice(None), 0)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    size, skip = (stop - lms)[order], per
+    while True:
+        tied = ~new | ~np.concatenate((new[1:], [True]))
+        open_ = np.flatnonzero(tied & (size >= skip))  # one that ends just here may be tied with one that goes on
+        if not len(open_):
+            return order, np.cumsum(new) - 1
+        group = np.cumsum(new)[open_]
+        key = word(order[open_], skip)
+        by = np.lexsort((key, group))
+        order[open_] = order[open_][by]
+        key = key[by]
+        new[open_[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        size[open_] = size[open_][by]
+        skip += per
+
+
+def _induce(text: np.ndarray, letters: int, small: np.ndarray, lms: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Order of all suffixes from that of the leftmost-smaller ones: first the larger type, then the smaller one.
 
     In a bucket (one first letter, one type) suffixes are ordered by the place of what follows their run of that letter.
     That is in a bucket to the left for the larger type and to the right for the smaller one. A bucket is placed as soon as
     all it depends on is, so a pass takes as many rounds as the longest dependency has buckets, not one for each bucket.
+    after: where each position's run of one letter ends.
     """
-    n, letters = len(text), len(head)
-    place = np.full(n + 1, -1, np.int64)  # the empty suffix, at n, is least
-    out = np.empty(n + 1, np.int64)  # suffixes by place, one further on
+    n = len(text)
+    tail = np.cumsum(np.bincount(text, minlength=letters))
+    place = np.full(n + 1, -1, np.int32)  # the empty suffix, at n, is least
+    out = np.empty(n + 1, np.int32)  # suffixes by place, one further on
     out[0] = n
     if len(lms):
-        chars = text[lms].astype(np.int64)
+        chars = text[lms]
         count = np.bincount(chars, minlength=letters)
-        place[lms] = (tail - count)[chars] + np.arange(len(lms)) - (np.cumsum(count) - count)[chars]
+        place[lms] = (tail - np.cumsum(count))[chars] + np.arange(len(lms))
         out[place[lms] + 1] = lms
-    edge = np.concatenate((np.flatnonzero(text[:-1] != text[1:]) + 1, [n]))
-    after = np.repeat(edge, np.diff(np.concatenate(([0], edge))))  # where each position's run of one letter ends
-    _place_type(text, np.flatnonzero(~small), after, head, place, out, small, False)
-    smaller = np.flatnonzero(small)
-    if len(smaller):
-        _place_type(text, smaller, after, tail - np.bincount(text[smaller], minlength=letters), place, out, small, True)
+    starts = np.concatenate((np.zeros(1, np.int32), after[:-1])) != after  # first of a run
+    for kind in (False, True):
+        members = np.flatnonzero(small == kind).astype(np.int32)
+        size = np.bincount(text[members], minlength=letters)
+        if len(members):
+            # a place wakes the bucket of what stands before it, if that is the last of a run of the same type
+            wakes = np.full(n + 1, -1, np.int32)
+            wakes[1:n][starts[1:] & (small[:-1] == kind)] = text[:-1][starts[1:] & (small[:-1] == kind)]
+            first = tail - size if kind else tail - np.bincount(text, minlength=letters)
+            _place_type(text, members, size, after, first, place, out, wakes, small, kind)
     return out[1:]
 
 
-def _place_type(text: np.ndarray, members: np.ndarray, after: np.ndarray, first: np.ndarray, place: np.ndarray, out: np.ndarray, small: np.ndarray, kind: bool) -> None:
+def _place_type(text: np.ndarray, members: np.ndarray, size: np.ndarray, after: np.ndarray, first: np.ndarray, place: np.ndarray, out: np.ndarray, wakes: np.ndarray, small: np.ndarray, kind: bool) -> None:
     """Places of all suffixes of one type, and the suffixes by place; first: where each letter's bucket of that type begins."""
     n, letters = len(text), len(first)
     key = text[members]
     members = members[np.argsort(key.astype(np.uint16) if letters <= 1 << 16 else key, kind="stable")]
-    size = np.bincount(key, minlength=letters)
     begin = np.cumsum(size) - size
-    # the last of a run waits for what follows it if that is of the same type; others have their place already
-    follows = after[members]
-    waits = members[(follows == members + 1) & (follows < n) & (small[np.minimum(follows, n - 1)] == kind)]
-    pending = np.bincount(text[waits], minlength=letters)
+    same = np.flatnonzero(small == kind)
+    waiting = wakes[same[wakes[same] >= 0]]  # others that could wake a bucket have their place already
+    pending = np.bincount(waiting, minlength=letters)
     ready = np.flatnonzero((size > 0) & (pending == 0))
     bits = int(n + 1).bit_length()
     mask, narrow = (1 << bits) - 1, 3 * bits <= 63
     while len(ready):
-        many = size[ready]
-        ends = np.cumsum(many)
-        rank = np.arange(int(ends[-1])) - np.repeat(ends - many, many)
-        j = members[np.repeat(begin[ready], many) + rank]
+        if len(ready) == 1:
+            c = int(ready[0])
+            m = int(size[c])
+            j, at = members[begin[c] : begin[c] + m], np.arange(first[c], first[c] + m)
+            bucket: np.ndarray | int = 0
+        else:
+            many = size[ready]
+            ends = np.cumsum(many)
+            rank = np.arange(int(ends[-1])) - np.repeat(ends - many, many)
+            j, at = members[np.repeat(begin[ready], many) + rank], np.repeat(first[ready], many) + rank
+            bucket = np.repeat(np.arange(len(ready)), many)
         follows = after[j]
         run = n - (follows - j) if kind else follows - j  # a longer run is less in the smaller type
-        bucket, then = np.repeat(np.arange(len(ready)), many), place[follows] + 1
+        then = place[follows] + 1
         if narrow:  # sorting numbers is much faster than sorting places, and the suffix follows from its number
-            packed = np.sort((bucket << (bits + bits)) | (run << bits) | then)
+            packed = np.sort((run.astype(np.int64) << bits) | then | (bucket << (bits + bits)))
             run = (packed >> bits) & mask
             j = out[packed & mask] - ((n - run) if kind else run)
         else:
-            j = j[np.lexsort((then, run, bucket))]
-        at = np.repeat(first[ready], many) + rank
+            j = j[np.lexsort((then, run, np.broadcast_to(bucket, len(j))))]
         place[j] = at
         out[at + 1] = j
-        before = j[j > 0] - 1
-        before = before[(small[before] == kind) & (after[before] == before + 1)]
-        if 16 * len(before) < letters:
-            np.subtract.at(pending, text[before], 1)
-            hit = np.unique(text[before])
+        hits = wakes[j]
+        hits = hits[hits >= 0]
+        if 16 * len(hits) < letters:
+            np.subtract.at(pending, hits, 1)
+            hit = np.unique(hits)
             ready = hit[pending[hit] == 0]
         else:
-            hit = np.bincount(text[before], minlength=letters)
+            hit = np.bincount(hits, minlength=letters)
             pending -= hit
             ready = np.flatnonzero((hit > 0) & (pending == 0))
 

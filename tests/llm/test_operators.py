@@ -208,7 +208,8 @@ def test_suffix_array_with_deep_recursion(letters):
     """Long arrays of few, of many, and of numbers beyond two bytes, with runs, periods and rising and falling stretches."""
     rng = np.random.default_rng(letters)
     parts = [rng.integers(0, letters, 20_000), np.tile(rng.integers(0, letters, 37), 200), np.full(3000, 1), np.arange(letters), np.arange(letters)[::-1], rng.integers(0, letters, 5000)]
-    text = np.concatenate([*parts, parts[0][:4000], parts[1][:500]])
+    rises = [np.sort(rng.integers(0, letters, k % 24))[:: 1 if k % 3 else -1] for k in range(600)]
+    text = np.concatenate([*parts, parts[0][:4000], parts[1][:500], *(rises[k] for k in rng.integers(0, 600, 3000))])
     got = suffix_dedup.suffix_array(text, letters)
     place = np.empty(len(text) + 1, np.int64)
     place[got], place[-1] = np.arange(len(text)), -1
