@@ -22,6 +22,31 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS, -1), "")
 
 
+def running(values: Column, join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Running results of an associative join over an array, itself included.
+
+    Spark copies an array that a fold appends to; so the array is folded in parts of about its root's length, and what the
+    parts come to is folded once more: n**1.5 steps in place of n**2.
+    """
+
+    def scan(xs: Column, start: Column) -> Column:
+        none = F.filter(F.array(start), lambda _: F.lit(False))
+        last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), start)
+        return F.aggregate(xs, none, lambda a, x: F.concat(a, F.array(join(last(a), x))))
+
+    def split(xs: Column) -> Column:
+        part = F.greatest(F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int"), F.lit(1))
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / part).cast("int") - 1, F.lit(0))), lambda k: scan(F.slice(xs, k * part + 1, part), zero))
+
+        def whole(ps: Column) -> Column:
+            ends = scan(F.transform(ps, lambda p: F.coalesce(F.get(p, F.size(p) - 1), zero)), zero)
+            return let(ends, lambda es: F.flatten(F.transform(ps, lambda p, k: let(F.coalesce(F.get(es, k - 1), zero), lambda before: F.transform(p, lambda x: join(before, x))))))
+
+        return let(parts, whole)
+
+    return let(values, split)
+
+
 def positions(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches of a pattern as array<struct<s int, e int, m string>>, in code points.
 
@@ -30,15 +55,9 @@ def positions(text: Column, pattern: str, keep: Callable[[Column], Column] | Non
     """
 
     def walk(gaps: Column, found: Column) -> Column:
-        lens = F.transform(found, lambda m, k: F.struct(F.length(F.get(gaps, k)).alias("gap"), F.length(m).alias("n"), m.alias("m")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-
-        def step(a: Column, x: Column) -> Column:
-            s = a["at"] + x["gap"]
-            e = s + x["n"]
-            one = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))
-            return F.struct(e.alias("at"), (F.when(keep(x["m"]), F.concat(a["out"], one)).otherwise(a["out"]) if keep else F.concat(a["out"], one)).alias("out"))
-
-        return F.aggregate(lens, start, step, lambda a: a["out"])
+        ends = running(F.transform(found, lambda m, k: F.length(F.get(gaps, k)) + F.length(m)), lambda a, b: a + b, F.lit(0))
+        places = let(ends, lambda es: F.transform(found, lambda m, k: F.struct((F.get(es, k) - F.length(m)).alias("s"), F.get(es, k).alias("e"), m.alias("m"))))
+        return F.filter(places, lambda x: keep(x["m"])) if keep else places
 
-    return let(F.split(text, pattern, -1), lambda gaps: walk(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(F.split(text, pattern, -1), lambda gaps: let(found, lambda f: walk(gaps, f)))

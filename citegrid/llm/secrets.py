@@ -2,9 +2,10 @@
 
 Entropy: in each candidate string (a run of token characters) a window slides over the characters; counts per character
 change by one in and one out, and with them the sum of c*log2(c), so each step costs the same whatever the window's
-width. A string whose densest window exceeds the limit of its character class, and that no allow rule suppresses,
-is reported unless it overlaps a span of the fixed patterns. Texts without any candidate are passed over by one regular
-expression.
+width. The counts are five bits each in six numbers, so a step adds to two numbers and copies nothing else. A string
+whose densest window exceeds the limit of its character class, and that no allow rule suppresses, is reported. Of a
+candidate that spans of the fixed patterns touch, the parts beside them are candidates. Texts without any candidate
+are passed over by one regular expression; with many matches the work stays far under their square.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrid.llm.native import let, positions
+from citegrid.llm.native import let, positions, running
+from citegrid.llm.shared import free_name
 
 #: Fixed patterns of the contract; lengths are checked after the scan where that changes what a scan finds.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -32,32 +34,42 @@ LIMITS = {"hex": 3.0, "upper": 3.6, "mixed": 3.7}
 ALLOWED = (r"^[0-9_=-]+$", r"^/?([a-z]+[/_-])+[a-z]*[0-9]{0,4}$", r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"^(.{1,4}?)\1+$")
 
 
+#: Characters of candidates. Each has a place of five bits in one of six numbers.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+PER_NUMBER = 12
+
+
 def densest_window(text: Column, width: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits per character, over all windows of `width` characters (ASCII text).
+    """Largest Shannon entropy, in bits per character, over all windows of `width` characters of candidates (31 at most).
 
-    The state has the counts of 128 characters and s, the sum of c*log2(c); the entropy is log2(width) - s / width.
+    The state has the counts and s, the sum of c*log2(c); the entropy is log2(width) - s / width.
     """
+    if width > 31:
+        raise ValueError("a count has five bits")
     table = F.array(*[F.lit(float(c) * math.log2(c) if c else 0.0) for c in range(width + 2)])
+    place = F.array(*[F.lit(max(ALPHABET.find(chr(k)), 0)) for k in range(128)])
+    numbers = -(-len(ALPHABET) // PER_NUMBER)
 
     def run(codes: Column) -> Column:
-        zero = F.struct(F.array_repeat(F.lit(0), 128).alias("c"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
-
-        def step(a: Column, x: Column) -> Column:
-            def leave(b: Column) -> Column:
-                c = F.get(b["c"], x["out"])
-                gone = F.struct(F.transform(b["c"], lambda v, k: F.when(k == x["out"], v - 1).otherwise(v)).alias("c"), (b["s"] - F.get(table, c) + F.get(table, c - 1)).alias("s"))
-                return F.when(x["out"] >= 0, gone).otherwise(F.struct(b["c"].alias("c"), b["s"].alias("s")))
+        zero = F.struct(F.array(*[F.lit(0).cast("bigint")] * numbers).alias("c"), F.lit(0.0).alias("s"), F.lit(1e9).alias("least"))
+        number = lambda p: F.floor(p / PER_NUMBER).cast("int")
+        bits = lambda p: (p % PER_NUMBER) * 5
+        times = lambda c, p: F.call_function("shiftright", F.get(c, number(p)), bits(p)).bitwiseAND(F.lit(31)).cast("int")
 
-            def enter(b: Column) -> Column:
-                c = F.get(b["c"], x["in"])
-                return F.struct(F.transform(b["c"], lambda v, k: F.when(k == x["in"], v + 1).otherwise(v)).alias("c"), (b["s"] - F.get(table, c) + F.get(table, c + 1)).alias("s"))
+        def moved(b: Column, p: Column, by: int) -> Column:
+            one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits(p))
+            counts = F.transform(b["c"], lambda v, k: F.when(k == number(p), v + one * by).otherwise(v))
+            return let(times(b["c"], p), lambda n: F.struct(counts.alias("c"), (b["s"] - F.get(table, n) + F.get(table, n + by)).alias("s")))
 
-            return let(let(F.struct(a["c"].alias("c"), a["s"].alias("s")), leave), lambda b: let(enter(b), lambda d: F.struct(d["c"].alias("c"), d["s"].alias("s"), F.when(x["i"] >= width - 1, F.least(a["least"], d["s"])).otherwise(a["least"]).alias("least"))))
+        def step(a: Column, x: Column) -> Column:
+            left = F.when(x["out"] >= 0, moved(a, x["out"], -1)).otherwise(F.struct(a["c"].alias("c"), a["s"].alias("s")))
+            seen = lambda d: F.struct(d["c"].alias("c"), d["s"].alias("s"), F.when(x["i"] >= width - 1, F.least(a["least"], d["s"])).otherwise(a["least"]).alias("least"))
+            return let(let(left, lambda b: moved(b, x["in"], 1)), seen)
 
         moves = F.transform(codes, lambda v, i: F.struct(v.alias("in"), F.when(i >= width, F.get(codes, i - width)).otherwise(F.lit(-1)).alias("out"), i.alias("i")))
         return F.aggregate(moves, zero, step, lambda a: F.log2(F.lit(float(width))) - a["least"] / width)
 
-    return let(F.transform(F.split(text, ""), lambda ch: F.ascii(ch) % 128), run)
+    return let(F.transform(F.split(text, ""), lambda ch: F.get(place, F.ascii(ch) % 128)), run)
 
 
 def _wordlike(m: Column) -> Column:
@@ -75,18 +87,38 @@ def _dense(m: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(densest_window(m) >= limit)
 
 
-def secret_spans(text: Column) -> Column:
-    """struct<assign, access, hex, entropy>, each array<struct<s, e, m>>, for a text that is not null."""
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    some = lambda p, keep=None: F.when(text.rlike(p), positions(text, p, keep)).otherwise(none)
-    base = F.struct(some(ASSIGN, lambda m: m.rlike(ASSIGN_VALUE)).alias("assign"), some(ACCESS).alias("access"), some(HEX).alias("hex"))
-
-    def with_entropy(b: Column) -> Column:
-        fixed = F.concat(b["assign"], b["access"], b["hex"])
-        found = F.filter(some(CANDIDATE), lambda x: ~F.exists(fixed, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-        return F.struct(b["assign"].alias("assign"), b["access"].alias("access"), b["hex"].alias("hex"), F.filter(found, lambda x: _dense(x["m"])).alias("entropy"))
+def beside(df: DataFrame, candidates: str, fixed: str, out: str, least: int) -> DataFrame:
+    """df with `out`: parts of the candidates outside the fixed spans that have `least` characters, as array<struct<s, e, m>>.
 
-    return let(base, with_entropy)
+    Candidates are disjoint and in order; fixed spans may overlap. Candidates and the gaps between fixed spans are walked
+    through by their starts, each with the last candidate and the last gap that begins before it: what they share begins
+    there. Step by step, as Spark resolves nested lambdas one level a round.
+    """
+    later = lambda a, b: F.greatest(a, b)
+    fx, reach, events, own, free = (free_name(df.columns, x) for x in ("fx", "reach", "events", "own", "free"))
+    df = df.withColumn(fx, F.sort_array(F.transform(fixed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+    df = df.withColumn(reach, running(F.transform(fx, lambda x: x["e"]), later, F.lit(0)))
+    gap = lambda s, e: F.struct(s.alias("s"), e.alias("e"), F.lit(None).cast("int").alias("k"))
+    until = lambda f, k: F.coalesce(F.get(f, k)["s"], F.lit(2**31 - 1))
+    gaps = lambda f, r: F.concat(F.array(gap(F.lit(0), until(f, F.lit(0)))), F.transform(f, lambda x, k: gap(F.get(r, k), until(f, k + 1))))
+    whole = F.transform(candidates, lambda x, k: F.struct(x["s"].alias("s"), x["e"].alias("e"), k.alias("k")))
+    # what a lambda names is bound by let: else the optimizer may put its whole computation into each step
+    between = let(F.col(fx), lambda f: let(F.col(reach), lambda r: gaps(f, r)))
+    df = df.withColumn(events, F.sort_array(F.concat(whole, F.filter(between, lambda g: g["s"] < g["e"]))))
+    df = df.withColumn(own, running(F.transform(events, lambda v: F.coalesce(v["k"], F.lit(-1))), later, F.lit(-1)))
+    df = df.withColumn(free, running(F.transform(events, lambda v: F.when(v["k"].isNull(), v["e"]).otherwise(F.lit(0))), later, F.lit(0)))
+
+    def shared(ev: Column, cs: Column, o: Column, f: Column) -> Column:
+        def part(v: Column, i: Column) -> Column:
+            c = F.get(cs, F.nullif(F.get(o, i), F.lit(-1)))
+            e = F.least(c["e"], F.get(f, i))
+            return F.struct(v["s"].alias("s"), e.alias("e"), F.substr(c["m"], v["s"] - c["s"] + 1, F.greatest(e - v["s"], F.lit(0))).alias("m"))
+
+        twice = lambda p, i: F.coalesce(F.get(ev, i + 1)["s"] == p["s"], F.lit(False))  # noqa: E731  of two that begin at one place the second sees both
+        return F.filter(F.transform(ev, part), lambda p, i: (p["e"] - p["s"] >= least) & ~twice(p, i))
+
+    parts = let(F.col(events), lambda ev: let(F.col(candidates), lambda cs: let(F.col(own), lambda o: let(F.col(free), lambda f: shared(ev, cs, o, f)))))
+    return df.withColumn(out, F.when((F.size(fixed) == 0) | (F.size(candidates) == 0), F.col(candidates)).otherwise(parts)).drop(fx, reach, events, own, free)
 
 
 def _listed(spans: Column, kinds: tuple[str, ...]) -> Column:
@@ -103,13 +135,19 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id and found, struct<assign, access, hex, entropy> of arrays of struct<s, e, m>: code points, end exclusive.
 
     One row per input row. Null text counts as empty and has no spans. Ids may be null or repeat; rows do not affect each
-    other, so neither ties nor repeated rows matter, and an empty table gives no rows. Other columns are not read.
+    other, so neither ties nor repeated rows matter, and an empty table gives no rows. Other columns are not read, so their
+    names cannot clash. A long text is scanned whole, in one row; thousands of matches in it are in order.
     """
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    quiet = F.struct(*[none.alias(k) for k in KINDS])
+    t = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     suspect = t.rlike(f"(?:{CANDIDATE}|{HEX}|AKIA[A-Z0-9]{{14}}|{ASSIGN_START})")
-    return docs.select(F.col(id_col).alias("doc_id"), F.when(suspect, secret_spans(t)).otherwise(quiet).alias("found"))
+    # all that follows is null, and costs nothing, where the text is not suspect
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.when(suspect, t).alias("t"))
+    some = lambda p, keep=None: F.when(F.col("t").rlike(p), positions(F.col("t"), p, keep)).when(F.col("t").isNotNull(), none)
+    rows = rows.withColumns({"assign": some(ASSIGN, lambda m: m.rlike(ASSIGN_VALUE)), "access": some(ACCESS), "hex": some(HEX), "candidates": some(CANDIDATE)})
+    rows = rows.withColumn("fixed", F.concat("assign", "access", "hex")).drop("t")
+    rows = beside(rows, "candidates", "fixed", "parts", WINDOW).withColumn("entropy", F.filter("parts", lambda x: _dense(x["m"])))
+    return rows.select("doc_id", F.struct(*[F.coalesce(k, none).alias(k) for k in KINDS]).alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:

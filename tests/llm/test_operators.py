@@ -729,18 +729,79 @@ def test_secret_scan_on_the_corpus(docs, corpus):
     assert got == collections.Counter((r[0], *plain_secrets(r[1])) for r in corpus)
 
 
-def test_sliding_entropy(spark):
-    def plain(s, w=20):
-        best = 0.0
-        for i in range(len(s) - w + 1):
-            c = collections.Counter(s[i : i + w]).values()
-            best = max(best, math.log2(w) - sum(x * math.log2(x) for x in c) / w)
-        return best
+def plain_entropy(s, w=20):
+    best = 0.0
+    for i in range(len(s) - w + 1):
+        c = collections.Counter(s[i : i + w]).values()
+        best = max(best, math.log2(w) - sum(x * math.log2(x) for x in c) / w)
+    return best
+
+
+def plain_entropy_spans(t):
+    """Parts of candidate strings outside the fixed spans, judged one by one."""
+    taken = set()
+    for p, ok in ((r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12), (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), (r"[0-9a-f]+", lambda m: len(m[0]) >= 16)):
+        for m in re.finditer(p, t):
+            if ok(m):
+                taken |= set(range(*m.span()))
+    out = []
+    for c in re.finditer(secrets.CANDIDATE, t):
+        for part in re.finditer(r"o{20,}", "".join("x" if k in taken else "o" for k in range(*c.span()))):
+            s, e = c.start() + part.start(), c.start() + part.end()
+            m = t[s:e]
+            limit = secrets.LIMITS["hex"] if re.fullmatch("[0-9a-fA-F]+", m) else secrets.LIMITS["upper"] if not re.search("[a-z]", m) else secrets.LIMITS["mixed"]
+            parts = re.split("[/_+=-]+", m)
+            capitals = [(len(re.sub("[^A-Z]", "", p)), len(p)) for p in parts]
+            wordlike = not re.search("[0-9]", m) and all(c in (0, n) or 3 * c <= n for c, n in capitals)
+            if not wordlike and not any(re.search(r, m) for r in secrets.ALLOWED) and plain_entropy(m) >= limit:
+                out.append((s, e))
+    return out
+
+
+def random_secrets():
+    import random
+
+    rng = random.Random(21)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABET) for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    make = [lambda: key(rng.randint(5, 60)), lambda: hexes(rng.randint(8, 40)), lambda: "AKIA" + key(20).upper(), lambda: rng.choice(("token=", "secret: '", "api_key=")) + key(rng.randint(5, 30)), lambda: "word", lambda: "é漢"]
+    return ["".join(rng.choice(make)() + rng.choice(("", " ", "#", "Z", "\n")) for _ in range(rng.randint(1, 12))) for _ in range(300)] + ["Xy9" * 9 + "0123456789abcdef" + "Qw3Er5Ty7Ui9Op1As3Df5Gh7Jk"]
+
+
+def test_entropy_spans_equal_brute_force(spark, docs, corpus):
+    texts = random_secrets()
+    out = {r.doc_id: r for r in secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    total = 0
+    for i, t in enumerate(texts):
+        want = plain_entropy_spans(t)
+        total += len(want)
+        assert [tuple(map(int, x.split(":")[1:])) for x in out[i].spans.split(",") if x.startswith("entropy")] == want, t
+        assert (out[i].n_assign, out[i].n_access, out[i].n_hex, out[i].base_sha256) == plain_secrets(t), t
+    assert total > 200
+    got = collections.Counter((r.doc_id, r.n_entropy) for r in secrets.digest(secrets.scan(docs)).collect())
+    assert got == collections.Counter((r[0], len(plain_entropy_spans(r[1] or ""))) for r in corpus)
+
 
+def test_files_of_hashes_are_scanned_in_time(spark):
+    """20,000 hashes and as many keys in one text."""
+    import time
+
+    rng = np.random.default_rng(2)
+    rows = [rng.bytes(16).hex() + " " + "".join(secrets.ALPHABET[:62][k] for k in rng.integers(0, 62, 24)) for _ in range(20_000)]
+    t = "\n".join(rows)
+    source = spark.createDataFrame([(1, t), (2, None)], "doc_id long, text string")
+    begin = time.time()
+    out = {r.doc_id: r for r in secrets.digest(secrets.scan(source)).collect()}
+    assert time.time() - begin < 90
+    assert (out[1].n_assign, out[1].n_access, out[1].n_hex, out[1].base_sha256) == plain_secrets(t) and out[1].n_hex >= 20_000
+    assert out[1].n_entropy == len(plain_entropy_spans(t))
+
+
+def test_sliding_entropy(spark):
     values = ["aB3dE5fG7hJ9kL1mN3pQ5rS7tU9v", "a" * 30, "ab" * 12, "abcdefghij" * 5, "z1" * 10 + "aB3dE5fG7hJ9kL1mN3pQ"]
     rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.densest_window(F.col("v")).alias("h")).collect()
     for r in rows:
-        assert r.h == pytest.approx(plain(r.v), abs=1e-9)
+        assert r.h == pytest.approx(plain_entropy(r.v), abs=1e-9)
 
 
 # ---- all ---------------------------------------------------------------------------------------------------------
