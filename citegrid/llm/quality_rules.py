@@ -1,26 +1,40 @@
 """Quality rules: statistics of whole texts, fixed base limits, and robust multivariate outliers per language and source.
 
 The statistics come from array expressions on each row; nothing is shuffled for them. Outliers are judged by minimum
-covariance determinant estimates: from medians and absolute deviations, concentration steps keep the share of each group
-with the least Mahalanobis distances and estimate location and scatter from it alone. Everything after the statistics
-works on one narrow row per document, and what is exchanged are partial sums and quantile sketches per group.
+covariance determinant estimates per group. Four starts are deterministic: medians with absolute deviations, the scatter
+of tanh scores, the spatial sign scatter, and plain moments. From each, concentration steps keep the share of the group
+with the least Mahalanobis distances and estimate location and scatter from it alone; the start with the least
+determinant goes on until no determinant falls any more. The scatter is regularised by a small diagonal, as most texts
+have no symbols and no repeats, where a plain determinant would be zero.
+
+Everything after the statistics works on one narrow row per document. What is exchanged are partial sums and counts of
+buckets of fixed width, so results do not depend on how rows are dealt. Estimates are joined by broadcast while their
+groups are at most HOT_GROUPS, beyond that only for the largest groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrid.llm.native import BLANKS, NOT_BLANK, let, words_of
+from citegrid.llm import shared
+from citegrid.llm.native import NOT_BLANK, let, words_of
 from citegrid.llm.shared import cut
 
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Transformed statistics and the least standard deviation that each is given.
 FEATURES = {"f_symbols": 0.10, "f_length": 0.05, "f_lines": 0.10, "f_repeats": 0.08}
-#: Share of a group that the estimates use; the factor that makes the scatter of that share consistent for four normal
-#: features (0.75 / P(chi2_6 <= q), q the 0.75 quantile of chi2_4); distance beyond which a document is an outlier.
-SHARE, CONSISTENCY, CUTOFF = 0.75, 1.486, 45.0
-STEPS, PRIOR = 2, 20.0
+#: Share of a group that the estimates use, and the factor that makes the scatter of that share consistent for four normal
+#: features (0.75 / P(chi2_6 <= q), q the 0.75 quantile of chi2_4).
+SHARE, CONSISTENCY = 0.75, 1.486
+#: Squared distance beyond which a document is an outlier. For four normal features its probability is 4e-9; the statistics
+#: of real texts have longer tails than that, and what is far out only by the 0.99 quantile (13.3) is often clean.
+CUTOFF = 45.0
+#: Steps from every start; steps at most from the best one; fall of a log determinant that is none. Weight of the moments of
+#: all groups, in documents.
+FIRST_STEPS, MOST_STEPS, SETTLED, PRIOR = 2, 20, 1e-3, 20.0
+#: Buckets per unit of a feature, and per unit of the logarithm of a distance.
+FEATURE_BUCKETS, DISTANCE_BUCKETS = 1000, 200
 
 
 def repeated_words(window_hashes: Column, width: int) -> Column:
@@ -78,62 +92,128 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    names = list(FEATURES)
-    aggs = [F.count(F.lit(1)).cast("double").alias("n")] + [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)]
-    aggs += [F.avg(F.col(x) * F.col(y)).alias(f"p{i}{j}") for i, x in enumerate(names) for j, y in enumerate(names) if i >= j]
-    return rows.groupBy(*keys).agg(*aggs)
-
-
-def _shrunk(moments: DataFrame, whole: dict[str, float]) -> DataFrame:
-    """Location and Cholesky factor of each group's scatter; small groups lean on the moments of all documents."""
-    names, w = list(FEATURES), F.col("n") / (F.col("n") + PRIOR)
-    blend = lambda c: w * F.col(c) + (1 - w) * F.lit(whole[c])
-    out = moments.select("g", *[blend(c).alias(c) for c in moments.columns if c not in ("g", "n")])
-    cov = {}
-    for i, x in enumerate(names):
-        for j in range(i + 1):
-            c = (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY
-            cov[i, j] = F.greatest(c, F.lit(0.0)) + FEATURES[x] ** 2 if i == j else c
-    out = out.select("g", *[f"m{i}" for i in range(len(names))], *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
-    for i in range(len(names)):
-        for j in range(i + 1):
-            v = F.col(f"c{i}{j}")
-            for k in range(j):
-                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"l{j}{j}"))
-    return out.select("g", *[f"m{i}" for i in range(len(names))], *[f"l{i}{j}" for i in range(len(names)) for j in range(i + 1)])
-
-
-def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance from their group, by forward substitution."""
-    keep, out = [F.col(c) for c in rows.columns if c != "d2"], rows.drop("d2").join(model, "g", "left")
-    for i, x in enumerate(FEATURES):
-        v = F.col(x) - F.col(f"m{i}")
-        for k in range(i):
-            v = v - F.col(f"l{i}{k}") * F.col(f"z{k}")
-        out = out.withColumn(f"z{i}", v / F.col(f"l{i}{i}"))
-    return out.select(*keep, sum((F.col(f"z{i}") ** 2 for i in range(len(FEATURES))), F.lit(0.0)).alias("d2"))
+_N = range(len(FEATURES))
+_PAIRS = [(i, j) for i in _N for j in range(i + 1)]
+
+
+def _edges(rows: DataFrame, keys: list[str], bucket: Column, share: float) -> DataFrame:
+    """keys and edge: the first bucket up to which at least `share` of a key's rows lie. The buckets of a key are bounded."""
+    counts = rows.select(*keys, bucket.cast("bigint").alias("b")).groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("b"))
+    seen = counts.select(*keys, "b", upto.alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("all"))
+    return seen.filter(F.col("upto") >= F.lit(share) * F.col("all")).groupBy(*keys).agg(F.min("b").alias("edge"))
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """rows joined with one row per group (g, n, ...); few: there are at most HOT_GROUPS of them."""
+    return rows.join(F.broadcast(groups.drop("n")), "g") if few else shared.join_counted(rows, groups, ["g"], "n").drop("n")
+
+
+def _medians(clean: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """g, n, m0.. (medians) and s0.. (absolute deviations as standard deviations, at least the features' own least)."""
+
+    def middle(values: DataFrame, name: str) -> DataFrame:
+        each = values.select("g", F.posexplode(F.array(*[f"v{i}" for i in _N])).alias("k", "v"))
+        edges = _edges(each, ["g", "k"], F.floor(F.col("v") * FEATURE_BUCKETS), 0.5)
+        return edges.groupBy("g").agg(*[F.max(F.when(F.col("k") == i, F.col("edge") / FEATURE_BUCKETS)).alias(f"{name}{i}") for i in _N])
+
+    first = clean.select("g", *[F.col(x).alias(f"v{i}") for i, x in enumerate(FEATURES)])
+    centre = cut(groups.join(middle(first, "m"), "g"), "medians")
+    around = _with_groups(clean, centre, few).select("g", *[F.abs(F.col(x) - F.col(f"m{i}")).alias(f"v{i}") for i, x in enumerate(FEATURES)])
+    spread = middle(around, "s").select("g", *[F.greatest(F.col(f"s{i}") * 1.4826, F.lit(x)).alias(f"s{i}") for i, x in enumerate(FEATURES.values())])
+    return cut(centre.join(spread, "g"), "medians")
+
+
+def _second(values: list[Column], name: str) -> list[Column]:
+    return [F.avg(v).alias(f"{name}{i}") for i, v in enumerate(values)] + [F.avg(values[i] * values[j]).alias(f"{name}{i}{j}") for i, j in _PAIRS]
+
+
+def _factored(estimates: DataFrame) -> DataFrame:
+    """g, st, n, m0.., the inverse of the scatter's Cholesky factor w00.., and the scatter's log determinant; from g, st, n, m0..,
+    c00.. (scatter, to which the diagonal is added)."""
+    out = estimates
+    for i, j in _PAIRS:
+        v = F.greatest(F.col(f"c{i}{i}"), F.lit(0.0)) + list(FEATURES.values())[i] ** 2 if i == j else F.col(f"c{i}{j}")
+        for k in range(j):
+            v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-6))) if i == j else v / F.col(f"l{j}{j}"))
+    for i, j in _PAIRS:
+        v = F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
+        out = out.withColumn(f"w{i}{j}", v / F.col(f"l{i}{i}"))
+    det = sum((F.log(F.col(f"l{i}{i}")) for i in _N), F.lit(0.0)) * 2
+    return out.select("g", "st", "n", *[f"m{i}" for i in _N], *[f"w{i}{j}" for i, j in _PAIRS], det.alias("det"))
+
+
+def _starts(clean: DataFrame, middle: DataFrame, few: bool) -> DataFrame:
+    """The four estimates of each group from which concentration starts."""
+    x = [F.col(name) for name in FEATURES]
+    rows = _with_groups(clean, middle, few)
+    z = rows.select("g", *x, *[((x[i] - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in _N])
+    norm = F.sqrt(sum((F.col(f"z{i}") ** 2 for i in _N), F.lit(0.0)))
+    u = z.withColumn("norm", F.greatest(norm, F.lit(1e-9)))
+    sums = u.groupBy("g").agg(*_second(x, "a"), *_second([F.tanh(F.col(f"z{i}")) for i in _N], "t"), *_second([F.col(f"z{i}") / F.col("norm") for i in _N], "u"))
+    all_ = cut(middle.join(sums, "g"), "starts")
+    scale = lambda i, j: F.col(f"s{i}") * F.col(f"s{j}")
+    kinds = {
+        "median": ("m", lambda i, j: scale(i, i) if i == j else F.lit(0.0)),
+        "tanh": ("m", lambda i, j: scale(i, j) * (F.col(f"t{i}{j}") - F.col(f"t{i}") * F.col(f"t{j}"))),
+        "sign": ("m", lambda i, j: scale(i, j) * F.col(f"u{i}{j}") * len(FEATURES)),
+        "moments": ("a", lambda i, j: F.col(f"a{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")),
+    }
+    made = [all_.select("g", F.lit(k).alias("st"), "n", *[F.col(f"{m}{i}").alias(f"m{i}") for i in _N], *[c(i, j).cast("double").alias(f"c{i}{j}") for i, j in _PAIRS]) for k, (m, c) in kinds.items()]
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return cut(_factored(out), "models")
+
+
+def _distances(rows: DataFrame, models: DataFrame, few: bool) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance, once for each estimate of their group, and the estimate's st and edge."""
+    extra = [c for c in ("edge",) if c in models.columns]
+    packed = models.groupBy("g").agg(F.first("n").alias("n"), F.collect_list(F.struct("st", *extra, *[f"m{i}" for i in _N], *[f"w{i}{j}" for i, j in _PAIRS])).alias("q"))
+    packed = packed if few else cut(packed, "models")
+    each = _with_groups(rows, packed, few).withColumn("q", F.explode("q"))
+    gap = [F.col(x) - F.col(f"q.m{i}") for i, x in enumerate(FEATURES)]
+    z = [sum((F.col(f"q.w{i}{k}") * gap[k] for k in range(i + 1)), F.lit(0.0)) for i in _N]
+    return each.select(*rows.columns, "q.st", *[f"q.{c}" for c in extra], sum((v * v for v in z), F.lit(0.0)).alias("d2"))
+
+
+def _concentrated(clean: DataFrame, models: DataFrame, few: bool) -> DataFrame:
+    """One concentration step from each estimate."""
+    bucket = F.floor(F.log1p("d2") * DISTANCE_BUCKETS)
+    edges = _edges(_distances(clean, models, few), ["g", "st"], bucket, SHARE)
+    known = cut(models.join(edges, ["g", "st"]), "models")
+    inside = _distances(clean, known, few).filter(bucket <= F.col("edge"))
+    sums = cut(inside.groupBy("g", "st").agg(F.count(F.lit(1)).cast("double").alias("h"), *_second([F.col(x) for x in FEATURES], "a")), "moments")
+    names = [c for c in sums.columns if c.startswith("a")]
+    whole = sums.groupBy("st").agg(*[(F.sum(F.col(c) * F.col("h")) / F.sum("h")).alias(f"w{c}") for c in names])  # one row per start
+    w = F.col("h") / (F.col("h") + PRIOR)
+    mixed = sums.join(F.broadcast(whole), "st").select("g", "st", *[(w * F.col(c) + (1 - w) * F.col(f"w{c}")).alias(c) for c in names])
+    scatter = [((F.col(f"a{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")) * CONSISTENCY).alias(f"c{i}{j}") for i, j in _PAIRS]
+    estimates = mixed.select("g", "st", *[F.col(f"a{i}").alias(f"m{i}") for i in _N], *scatter)
+    return cut(_factored(estimates.join(models.select("g", "st", "n"), ["g", "st"])), "models")
 
 
 def outlier_distances(narrow: DataFrame) -> DataFrame:
     """narrow (one row per document, already materialised) with d2; the estimates see only rows that pass the base rules."""
-    names = list(FEATURES)
-    clean = narrow.filter(~F.col("base_failed"))
-    middle = clean.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(names)])
-    spread = clean.join(middle, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, x in enumerate(names)])
-    first = middle.join(spread, "g")
-    near = clean.join(first, "g").withColumn("d2", sum((((F.col(x) - F.col(f"m{i}")) / F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FEATURES[x]))) ** 2 for i, x in enumerate(names)), F.lit(0.0))).select(*clean.columns, "d2")
-    model = None
-    for _ in range(STEPS):
-        half = near.groupBy("g").agg(F.percentile_approx("d2", SHARE, 1000).alias("edge"))
-        inside = near.join(half, "g").filter(F.col("d2") <= F.col("edge"))
-        moments = cut(_moments(inside, ["g"]), "mcd")
-        total = F.sum("n")
-        whole = moments.agg(*[(F.sum(F.col(c) * F.col("n")) / total).alias(c) for c in moments.columns if c not in ("g", "n")]).first()
-        model = _shrunk(moments, {c: v if v is not None else 0.0 for c, v in whole.asDict().items()})
-        near = _distance(clean, model)
-    return _distance(narrow, model)
+    clean = narrow.filter(~F.col("base_failed")).select("g", *FEATURES)
+    groups = cut(clean.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "groups")
+    few = groups.count() <= shared.HOT_GROUPS
+    models = _starts(clean, _medians(clean, groups, few), few)
+    for _ in range(FIRST_STEPS):
+        models = _concentrated(clean, models, few)
+    order = Window.partitionBy("g").orderBy("det", "st")
+    models = cut(models.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k"), "models")
+    for _ in range(MOST_STEPS):
+        new = _concentrated(clean, models, few)
+        both = models.join(new.select("g", F.col("det").alias("new")), "g")
+        falls = cut(both.filter(F.col("new") < F.col("det") - SETTLED).select("g"), "falls")
+        if not falls.limit(1).count():
+            break
+        models = cut(new.join(falls, "g").unionByName(models.join(falls, "g", "left_anti")), "models")
+    far = _distances(narrow, models, few).select("doc_id", *BASE_COLUMNS, "base_failed", "d2")
+    none = narrow.join(F.broadcast(groups.select("g")) if few else groups.select("g"), "g", "left_anti")  # every row failed
+    return far.unionByName(none.select("doc_id", *BASE_COLUMNS, "base_failed", F.lit(None).cast("double").alias("d2")))
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
@@ -141,7 +221,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gr
 
     Null or empty text: no words, base_failed. A null group value is a group of its own. Repeated rows count as often as
     they occur; equal statistics get equal verdicts. A group without rows that pass the base rules has no estimate: its
-    documents already failed. An empty table gives no rows. Columns other than the id, the text and the groups are not read.
+    documents already failed. A long text is one row; its work is in proportion to its words. An empty table gives no rows.
+    Columns other than the id, the text and the groups are not read, so their names cannot clash.
     """
     narrow = cut(statistics(docs, id_col, text_col, groups), "statistics")
     far = F.coalesce(F.col("d2") > cutoff, F.lit(False))

@@ -696,6 +696,82 @@ def test_outliers_are_rejected_and_the_rest_kept(spark):
     assert sum(out[i] for i in range(200)) >= 198
 
 
+def plain_mcd(groups):
+    """group -> squared distances of its rows (all of them), from the rows that count; the method in plain numpy."""
+    q, least = quality_rules, np.array(list(quality_rules.FEATURES.values()))
+    edge = lambda b, share: sorted(b)[math.ceil(share * len(b) - 1e-9) - 1]
+    bucket = lambda d: np.floor(np.log1p(d) * q.DISTANCE_BUCKETS)
+    models = {}
+
+    def distance(x, m, c):
+        z = np.linalg.solve(np.linalg.cholesky(c + np.diag(least**2)), (x - m).T)
+        return (z * z).sum(0)
+
+    for g, x in groups.items():
+        middle = lambda v: np.array([edge(np.floor(v[:, i] * q.FEATURE_BUCKETS), 0.5) for i in range(4)]) / q.FEATURE_BUCKETS
+        m = middle(x)
+        s = np.maximum(1.4826 * middle(np.abs(x - m)), least)
+        z = (x - m) / s
+        u = z / np.maximum(np.sqrt((z * z).sum(1)), 1e-9)[:, None]
+        models[g] = {"median": (m, np.diag(s * s)), "tanh": (m, np.cov(np.tanh(z).T, bias=True) * np.outer(s, s)), "sign": (m, u.T @ u / len(u) * 4 * np.outer(s, s)), "moments": (x.mean(0), np.cov(x.T, bias=True))}
+
+    def step(models):
+        sums = {}
+        for g, own in models.items():
+            for k, (m, c) in own.items():
+                d = bucket(distance(groups[g], m, c))
+                y = groups[g][d <= edge(d, q.SHARE)]
+                sums[g, k] = len(y), y.mean(0), y.T @ y / len(y)
+        new = {g: {} for g in models}
+        for (g, k), (h, a, aa) in sums.items():
+            others = [v for (_, kk), v in sums.items() if kk == k]
+            total = sum(v[0] for v in others)
+            w = h / (h + q.PRIOR)
+            mean = w * a + (1 - w) * sum(v[0] * v[1] for v in others) / total
+            second = w * aa + (1 - w) * sum(v[0] * v[2] for v in others) / total
+            new[g][k] = mean, (second - np.outer(mean, mean)) * q.CONSISTENCY
+        return new
+
+    det = lambda c: np.linalg.slogdet(c + np.diag(least**2))[1]
+    for _ in range(q.FIRST_STEPS):
+        models = step(models)
+    models = {g: {k: own[k] for k in [min(own, key=lambda k: (det(own[k][1]), k))]} for g, own in models.items()}
+    starts = {next(iter(own)) for own in models.values()}
+    for _ in range(q.MOST_STEPS):
+        new = step(models)
+        falls = [g for g in models if det(next(iter(new[g].values()))[1]) < det(next(iter(models[g].values()))[1]) - q.SETTLED]
+        if not falls:
+            break
+        models |= {g: new[g] for g in falls}
+    return {g: lambda x, own=own: distance(x, *next(iter(own.values()))) for g, own in models.items()}, starts
+
+
+def test_outlier_distances_equal_a_plain_version(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g, n in (("a", 400), ("b", 90), ("c", 7)):
+        x = np.abs(rng.multivariate_normal([0.1, 1.6, 0.1, 0.1], np.diag([0.01, 0.04, 0.01, 0.01]) + 0.004, n)) * (rng.random((n, 4)) > [0.6, 0, 0.5, 0.7])
+        x[: n // 6] += rng.random(4) * 2
+        rows += [(len(rows) + k, g, *v, 1, 1, 1, 1, 1, bool(rng.random() < 0.05)) for k, v in enumerate(x.tolist())]
+    rows += [(9000, "d", 0.0, 1.0, 0.0, 0.0, 1, 1, 1, 1, 1, True)]
+    schema = "doc_id long, g string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES) + ", " + ", ".join(f"{c} long" for c in quality_rules.BASE_COLUMNS) + ", base_failed boolean"
+    groups = {g: np.array([r[2:6] for r in rows if r[1] == g and not r[-1]]) for g in "abc"}
+    judge, _ = plain_mcd(groups)
+    for dealt in (2, 9):
+        got = {r.doc_id: r.d2 for r in quality_rules.outlier_distances(cut(spark.createDataFrame(rows, schema).repartition(dealt))).collect()}
+        assert len(got) == len(rows) and got.pop(9000) is None
+        for r in rows[:-1]:
+            assert got[r[0]] == pytest.approx(float(judge[r[1]](np.array([r[2:6]]))[0]), rel=1e-6, abs=1e-9)
+
+
+def test_many_groups_are_joined_by_shuffle(spark, docs, monkeypatch):
+    from citegrid.llm import shared
+
+    few = sorted(map(str, quality_rules.judge(docs).collect()))
+    monkeypatch.setattr(shared, "HOT_GROUPS", 1)
+    assert sorted(map(str, quality_rules.judge(docs).collect())) == few
+
+
 # ---- secrets -----------------------------------------------------------------------------------------------------
 
 
