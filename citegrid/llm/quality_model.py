@@ -3,10 +3,11 @@
 1.  Two logistic models (quality, toxicity) on hashed words, word stems and text statistics are fitted with NumPy on the
     driver, on a sample of labelled documents bounded by SAMPLE rows.
 2.  Every document gets the log odds of both models, in one pass without a shuffle.
-3.  Per path (host and a second level) and per host, grouped aggregation sums the expected counts of good documents.
-    Beta priors are fitted by the method of moments: the global rate is the prior of hosts, each host's posterior mean is
-    the prior of its paths. Sparse sites are drawn to what is above them; the strength comes from the spread of the sites.
-4.  A document's verdict adds its own evidence to the log odds of its path relative to the global rate.
+3.  Per path (host and a second level) and per host, grouped aggregation sums the expected counts of good and of toxic
+    documents. Beta priors are fitted by the method of moments: the global rate is the prior of hosts, each host's posterior
+    mean is the prior of its paths. Sparse sites are drawn to what is above them; the strength comes from the spread of the
+    sites. Host and path come from a URL where the table has one, else from two columns.
+4.  Both of a document's verdicts add its own evidence to the log odds of its path relative to the global rate.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrid.llm.shared import _SPACE, cut, mix, span_hashes, text_blocks, word_spans
+from citegrid.llm.shared import _SPACE, cut, join_counted, mix, span_hashes, text_blocks, without_ids, word_spans
 
-#: Labelled rows that a fit may see; those with the least hash of their id. The driver holds about 10 KB for each.
-SAMPLE = 8_000
+#: Labelled rows that a fit may see, and their features in all (40 bytes each on the driver); those with the least hash of
+#: their id.
+SAMPLE, SAMPLE_FEATURES = 8_000, 6_000_000
 BUCKETS = 1 << 18
 STEMS = (5, 6)
 STATS = 10
@@ -203,23 +205,32 @@ def fit(bucket: np.ndarray, doc: np.ndarray, stats: np.ndarray, labels: np.ndarr
     return Model(weights, s, float(c), mean, scale, marks, toxic)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled documents, those with the least hashes of their ids; the bound makes their ids a safe broadcast."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, most_features: int = SAMPLE_FEATURES) -> Model:
+    """Fit on at most `sample` labelled documents with `most_features` features, those with the least hashes of their ids; the
+    bound makes their ids a safe broadcast."""
     known = labels.filter(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
-    part = known.orderBy(F.xxhash64(id_col), id_col, "quality", "toxic").limit(sample).select(F.col(id_col).alias("__id"), "quality", "toxic")
-    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(part), "__id").select("t", "quality", "toxic")
+    part = known.select(F.col(id_col).alias("label_id"), F.xxhash64(id_col).alias("h"), F.col("quality").cast("double").alias("q"), F.col("toxic").cast("double").alias("x")).orderBy("h", "label_id", "q", "x").limit(sample)
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    joined = texts.join(F.broadcast(part), F.col("doc_id") == F.col("label_id")).select("t", "h", "q", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, 0):
             bucket, doc, stats, _ = features(block)
             upto = np.searchsorted(doc, np.arange(len(block) + 1))
             lists = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary()), pa.array(list(stats), pa.list_(pa.float64())), block.rows.column(1), block.rows.column(2)], ["f", "s", "q", "x"])
-
-    rows = joined.mapInArrow(run, f"f binary, s array<double>, q {labels.schema['quality'].dataType.simpleString()}, x {labels.schema['toxic'].dataType.simpleString()}").toArrow()
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary()), pa.array(np.diff(upto), pa.int64()), pa.array(list(stats), pa.list_(pa.float64())), *(block.rows.column(k) for k in (1, 2, 3))], ["f", "n", "s", "h", "q", "x"])
+
+    found = cut(joined.mapInArrow(run, "f binary, n bigint, s array<double>, h bigint, q double, x double"), "sample")
+    sizes = found.select("h", "n").toArrow()  # at most `sample` rows, or as often as they repeat
+    by = np.argsort(np.asarray(sizes["h"]), kind="stable")
+    hashes, upto = np.asarray(sizes["h"])[by], np.cumsum(np.asarray(sizes["n"])[by])
+    inside = int(np.searchsorted(upto, most_features, "right"))
+    if inside < len(hashes):
+        found = found.filter(F.col("h") < F.lit(int(hashes[inside])))
+    rows = found.orderBy("h", "f").toArrow()
     if not rows.num_rows:
         return Model(np.zeros(BUCKETS), np.zeros(STATS), 4.0, np.zeros(STATS), np.ones(STATS), np.zeros(BUCKETS), np.array([-4.0, 0, 0, 0, 0]))
-    sizes = np.array([len(x) for x in rows["f"].to_pylist()], np.int64) // 4
+    sizes = np.asarray(rows["n"])
     bucket = np.frombuffer(b"".join(rows["f"].to_pylist()), "<i4")
     target = np.stack([np.array(rows[c].to_pylist(), float) for c in ("q", "x")], axis=1)
     stats = np.array(rows["s"].to_pylist())
@@ -243,49 +254,60 @@ def evidence(docs: DataFrame, model: Model, id_col: str, text_col: str, host: Co
     return source.mapInArrow(run, f"doc_id {kind}, host string, path string, good double, toxic double")
 
 
-def _strength(sites: DataFrame, rate: Column, least: float = 2.0, most: float = 200.0) -> float:
+def site_of(url: Column) -> tuple[Column, Column]:
+    """Host (lower case) and first part of the path of a URL; null and what is no URL: empty."""
+    u = F.coalesce(url.cast("string"), F.lit(""))
+    host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
+    return host, F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
+
+
+def _strength(sites: DataFrame, of: str, rate: Column, least: float = 2.0, most: float = 200.0) -> float:
     """Prior strength by moments: rate * (1 - rate) / spread of the sites beyond sampling noise, less one."""
-    wide = sites.filter("n >= 5").agg(F.count(F.lit(1)).alias("k"), F.avg((F.col("good") / F.col("n") - rate) ** 2).alias("v"), F.avg(rate * (1 - rate) / F.col("n")).alias("noise"), F.avg(rate * (1 - rate)).alias("top")).first()
+    wide = sites.filter("n >= 5").agg(F.count(F.lit(1)).alias("k"), F.avg((F.col(of) / F.col("n") - rate) ** 2).alias("v"), F.avg(rate * (1 - rate) / F.col("n")).alias("noise"), F.avg(rate * (1 - rate)).alias("top")).first()
     if not wide["k"] or wide["k"] < 2 or wide["v"] is None:
         return 20.0
     extra = max(wide["v"] - wide["noise"], 1e-6)
     return float(np.clip(wide["top"] / extra - 1, least, most))
 
 
-def site_posteriors(seen: DataFrame) -> DataFrame:
-    """host, path, site_rate, global_rate: posterior rates of good documents per path."""
-    good = 1 / (1 + F.exp(-F.col("good")))
-    paths = cut(seen.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(good).alias("good")), "sites")
-    total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    rate = float(np.clip((total["good"] + 1) / (total["n"] + 2), 1e-3, 1 - 1e-3)) if total["n"] else 0.5
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    k1 = _strength(hosts, F.lit(rate))
-    hosts = hosts.select("host", ((F.col("good") + k1 * rate) / (F.col("n") + k1)).alias("host_rate"))
-    under = paths.join(hosts, "host")
-    k2 = _strength(under, F.col("host_rate"))
-    return under.select("host", "path", ((F.col("good") + k2 * F.col("host_rate")) / (F.col("n") + k2)).alias("site_rate"), F.lit(rate).alias("global_rate"))
-
-
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """doc_id, quality (posterior probability), toxic (probability), site_rate, kept; one row per input row.
-
-    Null or empty text has no word evidence and is judged by its statistics and its site. Null hosts or paths are a site
-    of their own. Null ids stay null. Rows that repeat count as often as they occur. Without labels only the priors speak
-    and everything is kept. An empty table gives no rows. Columns other than the four named are not read.
+def site_posteriors(seen: DataFrame, kinds: tuple[str, ...] = ("good", "toxic")) -> DataFrame:
+    """host, path, n and for each kind of log odds its posterior rate per path and the global rate (good_rate, good_all, ...)."""
+    p = lambda c: 1 / (1 + F.exp(-F.col(c)))
+    paths = cut(seen.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(p(k)).alias(k) for k in kinds]), "sites")
+    total = paths.agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in kinds]).first()
+    hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("paths"), *[F.sum(k).alias(k) for k in kinds]), "hosts")
+    rates = {k: float(np.clip((total[k] + 1) / (total["n"] + 2), 1e-3, 1 - 1e-3)) if total["n"] else 0.5 for k in kinds}
+    above = {k: _strength(hosts, k, F.lit(r)) for k, r in rates.items()}
+    known = hosts.select("host", "paths", *[((F.col(k) + above[k] * r) / (F.col("n") + above[k])).alias(f"{k}_host") for k, r in rates.items()])
+    under = cut(join_counted(paths, known, ["host"], "paths"), "sites")
+    strength = {k: _strength(under, k, F.col(f"{k}_host")) for k in kinds}
+    own = [((F.col(k) + strength[k] * F.col(f"{k}_host")) / (F.col("n") + strength[k])).alias(f"{k}_rate") for k in kinds]
+    return under.select("host", "path", "n", *own, *[F.lit(r).alias(f"{k}_all") for k, r in rates.items()])
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", url_col: str | None = None, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, quality and toxic (posterior probabilities), site_rate (of good documents), kept; one row per input row.
+
+    url_col: where the table has URLs, host and path come from them. Null or empty text has no word evidence and is judged by
+    its statistics and its site. Null hosts or paths are a site of their own. Null ids stay null. Rows that repeat count as
+    often as they occur; equal rows get equal verdicts. Without labels only the priors speak and everything is kept. A long
+    text is a block of its own. An empty table gives no rows. Columns other than those named are not read, so their names
+    cannot clash.
     """
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit("\x00"))
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit("\x00"))
+    host, path = site_of(F.col(f"`{url_col}`")) if url_col else (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in (host_col, path_col))
     model = train(docs, labels, id_col, text_col, sample)
     seen = cut(evidence(docs, model, id_col, text_col, host, path), "evidence")
     odds = lambda p: F.log(p / (1 - p))
-    joined = seen.join(site_posteriors(seen), ["host", "path"], "left")
-    logit = F.col("good") + SITE_WEIGHT * (odds(F.col("site_rate")) - odds(F.col("global_rate")))
-    out = joined.select("doc_id", (1 / (1 + F.exp(-logit))).alias("quality"), (1 / (1 + F.exp(-F.col("toxic")))).alias("toxic"), "site_rate")
+    joined = join_counted(seen, site_posteriors(seen), ["host", "path"], "n")
+    posterior = lambda k: 1 / (1 + F.exp(-(F.col(k) + SITE_WEIGHT * (odds(F.col(f"{k}_rate")) - odds(F.col(f"{k}_all"))))))
+    out = joined.select("doc_id", posterior("good").alias("quality"), posterior("toxic").alias("toxic"), F.col("good_rate").alias("site_rate"))
     return out.withColumn("kept", (F.col("quality") >= GOOD) & (F.col("toxic") <= TOXIC))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
-    """docs without the documents that the classifier rejects."""
-    id_col = columns.get("id_col", "doc_id")
-    gone = classify(docs, labels, **columns).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("__gone"), "left_anti")
+    """docs without the documents that the classifier rejects, with all columns, whatever their names.
+
+    Rows with a null id stay. Of rows that share an id all go if one is rejected. Without labels everything stays.
+    """
+    gone = classify(docs, labels, **columns).filter("not kept").select("doc_id")
+    return without_ids(docs, gone, columns.get("id_col", "doc_id"))
