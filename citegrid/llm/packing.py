@@ -299,8 +299,9 @@ def pack(
 
     Columns: the id column, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with `with_ids` the ids.
     Null or empty text: one piece with the end id alone. A null id stays null. Repeated rows are packed as often as
-    they occur. Ties between equally cheap plans go to the longer sequence. An empty table gives no rows. Other columns
-    are not read, so their names cannot clash. cut_costs: what a cut at a document's end, at a sentence's end and inside
+    they occur, rows that share an id one by one. Ties between equally cheap plans go to the longer sequence. A long text
+    is cut into as many pieces as it needs. An empty table gives no rows. Other columns are not read, so their names cannot
+    clash. cut_costs: what a cut at a document's end, at a sentence's end and inside
     a sentence costs, in tokens of padding.
     """
     kind = docs.schema[id_col].dataType
@@ -313,15 +314,16 @@ def pack(
 
         encoder = word_encoder(resolve_tokenizer(tokenizer))
         packer = Packer(length, TaskContext.get().partitionId() << 36, cut_costs)
-        sent: dict[object, np.ndarray] = {}
+        sent: dict[int, np.ndarray] = {}  # by row, as ids may repeat
+        number = 0
 
         def out(rows: list[tuple], arrow: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
-            made = [pa.array(columns[0], arrow), *(pa.array(c, pa.int64()) for c in columns[1:])]
+            made = [pa.array([k[1] for k in columns[0]], arrow), *(pa.array(c, pa.int64()) for c in columns[1:])]
             names = schema.names[:7]
             if with_ids:
-                made.append(pa.array([sent[k][s : s + n].tolist() for k, s, n, *_ in rows], pa.list_(pa.int64())))
-                live = {d[0] for d in packer.docs}
+                made.append(pa.array([sent[k[0]][s : s + n].tolist() for k, s, n, *_ in rows], pa.list_(pa.int64())))
+                live = {d[0][0] for d in packer.docs}
                 for k in [k for k in sent if k not in live]:
                     del sent[k]
                 names = schema.names
@@ -343,8 +345,9 @@ def pack(
                 for key, a, b in zip(keys[at : at + len(group)], (ends - per).tolist(), ends.tolist(), strict=True):
                     full = np.append(ids[a:b], np.uint32(end_id))
                     if with_ids:
-                        sent[key] = full
-                    packer.add(key, full, np.append(stops[a:b], False))
+                        sent[number] = full
+                    packer.add((number, key), full, np.append(stops[a:b], False))
+                    number += 1
                 at += len(group)
                 if packer.held >= SOLVE_TOKENS:
                     if rows := packer.solve(False):

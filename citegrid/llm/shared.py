@@ -33,13 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a temporary one only where the session names none (tests)."""
+    """The folder that all machines share, with one folder in it for this application; a temporary one only on a single
+    machine whose session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
-        found = f"file://{tempfile.gettempdir()}/citegrid-checkpoints"
-    return found
+        found = f"file://{tempfile.gettempdir()}"
+    return f"{found}/citegrid-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -50,6 +53,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete all that cut() has written for this application; results that still read it are gone too."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, least: int, *columns: str) -> DataFrame:
+    """df dealt by columns, into `least` partitions where the session's number of them is smaller."""
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(least, *columns) if least > few else df.repartition(*columns)
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """wanted, with underscores in front until no column has that name (Spark does not tell cases apart)."""
     taken = {c.lower() for c in columns}

@@ -11,37 +11,57 @@ from pyspark.sql import functions as F
 
 from citegrid.llm import decontaminate, line_dedup, near_dup, packing, quality_model
 from citegrid.llm.native import NOT_BLANK
-from citegrid.llm.shared import cut, small_batches, table
+from citegrid.llm.shared import cut, small_batches, table, without_ids
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for bad or toxic go."""
+    """Documents that the classifier takes for bad or toxic go.
+
+    Null and empty texts are judged by their statistics and site; rows with a null id stay; rows that share an id go together.
+    Without labels, and of an empty table, nothing goes. Extra columns stay, whatever their names.
+    """
     return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines leave the texts; every document stays, and n_chars follows its text."""
-    cleaned = line_dedup.dedup_lines(docs).drop("removed_spans")
-    return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else cleaned
+    """Repeated runs of lines leave the texts; every document stays, and n_chars follows its text.
+
+    Null texts stay null (and n_chars as it is), rows with a null id keep their lines, repeated rows are one document; of equal
+    lines those of the least id stay. Extra columns stay, whatever their names.
+    """
+    cleaned = line_dedup.dedup_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])  # without the last column, the spans
+    length = F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")) if "n_chars" in docs.columns else None
+    return cleaned if length is None else cleaned.withColumn("n_chars", length).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays; one that line dedup has emptied is a copy too."""
+    """Of each group of near-duplicates the document with the least id stays; one that line dedup has emptied is a copy too.
+
+    Texts that had no words from the start stay, as do rows with a null id; rows that share an id stay or go together. Extra
+    columns stay, whatever their names.
+    """
     small_batches(spark)
     wordless = lambda c: ~F.coalesce(F.col(c), F.lit("")).rlike(NOT_BLANK)
-    had_words = table(spark, sf_dir, "documents").filter(~wordless("text")).select(F.col("doc_id").alias("__emptied"))
-    emptied = had_words.join(docs.filter(wordless("text")).select("doc_id"), F.col("__emptied") == F.col("doc_id"), "left_semi").distinct()
-    kept = near_dup.keep_one(docs)
-    return kept.join(emptied, (kept["doc_id"] == F.col("__emptied")) & wordless("text"), "left_anti")
+    had_words = table(spark, sf_dir, "documents").filter(~wordless("text")).select("doc_id")
+    emptied = docs.filter(wordless("text")).select("doc_id").join(had_words, "doc_id", "left_semi")
+    return without_ids(near_dup.keep_one(docs), emptied, "doc_id")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts and rows with a null id stay; rows that share an id go together. Without items, and of an empty
+    table, nothing goes. Extra columns stay, whatever their names.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts that are left, as pieces of token sequences."""
+    """The texts that are left, as pieces of token sequences.
+
+    Null and empty texts are one piece with the end id; null ids stay null; repeated rows are packed as often as they occur.
+    Only the id and the text are read. An empty table gives no pieces.
+    """
     small_batches(spark)
     return packing.pack(docs)
 

@@ -160,6 +160,13 @@ def test_packing(docs, corpus):
     assert padding <= packing.GRID * len(by_sequence)
 
 
+def test_returned_ids_belong_to_their_row(spark):
+    """Rows that repeat an id with another text."""
+    rows = [(k % 3 if k % 4 else None, " ".join(f"word{j} of {k}." for j in range(40 * k))) for k in range(20)]
+    for p in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), length=64, with_ids=True).collect():
+        assert len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
+
+
 @pytest.mark.parametrize("text", ["İstanbul ΣΑΣ <|endoftext|> don't can't", "a b c\x1cd", "é ① ½ ²", "tab\tsep\rlines\x0bx", "'s 'll x's", "«quoted» ... !!! ??", "<|startoftext|>x"])
 def test_word_cache_equals_whole_encoding(text):
     from tokenizers import Tokenizer
@@ -370,6 +377,26 @@ def test_tree_equals_recursion():
         assert np.sum(10.0 ** row.astype(float)) == pytest.approx(1.0, abs=1e-4)
 
 
+def test_counts_are_whole_however_often_they_are_sent(docs, corpus):
+    want = collections.Counter()
+    for r in corpus:
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2:
+            padded = b"\xff" * ctw.DEPTH + (r[1] or "").encode() + b"\xff"
+            want.update(int.from_bytes(padded[k : k + ctw.DEPTH + 1], "big") for k in range(len(padded) - ctw.DEPTH))
+    source = docs.select(F.col("text").alias("t"), "doc_id", ctw.held_out(F.col("doc_id")).alias("held"))
+    got: collections.Counter = collections.Counter()
+    for r in ctw.count(source, 5).filter("kind = 0").collect():
+        keys, counts = ctw._pairs(r.body)
+        assert not set(keys.tolist()) & set(got)
+        got.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+    assert got == want
+    folder = ctw.Folder()
+    for k in range(40):
+        folder.add(np.arange(k * 50_000, k * 50_000 + 100_000, dtype=np.uint64))
+    keys, counts = folder.taken()
+    assert len(keys) == 41 * 50_000 and counts.sum() == 4_000_000 and not len(folder.taken()[0])
+
+
 def test_model_beats_uniform_bytes_on_held_out_texts(docs):
     rows = [r for r in ctw.score(docs.filter("doc_id < 121")).collect() if r.held_out]
     assert rows and sum(r.bits_per_byte for r in rows) / len(rows) < 4.5
