@@ -1,15 +1,19 @@
 """License scans by conditional compression.
 
-Blocks of lines that use license vocabulary are searched for the wording of every template: a match holds most of the
-template's words in order, close together, and all of its deciding words (names, versions, clauses). Each match, with a
-little text around it, is compressed with zstandard, once alone and once with the template as a raw dictionary. The
-template that tells the compressor most of what the place says reduces its size most, and of overlapping matches it
-stays. What is compressed is as long as the match, so the length of a block or line cannot hide a notice.
+Lines with license vocabulary and those around them form blocks, and blocks are cut into overlapping windows of about twice
+the longest template. Each window is compressed with zstandard, once alone and once with each template as a raw
+dictionary, and the templates are ranked by how much they reduce its size. Down the ranking, a winner is confirmed by
+exact wording: a match holds most of the template's words in order, close together, and all of its deciding words (names,
+versions, clauses); what is missing or added is reported. The ranking ends when every place with vocabulary belongs to a
+match without differences. Of overlapping matches the one stays whose own place its template reduces most, less the bytes that differ. Windows are as long as templates,
+so the length of a block or line cannot hide a notice.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -19,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = r"(?i)licen[cs]e|copyright|permission is hereby|redistribut|warrant|spdx|all rights reserved|public domain|creative commons|\bCC (?:BY|0)"
-#: Lines between two vocabulary lines of one block at most.
-GAP = 2
+#: Characters around a place with vocabulary that belong to its block, up to whole lines.
+MARGIN = 1500
 SHARE = 0.85
 #: Characters around a match that are compressed with it.
 AROUND = 20
@@ -35,7 +39,12 @@ class Template:
     deciding: tuple[str, ...]
 
 
-#: Wordings of public notices.
+_BSD_1 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_2 = ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
+#: Wordings of public notices, and whole texts of short licenses.
 TEMPLATES = (
     Template("MIT", "Released under the MIT License.", ("mit",)),
     Template("MIT", "Licensed under the MIT License.", ("mit",)),
@@ -47,7 +56,11 @@ TEMPLATES = (
     Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("gnu", "general", "2")),
     Template("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "3")),
     Template("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ("gnu", "affero", "3")),
-    Template("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution", "binary", "permitted")),
+    Template("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", ("sublicense", "noninfringement", "tort")),
+    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", ("fee", "purpose", "disclaims")),
+    Template("BSD", _BSD_1, ("redistribution", "binary", "permitted")),
+    Template("BSD-2-Clause", _BSD_1 + _BSD_2 + _BSD_END, ("retain", "reproduce", "disclaimed")),
+    Template("BSD-3-Clause", _BSD_1 + _BSD_2 + _BSD_3 + _BSD_END, ("endorse", "retain", "reproduce", "disclaimed")),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2.0")),
     Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc", "by", "4.0")),
     Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("cc", "by-sa", "4.0")),
@@ -65,71 +78,106 @@ def wording(text: str) -> list[tuple[str, int, int]]:
 
 
 class Scanner:
-    """Compressors for all templates, and the blocks of one text."""
+    """Compressors for all templates, and the blocks and windows of one text."""
 
     def __init__(self, templates: tuple[Template, ...], level: int = 3):
         import zstandard as z
 
         self.templates = templates
         self.words = [[w for w, _, _ in wording(t.text)] for t in templates]
+        self.counts = [Counter(w) for w in self.words]
+        self.reach = 2 * max(map(len, self.words))
         self.plain = z.ZstdCompressor(level=level, write_content_size=False)
         self.primed = [z.ZstdCompressor(level=level, write_content_size=False, dict_data=z.ZstdCompressionDict(t.text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for t in templates]
         self.vocabulary = re.compile(VOCABULARY)
 
     def blocks(self, text: str) -> Iterator[tuple[int, str]]:
-        """Start and text of each run of vocabulary lines with at most GAP other lines between them."""
-        begin, last, quiet, at = -1, 0, 0, 0
-        for line in text.split("\n"):
-            if self.vocabulary.search(line):
-                begin, last, quiet = (at if begin < 0 else begin), at + len(line), 0
-            elif begin >= 0:
-                quiet += 1
-                if quiet > GAP:
-                    yield begin, text[begin:last]
-                    begin = -1
-            at += len(line) + 1
+        """Start and text of each run of lines that come within MARGIN characters of vocabulary."""
+        begin, until = -1, -1
+        for hit in self.vocabulary.finditer(text):
+            if begin < 0 or hit.start() - MARGIN > until:
+                if begin >= 0:
+                    yield begin, text[begin:until]
+                begin = max(until, text.rfind("\n", 0, max(0, hit.start() - MARGIN)) + 1)
+            if hit.end() + MARGIN > until:
+                until = text.find("\n", min(hit.end() + MARGIN, len(text)))
+                until = len(text) if until < 0 else until
         if begin >= 0:
-            yield begin, text[begin:last]
-
-    def saved(self, place: str, k: int) -> float:
-        """Share of its size that a place saves with the template as dictionary."""
+            yield begin, text[begin:until]
+
+    def windows(self, words: list[tuple[str, int, int]], hits: list[int]) -> Iterator[tuple[int, int, list[int]]]:
+        """First and last word of windows that overlap by half, with the vocabulary places in each; only those that have some."""
+        half = self.reach // 2
+        for a in range(0, max(len(words) - half, 1), half):
+            b = min(a + self.reach, len(words))
+            inside = [h for h in hits if words[a][1] <= h < words[b - 1][2]]
+            if inside:
+                yield a, b, inside
+
+    def saved(self, place: str, k: int) -> tuple[int, float]:
+        """Bytes that a place saves with the template as dictionary, and what share of its size that is."""
         raw = place.encode()
         alone = len(self.plain.compress(raw))
-        return round((alone - len(self.primed[k].compress(raw))) / alone, 6)
-
-    def confirm(self, words: list[tuple[str, int, int]], k: int) -> list[tuple[int, int, list[str], list[str]]]:
-        """Places in a block's words where the template's wording stands: start, end, words missing, words added. Several
-        per block at most once each, left to right."""
-        found, want = [], self.words[k]
-        have, at = [w for w, _, _ in words], 0
-        anchors = [i for i, w in enumerate(have) if w == self.templates[k].deciding[0]]
-        for anchor in anchors:
+        less = alone - len(self.primed[k].compress(raw))
+        return less, round(less / alone, 6)
+
+    def rate(self, block: str, s: int, e: int, k: int, differences: tuple[list[str], list[str]]) -> tuple[int, int, int, int, float]:
+        """What orders overlapping matches: bytes that the place saves, less the bytes in which its wording differs (negative)."""
+        less, share = self.saved(block[max(0, s - AROUND) : e + AROUND], k)
+        return sum(len(w) + 1 for part in differences for w in part) - less, k, s, e, share
+
+    def ranked(self, window: str) -> list[int]:
+        """Templates by the size that they save, the largest saving first; ties go to the earlier template."""
+        raw = window.encode()
+        return sorted(range(len(self.templates)), key=lambda k: (len(self.primed[k].compress(raw)), k))
+
+    def confirm(self, words: list[tuple[str, int, int]], places: dict[str, list[int]], k: int, a: int, b: int) -> list[tuple[int, int, list[str], list[str]]]:
+        """Where the template's wording stands about the words a..b of a block: start, end, words missing, words added; left
+        to right, none overlapping. places: where each word stands in the block."""
+        found, want, at = [], self.words[k], 0
+        anchors = places.get(self.templates[k].deciding[0], [])
+        for anchor in anchors[bisect_left(anchors, a) : bisect_left(anchors, b)]:
             if anchor < at:
                 continue
             lo, hi = max(at, anchor - len(want) - 5), anchor + len(want) + 5
-            match = [m for m in SequenceMatcher(None, want, have[lo:hi], autojunk=False).get_matching_blocks() if m.size]
+            have = [w for w, _, _ in words[lo:hi]]
+            if (Counter(have) & self.counts[k]).total() < SHARE * len(want):
+                continue
+            match = [m for m in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
             held = sum(m.size for m in match)
-            first, last = (match[0].b, match[-1].b + match[-1].size) if match else (0, 0)
-            inside = have[lo + first : lo + last]
+            first, last = match[0].b, match[-1].b + match[-1].size
+            inside = have[first:last]
             in_order = {w for m in match for w in want[m.a : m.a + m.size]}
             if held >= SHARE * len(want) and len(inside) <= 1.5 * len(want) + 3 and in_order.issuperset(self.templates[k].deciding):
                 covered = {m.b + i for m in match for i in range(m.size)}
                 kept = {m.a + i for m in match for i in range(m.size)}
                 found.append((words[lo + first][1], words[lo + last - 1][2], [w for i, w in enumerate(want) if i not in kept], [w for i, w in enumerate(inside, first) if i not in covered]))
                 at = lo + last
-            else:
-                at = anchor + 1
         return found
 
     def scan(self, text: str) -> list[dict]:
         out: list[dict] = []
         for begin, block in self.blocks(text):
-            words, taken = wording(block), []
-            hits = [(h, k) for k in range(len(self.templates)) for h in self.confirm(words, k)]
-            ranked = [(self.saved(block[max(0, h[0] - AROUND) : h[1] + AROUND], k), h, k) for h, k in hits]
-            for saved, (s, e, missing, added), k in sorted(ranked, key=lambda x: (-x[0], x[2], x[1][0])):
-                if not any(s < b and a < e for a, b in taken):
+            words, hits = wording(block), [m.start() for m in self.vocabulary.finditer(block)]
+            matches: dict[tuple[int, int, int], tuple] = {}
+            places = defaultdict(list)
+            for i, (w, _, _) in enumerate(words):
+                places[w].append(i)
+            for a, b, inside in self.windows(words, hits):
+                open_ = set(inside)
+                for k in self.ranked(block[words[a][1] : words[b - 1][2]]):
+                    for s, e, missing, added in self.confirm(words, places, k, a, b):
+                        matches.setdefault((s, e, k), (missing, added))
+                        if not missing and not added:  # no other template can explain this place better
+                            open_ -= {h for h in inside if s <= h < e}
+                    if not open_:
+                        break
+            rated = [self.rate(block, s, e, k, matches[s, e, k]) for s, e, k in matches]
+            taken: list[tuple[int, int]] = []
+            for _, k, s, e, saved in sorted(rated):
+                if not any(s < d and c < e for c, d in taken):
                     taken.append((s, e))
+                    missing, added = matches[s, e, k]
                     out.append({"license": self.templates[k].license, "start": begin + s, "end": begin + e, "saved": saved, "missing": missing, "added": added})
         return sorted(out, key=lambda x: (x["start"], x["end"]))
 
@@ -139,7 +187,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
 
     Null, empty or plain texts have an empty list; they are told apart by one expression before any text leaves the JVM.
     Null ids stay null; rows do not affect each other, so repeats do not matter. Of overlapping matches the one whose
-    template saves most stays; ties go to the earlier template. An empty table gives no rows. Other columns are not read.
+    template saves most, less what differs, stays; ties go to the earlier template. The work on a long text is in proportion to its windows. An
+    empty table gives no rows. Other columns are not read, so their names cannot clash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     hit = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("saved", pa.float64()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))]))
@@ -150,8 +199,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
             found = [scanner.scan(t) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, hit)], ["doc_id", "found"])
 
-    t = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.when(t.rlike(VOCABULARY), t).alias("t"))
+    t = F.col(f"`{text_col}`").cast("string")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.when(t.rlike(VOCABULARY), t).alias("t"))
     return source.mapInArrow(run, f"doc_id {kind}, found array<struct<license:string,start:int,end:int,saved:double,missing:array<string>,added:array<string>>>")
 
 

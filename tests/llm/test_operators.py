@@ -678,6 +678,53 @@ def test_long_lines_hide_no_notice(spark):
         assert [x.license for x in r.found] == [want[r.doc_id]], r.doc_id
 
 
+def test_whole_licenses_in_lines(spark, docs, corpus):
+    """Whole texts, wrapped at any width, between other lines, with a word changed; nulls, repeats and clashing names."""
+    import random
+    import textwrap
+
+    from tests.llm.conftest import text
+
+    rng = random.Random(14)
+    rows, want = [], []
+    for i in range(120):
+        t = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        body = textwrap.fill(t.text, rng.choice((40, 70, 120, 100_000)))
+        rows.append((i, f"{text(rng, rng.randint(0, 30))}\n{body}\n{text(rng, rng.randint(0, 30))}", 1, 2))
+        want.append(t.license)
+    rows += [rows[5], (None, rows[5][1], 1, 2), (500, None, 1, 2), (501, "", 1, 2), (502, " ".join(f"word{k} license" for k in range(20_000)) + " " + licenses.TEMPLATES[0].text, 1, 2)]
+    want += [want[5], want[5], None, None, licenses.TEMPLATES[0].license]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, found int, t int"))
+    assert found.columns == ["doc_id", "found"]
+    got = collections.Counter((str(r.doc_id), tuple(x.license for x in r.found)) for r in found.collect())
+    assert got == collections.Counter((str(r[0]), (w,) if w else ()) for r, w in zip(rows, want, strict=True))
+    assert all(not r.found for r in licenses.scan(docs).collect()) and licenses.scan(docs).count() == len(corpus)
+
+
+def test_ranking_loses_no_match():
+    """Confirming every template in every window finds the same notices."""
+    import random
+
+    from tests.llm.conftest import text
+
+    rng = random.Random(15)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for _ in range(60):
+        parts = [rng.choice((text(rng, rng.randint(1, 12)), rng.choice(licenses.TEMPLATES).text)) for _ in range(6)]
+        whole = "\n".join(parts)
+        got = [(x["license"], x["start"], x["end"]) for x in scanner.scan(whole)]
+        words = licenses.wording(whole)
+        places = collections.defaultdict(list)
+        for i, (w, _, _) in enumerate(words):
+            places[w].append(i)
+        every = sorted(scanner.rate(whole, s, e, k, d) for k in range(len(licenses.TEMPLATES)) for s, e, *d in scanner.confirm(words, places, k, 0, len(words)))
+        kept: list[tuple] = []
+        for _, k, s, e, _ in every:
+            if not any(s < d and c < e for _, c, d in kept):
+                kept.append((licenses.TEMPLATES[k].license, s, e))
+        assert {(a, b) for a, b, _ in got} == {(a, b) for a, b, _ in kept}
+
+
 # ---- decontamination ---------------------------------------------------------------------------------------------
 
 
