@@ -442,10 +442,11 @@ def _crowd_links(docs: DataFrame, crowd: DataFrame, signed: DataFrame, labels: D
     """Links between the nodes of crowd (node), by the shingles that are rare among them. signed: node, sig, n_shingles."""
     sets = cut(_sets(docs, crowd, id_col, text_col, width), "sets")
     rare = _rare(sets, per_cent)
+    many = crowd.count() > SIFT * size
     about = cut(crowd.join(signed, "node"), "about")
     made: list[DataFrame] = []
-    for sift in (SIFT, 1):
-        if made:
+    for sift in (SIFT, 1) if many else (1,):
+        if made and made[-1].limit(1).count():
             labels = components(_union([*found, *made]))
         now = about.select("node", F.ceil((F.col("n_shingles") + 1) / UNIT).alias("w"))
         now = now.withColumn("label", F.col("node")) if labels is None else now.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -473,11 +474,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+
+    def moved(now: DataFrame) -> DataFrame:
+        near = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        least = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("l"))
+        jump = now.select(F.col("node").alias("l"), F.col("label").alias("far"))
+        return least.join(jump, "l", "left").select("node", "old", F.least("l", F.coalesce("far", "l")).alias("label"))
+
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("l"))
-        jump = labels.select(F.col("node").alias("l"), F.col("label").alias("far"))
-        new = cut(moved.join(jump, "l", "left").select("node", "old", F.least("l", F.coalesce("far", "l")).alias("label")), "labels")
+        new = cut(moved(moved(labels).select("node", "label")), "labels")  # two steps a round; none has moved if the second moves none
         labels = new.select("node", "label")
         if not new.filter("label != old").limit(1).count():
             return labels
@@ -522,8 +527,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             found.append(more)
             labels = components(_union(found))
         if crowd.limit(1).count():
-            found += _crowd_links(docs, crowd, classes.select("node", "sig", "n_shingles"), labels, found, id_col, text_col, width, per_cent, size)
-            labels = components(_union(found))
+            late = _union(_crowd_links(docs, crowd, classes.select("node", "sig", "n_shingles"), labels, found, id_col, text_col, width, per_cent, size))
+            if late.limit(1).count():
+                labels = components(_union([*found, late]))
     keyed = classes.select("s1", "s2", "n_shingles", "node")
     if labels is not None:
         keyed = keyed.join(labels, "node", "left")

@@ -91,10 +91,11 @@ def join_counted(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> D
     A key with more than 1/HOT_GROUPS of the joined rows is hot; there are HOT_GROUPS of those at most, so they are
     broadcast, and no task gathers a hot key. The others are joined by a shuffle.
     """
-    total = groups.agg(F.sum(n)).first()[0] or 0
-    hot = F.col(n) > F.lit(max(int(total) // HOT_GROUPS, 1000))
-    if not groups.filter(hot).limit(1).count():
+    total, most = groups.agg(F.sum(n), F.max(n)).first()
+    edge = max(int(total or 0) // HOT_GROUPS, 1000)
+    if (most or 0) <= edge:
         return rows.join(groups, on)
+    hot = F.col(n) > F.lit(edge)
     known = F.broadcast(groups.filter(hot))
     rest = rows.join(F.broadcast(groups.filter(hot).select(*on)), on, "left_anti")
     return rows.join(known, on).unionByName(rest.join(groups.filter(~hot), on))
