@@ -1,7 +1,7 @@
 """Column functions that clean and key the text fields of publication records.
 
 Everything is built from Spark's own functions except the two Unicode decompositions, which Spark lacks: those run as Arrow
-UDFs, and only on values that are not ASCII.
+UDFs, to which ASCII values are nulls.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def plain(c: Column | str) -> Column:
 def lookup_key(c: Column | str) -> Column:
     """Lower-case ASCII letters and digits with single blanks between them: the key that names and titles share."""
     s = squeeze(c)
-    folded = F.when(_ascii(s), s).otherwise(_strip_to_ascii(s))
+    folded = F.coalesce(_strip_to_ascii(F.when(~_ascii(s), s)), s)  # ASCII values reach the UDF as nulls
     return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " "))
 
 
@@ -238,7 +238,7 @@ def present(c: Column | str) -> Column:
 def term_key(c: Column | str) -> Column:
     """Key of dictionary terms and of the texts they are looked up in: letters and digits apart, three plurals made singular."""
     s = F.coalesce(col(c).cast("string"), F.lit(""))
-    folded = F.when(_ascii(s), F.lower(s)).otherwise(_fold_terms(s))
+    folded = F.coalesce(_fold_terms(F.when(~_ascii(s), s)), F.lower(s))  # ASCII values reach the UDF as nulls
     return _term_words(folded)
 
 

@@ -45,7 +45,7 @@ def annualized(papers: DataFrame, reference_year: int | None = None) -> DataFram
 
 
 def productivity(papers: DataFrame, entities: str, label: str) -> DataFrame:
-    """Publications, citations, total and mean annualised rate per entity; each entity counts once per row."""
+    """Publications, citations, rated publications, total and mean annualised rate per entity; each entity counts once per row."""
     rows = papers.select(F.explode(distinct_entities(F.col(entities))).alias(label), "cited", "citation_rate")
     return _counted(rows, label)
 
@@ -59,7 +59,7 @@ def column_productivity(papers: DataFrame, column: str, label: str) -> DataFrame
 def _counted(rows: DataFrame, label: str) -> DataFrame:
     return (
         rows.groupBy(label)
-        .agg(F.count(F.lit(1)).alias("publications"), F.sum("cited").cast("bigint").alias("citations"), F.coalesce(F.sum("citation_rate"), F.lit(0.0)).alias("total_rate"), mean_or_zero(F.col("citation_rate")).alias("mean_rate"))
+        .agg(F.count(F.lit(1)).alias("publications"), F.sum("cited").cast("bigint").alias("citations"), F.count("citation_rate").alias("rated"), F.coalesce(F.sum("citation_rate"), F.lit(0.0)).alias("total_rate"), mean_or_zero(F.col("citation_rate")).alias("mean_rate"))
         .orderBy(F.desc("publications"), F.desc("citations"), F.asc(label))
     )
 
@@ -69,10 +69,10 @@ def top_rows(table: DataFrame, n: int, *order: Column) -> DataFrame:
     return table.orderBy(*order).limit(n)
 
 
-def value_counts(papers: DataFrame, column: str, n: int) -> DataFrame:
-    """The n most frequent values of a column, blanks left out; ties by value."""
+def value_counts(papers: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """The n most frequent values of a column (all without n), blanks left out; ties by value."""
     counts = papers.select(plain(column).alias("label")).filter("label != ''").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return top_rows(counts, n, F.desc("n"), F.asc("label"))
+    return counts if n is None else top_rows(counts, n, F.desc("n"), F.asc("label"))
 
 
 def competition_rank(table: DataFrame, value: str, label: str) -> DataFrame:

@@ -73,18 +73,23 @@ def density(e: DataFrame, nodes: DataFrame) -> DataFrame:
     return row.select("nodes", "edges", (F.col("nodes") - F.col("linked")).alias("isolates"), F.coalesce(F.try_divide(2.0 * F.col("edges"), F.nullif(pairs, F.lit(0))), F.lit(0.0)).alias("density"), "triangles", F.coalesce(F.try_divide(3.0 * F.col("triangles"), F.nullif(F.col("triads"), F.lit(0.0))), F.lit(0.0)).alias("transitivity"))
 
 
-def components(e: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """entity, component, component_size: numbered by size, then by least name. Labels jump to their label's label."""
+def labels_of(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entity, label: the least name that can be reached. Labels jump to their label's label, until none moves."""
     both = checkpointed(both_ways(e).select(F.col("src").alias("entity"), "dst"))
     labels = checkpointed(nodes.select("entity", F.col("entity").alias("label")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("entity").alias("dst"), "label"), "dst").groupBy("entity").agg(F.min("label").alias("m"))
         moved = labels.join(near, "entity", "left").select("entity", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("l"))
         jump = labels.select(F.col("entity").alias("l"), F.col("label").alias("far"))
         new = checkpointed(moved.join(jump, "l").select("entity", "old", F.least("l", "far").alias("label")))
         labels = new.select("entity", "label")
         if not new.filter("label != old").limit(1).count():
-            break
+            return labels
+
+
+def components(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entity, component, component_size: numbered by size, then by least name. Only one row per component is numbered."""
+    labels = labels_of(e, nodes)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("component_size"))
     numbered = sizes.withColumn("component", F.row_number().over(Window.orderBy(F.desc("component_size"), "label")))
     return labels.join(numbered, "label").select("entity", "component", "component_size")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from citegrid.functions import text as T
 from citegrid.functions.similarity import author_relation, token_sort_ratio
+from citegrid.operators.lineage import checkpointed
 
 VENUE_BLOCK = 250
 TITLE_LENGTH, VENUE_LENGTH, VENUE_OVERLAP = 0.6, 0.75, 0.6
@@ -110,13 +111,14 @@ def with_keys(pairs: DataFrame, work: DataFrame) -> DataFrame:
 def compare(keyed: DataFrame, threshold: float = 95.0) -> DataFrame:
     """The outcome of each pair: similarity, agreement flags, automatic with its reason, manual with a suggestion.
 
-    The ratio is computed only for pairs whose titles differ and whose edit distance leaves the threshold open.
+    The ratio is computed only for pairs of titles that are both there and differ; the others reach its UDF as nulls.
     """
     a, b = (lambda k: F.col(f"a_{k}")), (lambda k: F.col(f"b_{k}"))
     equal = lambda k: (a(k) != "") & (a(k) == b(k))
     both = (a("k_title") != "") & (b("k_title") != "")
+    unlike = both & (a("k_title") != b("k_title"))
     rel = author_relation(a("k_signature"), b("k_signature"))
-    flags = keyed.withColumns({"title_similarity": F.when(both, F.when(a("k_title") == b("k_title"), 100.0).otherwise(token_sort_ratio(a("k_title"), b("k_title")))).otherwise(0.0)}).withColumns(
+    flags = keyed.withColumns({"title_similarity": F.when(~both, 0.0).when(a("k_title") == b("k_title"), 100.0).otherwise(token_sort_ratio(F.when(unlike, a("k_title")), F.when(unlike, b("k_title"))))}).withColumns(
         {
             "exact_title": equal("k_title"),
             "year_match": equal("k_year"),
@@ -292,7 +294,7 @@ def cluster(work: DataFrame, compared: DataFrame, dataset: str, decisions: DataF
     """
     import hashlib
 
-    from citegrid.operators.graph import components as label_components
+    from citegrid.operators.graph import labels_of
 
     spark = work.sparkSession
     none = spark.createDataFrame([], "pair_id string, verdict string")
@@ -301,7 +303,7 @@ def cluster(work: DataFrame, compared: DataFrame, dataset: str, decisions: DataF
     edges = edges.select("first", "second", "pair_id", "verdict", "automatic", "same_doi").filter("automatic or verdict != ''")
     as_graph = edges.select(F.col("first").cast("string").alias("src"), F.col("second").cast("string").alias("dst"), F.lit(1).alias("shared"), F.lit(1.0).alias("weight"))
     linked = as_graph.select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
-    comp = (components or label_components)(as_graph, linked).select(F.col("entity").cast("bigint").alias("k_order"), F.col("component").alias("c"))
+    comp = (components or labels_of)(as_graph, linked).select(F.col("entity").cast("bigint").alias("k_order"), F.col("label").alias("c"))
     rows = work.select("k_order", "k_doi", "k_title", "k_year", "k_venue", "k_notice", "k_first", "k_signature", "k_complete").join(comp, "k_order")
     own = edges.join(comp.select(F.col("k_order").alias("first"), F.col("c").alias("edge_c")), "first")
     def identify(a, b) -> str:
@@ -346,7 +348,7 @@ def merge(records: DataFrame, clusters: DataFrame, *, generic: list[str], unions
     Precedence: the survivor, then completeness (highest first), then row order. generic: columns that take the first present
     value. unions: columns whose values are united by key, with the pattern that separates them. Citations take the maximum,
     the identifier the first present one, the abstract the longest that says something, open access the first
-    affirmative value, authors (and what belongs to them) the record with most authors.
+    affirmative value, authors (and what belongs to them) the record with most authors, of those one with an external list.
     """
     unions = unions if unions is not None else {c: ";" for c in ("author_keywords", "index_keywords", "affiliations") if c in records.columns} | {c: "[;|]" for c in ("search_category",) if c in records.columns}
     rows = records.join(clusters.select("k_order", "kept"), "k_order")
@@ -365,7 +367,8 @@ def merge(records: DataFrame, clusters: DataFrame, *, generic: list[str], unions
         yes = T.present("open_access") & T.open_access_affirmative("open_access")
         aggs.append(F.coalesce(first(F.col("open_access"), yes), first(F.col("open_access"), T.present("open_access")), F.lit("")).alias("open_access"))
     if "k_authors" in records.columns and "authors" in records.columns:
-        most = F.struct((-F.size("k_authors")).alias("n"), (-F.col("k_complete")).alias("less"), F.col("k_order").alias("at"))
+        listed = T.ascii_key("author_source") != "external" if "author_source" in records.columns else F.lit(True)
+        most = F.struct((-F.size("k_authors")).alias("n"), listed.alias("listed"), (-F.col("k_complete")).alias("less"), F.col("k_order").alias("at"))
         aggs.append(F.min_by("authors", most).alias("authors"))
         if "author_ids" in records.columns:
             aggs.append(F.min_by("author_ids", most).alias("author_ids"))
@@ -388,12 +391,33 @@ def _united(column: str, pattern: str) -> Column:
 
 def deduplicate(records: DataFrame, dataset: str, *, threshold: float = 95.0, decisions: DataFrame | None = None, generic: list[str] | None = None) -> dict[str, DataFrame]:
     """The whole flow over records with a row_order column: work, pairs, clusters, removals, reviews and merged records."""
-    work = prepare(records)
-    pairs = compare(with_keys(candidate_pairs(work), work), threshold)
-    clusters, reviews = cluster(work, pairs, dataset, decisions)
+    work = checkpointed(prepare(records))  # keyed once; all that follows reads the keys, and no record is keyed again
+    pairs = checkpointed(compare(with_keys(candidate_pairs(work), work), threshold))
+    clusters, reviews = (checkpointed(x) for x in cluster(work, pairs, dataset, decisions))
     special = {"cited_by", "doi", "abstract", "author_keywords", "index_keywords", "affiliations", "open_access", "search_category", "authors", "author_ids", "countries"}
     columns = generic if generic is not None else [c for c in records.columns if c not in special and c != "row_order"]
-    return {"work": work, "pairs": pairs, "clusters": clusters, "removals": removals(clusters, work, pairs, threshold), "reviews": reviews, "records": merge(work, clusters, generic=columns)}
+    return {"work": work, "pairs": pairs, "clusters": clusters, "removals": removals(clusters, work, pairs, threshold), "reviews": review_rows(work, pairs, reviews, dataset, decisions, threshold), "records": merge(work, clusters, generic=columns)}
+
+
+def review_rows(work: DataFrame, compared: DataFrame, settled: DataFrame, dataset: str, decisions: DataFrame | None = None, threshold: float = 95.0) -> DataFrame:
+    """What a reviewer sees: every manual pair, decided or not, every automatic pair that a decision overrides, and conflicts of
+    identifiers between components; with both records' columns, the decision and what became of it.
+
+    settled: the reviews of cluster(). A conflict replaces a manual pair with the same id.
+    """
+    none = work.sparkSession.createDataFrame([], "pair_id string, verdict string")
+    verdicts = (decisions if decisions is not None else none).select("pair_id", F.col("verdict").alias("decision"))
+    pairs = compared.filter("automatic or manual").withColumn("pair_id", pair_id(F.lit(dataset))).join(verdicts, "pair_id", "left").withColumn("decision", F.coalesce("decision", F.lit("")))
+    override = F.col("automatic")
+    shown = pairs.filter("manual or decision != ''").withColumns({"suggested_review": F.when(override, "MANUAL_OVERRIDE_OF_AUTOMATIC_DUPLICATE").otherwise(F.col("suggested_review")), "removal_reason": F.lit("")})
+    conflicts = settled.filter("suggestion != ''").select("first", "second", F.col("pair_id").alias("conflict_id"), F.col("suggestion").alias("conflict"))
+    raised = compare(with_keys(conflicts, work), threshold).withColumns({"suggested_review": F.col("conflict"), "removal_reason": F.lit("")})
+    raised = raised.withColumnRenamed("conflict_id", "pair_id").drop("conflict").join(verdicts, "pair_id", "left").withColumn("decision", F.coalesce("decision", F.lit("")))
+    both = shown.join(raised.select("pair_id"), "pair_id", "left_anti").unionByName(raised.select(*shown.columns))
+    status = settled.groupBy("pair_id").agg(F.max("status").alias("decision_status"))
+    listed = report(both.withColumns({"automatic": F.lit(False), "manual": F.lit(True)}).drop("pair_id"), work, dataset)
+    extra = both.select("first", "second", "decision").dropDuplicates(["first", "second"])
+    return listed.join(extra, ["first", "second"]).join(status, "pair_id", "left").withColumn("decision_status", F.coalesce("decision_status", F.lit("")))
 
 
 def survivors(clusters: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from citegrid.functions import text as T
 from citegrid.functions.similarity import component_metrics, token_sort_ratio
 from citegrid.operators.lineage import checkpointed
 
-#: Words too common in component names to block on.
-GENERIC_BLOCKS = ("university", "department", "of", "and", "the", "for", "hospital", "institute", "center", "centre", "school", "faculty", "college", "medical", "medicine", "research", "national", "sciences", "science")
+#: Words that component names are not blocked on.
+GENERIC_BLOCKS = ("a", "an", "and", "at", "by", "de", "del", "department", "division", "for", "hospital", "in", "institute", "laboratory", "of", "on", "research", "the", "to", "university", "with")
 
 
 def rules(table: DataFrame, variant: str = "Variant", canonical: str = "Canonical") -> DataFrame:
@@ -21,30 +21,52 @@ def rules(table: DataFrame, variant: str = "Variant", canonical: str = "Canonica
     return checked.select("variant", F.when(F.size("targets") > 1, bad).otherwise(F.get("targets", F.lit(0))).alias("canonical"))
 
 
-def chains(rule: DataFrame, most: int = 64) -> DataFrame:
-    """variant, canonical with every chain followed to its end; a cycle is an error. Paths double each round."""
-    rule = checkpointed(rule)
-    step = rule.filter("variant != canonical").select("variant", "canonical")
-    for _ in range(most.bit_length()):
-        far = step.select(F.col("variant").alias("canonical"), F.col("canonical").alias("next"))
-        new = checkpointed(step.join(far, "canonical", "left").select("variant", F.coalesce("next", "canonical").alias("canonical"), F.col("next").isNotNull().alias("moved")))
-        step = new.select("variant", "canonical")
+def chains(rule: DataFrame) -> DataFrame:
+    """variant, canonical with every chain followed to its end; a cycle is an error. With a column target_id also the last
+    id on the way that is not blank, the end's own included.
+
+    Paths double each round. A path without a cycle is at most as long as there are rules, so what still moves after as
+    many doublings as that number has digits is on a cycle.
+    """
+    with_ids = "target_id" in rule.columns
+    rule = checkpointed(rule if with_ids else rule.withColumn("target_id", F.lit("")))
+    step = rule.filter("variant != canonical").select("variant", "canonical", F.coalesce("target_id", F.lit("")).alias("target_id"))
+    later = lambda new, old: F.coalesce(F.nullif(F.col(new), F.lit("")), F.col(old))
+    for _ in range(step.count().bit_length() + 1):
+        far = step.select(F.col("variant").alias("canonical"), F.col("canonical").alias("next"), F.col("target_id").alias("next_id"))
+        new = checkpointed(step.join(far, "canonical", "left").select("variant", F.coalesce("next", "canonical").alias("canonical"), later("next_id", "target_id").alias("target_id"), F.col("next").isNotNull().alias("moved")))
+        step = new.select("variant", "canonical", "target_id")
         if not new.filter("moved").limit(1).count():
             break
     cyclic = F.raise_error(F.concat(F.lit("circular mapping at "), F.col("variant"))).cast("string")
-    ends = step.join(rule.filter("variant != canonical").select(F.col("variant").alias("canonical"), F.lit(True).alias("open")), "canonical", "left")
-    done = ends.select("variant", F.when(F.coalesce("open", F.lit(False)), cyclic).otherwise(F.col("canonical")).alias("canonical"))
-    return done.union(rule.filter("variant = canonical"))
+    ends = rule.select(F.col("variant").alias("end"), (F.col("variant") != F.col("canonical")).alias("open"), F.col("target_id").alias("end_id"))
+    done = step.join(ends, F.col("canonical") == F.col("end"), "left").select("variant", F.when(F.coalesce("open", F.lit(False)), cyclic).otherwise(F.col("canonical")).alias("canonical"), later("end_id", "target_id").alias("target_id"))
+    out = done.unionByName(rule.filter("variant = canonical").select("variant", "canonical", F.coalesce("target_id", F.lit("")).alias("target_id")))
+    return out if with_ids else out.drop("target_id")
 
 
 def chains_sql(spark, view: str) -> DataFrame:
-    """The same by a recursive query, with the length of each chain; the view has variant and canonical."""
-    return spark.sql(f"""
-        WITH RECURSIVE walk(variant, target, steps) AS (
+    """The same by a recursive query, with the length of each chain; the view has variant and canonical. A walk that takes
+    more steps than there are rules is on a cycle, which is an error."""
+    n = spark.table(view).count()
+    out = spark.sql(f"""
+        WITH RECURSIVE walk(variant, target, steps) MAX RECURSION LEVEL {n + 2} AS (
             SELECT variant, canonical, 1 FROM {view} WHERE variant <> canonical
             UNION ALL
-            SELECT w.variant, r.canonical, w.steps + 1 FROM walk w JOIN {view} r ON r.variant = w.target WHERE r.variant <> r.canonical AND w.steps < 64)
+            SELECT w.variant, r.canonical, w.steps + 1 FROM walk w JOIN {view} r ON r.variant = w.target WHERE r.variant <> r.canonical AND w.steps <= {n})
         SELECT variant, max_by(target, steps) AS canonical, max(steps) AS steps FROM walk GROUP BY variant""")
+    cyclic = F.raise_error(F.concat(F.lit("circular mapping at "), F.col("variant"))).cast("string")
+    return out.select("variant", F.when(F.col("steps") > n, cyclic).otherwise(F.col("canonical")).alias("canonical"), "steps")
+
+
+def component_chains(rules: DataFrame) -> DataFrame:
+    """component_rules() with each canonical text followed through the keys of its targets; a cycle is an error."""
+    keyed = checkpointed(rules.withColumn("next_key", T.lookup_key("canonical")))
+    known = keyed.select(F.col("variant_key").alias("next_key"), F.lit(True).alias("known"))
+    hop = keyed.join(known, "next_key", "left").select(F.col("variant_key").alias("variant"), F.when(F.col("known"), F.col("next_key")).otherwise(F.col("variant_key")).alias("canonical"))
+    ends = chains(hop).select(F.col("variant").alias("variant_key"), F.col("canonical").alias("end"))
+    texts = rules.select(F.col("variant_key").alias("end"), F.col("canonical").alias("text"))
+    return rules.join(ends, "variant_key").join(texts, "end").select("variant_key", F.col("text").alias("canonical"), "component_type")
 
 
 def _unambiguous(pairs: DataFrame) -> DataFrame:
@@ -133,11 +155,13 @@ def component_records(rows: DataFrame, row_id: str, entries: str, country_rules:
 
 
 def blocks(key: Column) -> Column:
-    """Blocking tokens of a component key: first and last two words, ends of the compact form, its length class."""
-    w = F.array_except(T.tokens(key), F.array(*map(F.lit, GENERIC_BLOCKS)))
+    """Blocking tokens of a component key: first and last two words, both ends of the compact form, its initial with its
+    length class; generic words are none."""
+    w = T.tokens(key)
     compact = F.replace(key, F.lit(" "), F.lit(""))
-    ends = F.when(F.length(compact) >= 8, F.array(F.concat(F.lit("p:"), F.substring(compact, 1, 8)), F.concat(F.lit("s:"), F.right(compact, F.lit(8))))).otherwise(F.array(F.concat(F.lit("c:"), compact)))
-    return F.array_distinct(F.concat(F.slice(w, 1, 2), F.slice(F.reverse(w), 1, 2), ends))
+    sized = F.concat(F.left(compact, F.lit(1)), F.lit(":"), F.floor(F.length(compact) / 5).cast("string"))
+    all_ = F.concat(F.slice(w, 1, 2), F.slice(F.reverse(w), 1, 2), F.array(F.left(compact, F.lit(8)), F.right(compact, F.lit(8)), sized))
+    return F.when(key == "", F.array().cast("array<string>")).otherwise(F.array_except(all_, F.array(*map(F.lit, GENERIC_BLOCKS))))
 
 
 def component_candidates(records: DataFrame, threshold: float = 90.0) -> DataFrame:
@@ -178,7 +202,7 @@ def author_candidates(mentions: DataFrame, threshold: float = 90.0, known: DataF
 
     mentions: name, aid. known: column `name` of canonical names. The first reason of a variant wins.
     """
-    from citegrid.operators.graph import components as label_components
+    from citegrid.operators.graph import labels_of
 
     freq = mentions.filter("name != ''").groupBy("name", "aid").agg(F.count(F.lit(1)).alias("n")).withColumn("k", T.lookup_key("name"))
     names = freq.groupBy("name", "k").agg(F.sum("n").alias("n"), F.max(F.when(F.col("aid") != "", 1).otherwise(0)).alias("has_id"))
@@ -198,9 +222,9 @@ def author_candidates(mentions: DataFrame, threshold: float = 90.0, known: DataF
     pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.name") < F.col("y.name"))).select(F.col("x.name").alias("src"), F.col("y.name").alias("dst"), F.col("x.k").alias("xk"), F.col("y.k").alias("yk")).distinct()
     scored = pairs.withColumn("score", F.round(token_sort_ratio(F.col("xk"), F.col("yk")), 2)).filter(F.col("score") >= threshold).select("src", "dst", "score")
     nodes = scored.select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
-    comp = (components or label_components)(scored.select("src", "dst", F.lit(1).alias("shared"), F.lit(1.0).alias("weight")), nodes)
+    comp = (components or labels_of)(scored.select("src", "dst", F.lit(1).alias("shared"), F.lit(1.0).alias("weight")), nodes)
     members = comp.join(ranked.withColumnRenamed("name", "entity"), "entity")
-    stars = members.groupBy("component").agg(F.max_by("entity", "rank").alias("canonical")).join(members.select("component", F.col("entity").alias("variant")), "component").filter("variant != canonical")
+    stars = members.groupBy("label").agg(F.max_by("entity", "rank").alias("canonical")).join(members.select("label", F.col("entity").alias("variant")), "label").filter("variant != canonical")
     direct = scored.select(F.col("src").alias("variant"), F.col("dst").alias("other"), "score").union(scored.select("dst", "src", "score"))
     best = direct.groupBy("variant").agg(F.max("score").alias("best"))
     fuzzy = stars.join(direct.select("variant", F.col("other").alias("canonical"), "score"), ["variant", "canonical"], "left").join(best, "variant").select("variant", "canonical", F.coalesce("score", "best").alias("score"), F.lit("similar_name").alias("reason"), F.lit(2).alias("o"))

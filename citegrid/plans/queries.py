@@ -12,6 +12,7 @@ from citegrid.operators import graph as G
 from citegrid.operators import linkage as L
 from citegrid.operators import mapping as M
 from citegrid.operators import terms as D
+from citegrid.operators.lineage import checkpointed
 from citegrid.plans.adapters import KEY, RECORDS_SQL, SQL, dictionary, papers, records, table
 from citegrid.plans.catalog import query
 from citegrid.sources import records as R
@@ -24,7 +25,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def _full_count(source: str, label: str) -> str:
-    return f"SELECT e AS {label}, count(*) AS publications, CAST(sum(cited) AS BIGINT) AS citations, round(sum(rate), 6) AS total_rate, round(avg(rate), 6) AS mean_rate FROM P JOIN {source} USING (id) GROUP BY e"
+    return f"SELECT e AS {label}, count(*) AS publications, CAST(sum(cited) AS BIGINT) AS citations, count(rate) AS rated, round(sum(rate), 6) AS total_rate, round(avg(rate), 6) AS mean_rate FROM P JOIN {source} USING (id) GROUP BY e"
 
 
 @query("q_entity_productivity", SQL + _full_count("A", "author"))
@@ -38,7 +39,7 @@ def country_productivity(spark, sf):
 
 
 def _column_count(column: str, label: str) -> str:
-    return SQL + f"SELECT {column} AS {label}, count(*) AS publications, CAST(sum(cited) AS BIGINT) AS citations, round(sum(rate), 6) AS total_rate, round(avg(rate), 6) AS mean_rate FROM P GROUP BY {column}"
+    return SQL + f"SELECT {column} AS {label}, count(*) AS publications, CAST(sum(cited) AS BIGINT) AS citations, count(rate) AS rated, round(sum(rate), 6) AS total_rate, round(avg(rate), 6) AS mean_rate FROM P GROUP BY {column}"
 
 
 @query("q_journal_productivity", _column_count("journal", "journal"))
@@ -241,16 +242,10 @@ def graph_components(spark, sf):
     return G.components(*_strong(spark, sf))
 
 
-@query("q_backbone", _BOTH + ", K AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, shared DESC, lower(dst), dst) AS k FROM H), Q AS (SELECT (SELECT count(*) FROM G) <= greatest(220, 4 * (SELECT count(DISTINCT e) FROM C JOIN P USING (id))) AS few) SELECT src, dst FROM G WHERE (SELECT few FROM Q) UNION SELECT least(src, dst), greatest(src, dst) FROM K WHERE k <= 4 AND NOT (SELECT few FROM Q)")
+@query("q_backbone", _STRONG + " SELECT src, dst FROM S")
 def backbone(spark, sf):
-    """Without the spanning forest, whose ties SQL cannot follow: the heaviest links of each node, or all if they are few."""
-    e, nodes = _graph(spark, sf)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("src").orderBy(F.desc("weight"), F.desc("shared"), F.lower("dst"), "dst")
-    heavy = G.both_ways(e).withColumn("k", F.row_number().over(order)).filter("k <= 4").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    few = e.agg(F.count(F.lit(1)).alias("ne")).join(F.broadcast(nodes.agg(F.count(F.lit(1)).alias("nn"))), how="cross").select((F.col("ne") <= F.greatest(F.lit(220), 4 * F.col("nn"))).alias("few"))  # one row
-    return e.select("src", "dst").join(F.broadcast(few), F.col("few")).drop("few").union(heavy.join(F.broadcast(few), ~F.col("few")).drop("few"))
+    """Few links: a drawing shows them all."""
+    return G.backbone(*_strong(spark, sf), 4)
 
 
 @query("q_backbone_tree")
@@ -259,7 +254,14 @@ def backbone_tree(spark, sf):
     return G.backbone(e, nodes, 4)
 
 
-@query("q_pagerank")
+_RANKS = _STRONG + """, M AS (SELECT DISTINCT e FROM C JOIN P USING (id)), H2 AS (SELECT src, dst, weight FROM S UNION ALL SELECT dst, src, weight FROM S), O AS (SELECT src, sum(weight) AS total FROM H2 GROUP BY src),
+    Q AS (SELECT H2.src, dst, weight / total AS p FROM H2 JOIN O ON O.src = H2.src), R0 AS (SELECT e, 1.0 / (SELECT count(*) FROM M) AS r FROM M)""" + "".join(
+    f""", R{k + 1} AS (SELECT M.e, (0.15 + 0.85 * coalesce((SELECT sum(r) FROM R{k} WHERE e NOT IN (SELECT src FROM O)), 0)) / (SELECT count(*) FROM M) + 0.85 * coalesce(g, 0) AS r FROM M LEFT JOIN (SELECT dst, sum(p * r) AS g FROM Q JOIN R{k} ON R{k}.e = Q.src GROUP BY dst) x ON x.dst = M.e)"""
+    for k in range(20)
+)
+
+
+@query("q_pagerank", _RANKS + " SELECT e AS entity, round(r, 6) AS pagerank FROM R20")
 def graph_pagerank(spark, sf):
     return rounded(G.pagerank(*_strong(spark, sf)))
 
@@ -355,7 +357,8 @@ def affiliations(spark, sf):
 
 
 def _work(spark, sf) -> DataFrame:
-    return L.prepare(records(spark, sf))
+    """The keyed work table, written once: joins on it read it twice."""
+    return checkpointed(L.prepare(records(spark, sf)))
 
 
 @query("q_pairs_doi", RECORDS_SQL + "SELECT a.k AS first, b.k AS second FROM R a JOIN R b ON a.doi = b.doi AND a.doi <> '' AND a.k < b.k")
@@ -403,7 +406,10 @@ def pair_compare(spark, sf):
     return L.compare(L.with_keys(L.candidate_pairs(w), w)).drop(*[f"{s}_{k}" for s in "ab" for k in L.KEYS])
 
 
-@query("q_ratio", "WITH RECURSIVE S AS (SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey), D(x, y, j, r) AS (SELECT x, y, 0, list_transform(range(length(x) + 1), lambda i: 0) FROM S UNION ALL SELECT x, y, j + 1, list_reduce(list_transform(range(length(x)), lambda i: [i]), lambda acc, e: list_append(acc, CASE WHEN substr(x, CAST(e[1] + 1 AS INTEGER), 1) = substr(y, j + 1, 1) THEN r[e[1] + 1] + 1 ELSE greatest(r[e[1] + 2], acc[len(acc)]) END), [0]) FROM D WHERE j < length(y)) SELECT x, y, round(200.0 * r[len(r)] / (length(x) + length(y)), 6) AS ratio FROM D WHERE j = length(y)")
+_RATIO = "WITH RECURSIVE S AS (SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey), D(x, y, j, r) AS (SELECT x, y, 0, list_transform(range(length(x) + 1), lambda i: 0) FROM S UNION ALL SELECT x, y, j + 1, list_reduce(list_transform(range(length(x)), lambda i: [i]), lambda acc, e: list_append(acc, CASE WHEN substr(x, CAST(e[1] + 1 AS INTEGER), 1) = substr(y, j + 1, 1) THEN r[e[1] + 1] + 1 ELSE greatest(r[e[1] + 2], acc[len(acc)]) END), [0]) FROM D WHERE j < length(y)) SELECT x, y, round(200.0 * r[len(r)] / (length(x) + length(y)), 6) AS ratio FROM D WHERE j = length(y)"
+
+
+@query("q_ratio", _RATIO)
 def ratio_query(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     a, b = n.alias("a"), n.alias("b")
@@ -411,7 +417,7 @@ def ratio_query(spark, sf):
     return rounded(pairs.select("x", "y", ratio(F.col("x"), F.col("y")).alias("ratio")))
 
 
-@query("q_ratio_native")
+@query("q_ratio_native", _RATIO)
 def ratio_native(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     a, b = n.alias("a"), n.alias("b")
@@ -479,10 +485,39 @@ def component_records(spark, sf):
     return M.component_records(c, "c_custkey", "entries").select("component_key", "mentions")
 
 
-@query("q_component_candidates")
+_LCS = "list_reduce(list_transform(range(length(x)), lambda i: [i]), lambda acc, e: list_append(acc, CASE WHEN substr(x, CAST(e[1] + 1 AS INTEGER), 1) = substr(y, j + 1, 1) THEN r[e[1] + 1] + 1 ELSE greatest(r[e[1] + 2], acc[len(acc)]) END), [0])"
+_GENERIC = ", ".join(f"'{w}'" for w in M.GENERIC_BLOCKS)
+
+
+@query(
+    "q_component_blocks",
+    f"WITH K AS (SELECT s_suppkey, 'university of ' || {KEY.format('n_name')} || ' ' || {KEY.format('r_name')} AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), W AS (SELECT s_suppkey, string_split(k, ' ') AS w, replace(k, ' ', '') AS c FROM K), "
+    "B AS (SELECT s_suppkey, unnest(list_distinct([w[1], w[2], w[-1], w[-2], left(c, 8), right(c, 8), left(c, 1) || ':' || CAST(floor(length(c) / 5) AS INTEGER)])) AS block FROM W) "
+    f"SELECT s_suppkey, block FROM B WHERE block NOT IN ({_GENERIC})",
+)
+def component_blocks(spark, sf):
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    key = T.lookup_key(F.concat(F.lit("University of "), "n_name", F.lit(", "), "r_name"))
+    return s.select("s_suppkey", key.alias("k")).select("s_suppkey", F.explode(M.blocks(F.col("k"))).alias("block"))
+
+
+@query(
+    "q_component_candidates",
+    f"WITH RECURSIVE C AS (SELECT {KEY.format('n_name')} AS k, n_name AS spelling, 1 AS mentions FROM nation UNION ALL SELECT {KEY.format('r_name')}, r_name, count(*) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name), "
+    "W AS (SELECT *, string_split(k, ' ') AS w, replace(k, ' ', '') AS c FROM C), "
+    f"B AS (SELECT k, spelling, mentions, w, block FROM (SELECT *, unnest([w[1], w[2], w[-1], w[-2], left(c, 8), right(c, 8), left(c, 1) || ':' || CAST(floor(length(c) / 5) AS INTEGER)]) AS block FROM W) WHERE block IS NOT NULL AND block NOT IN ({_GENERIC})), "
+    "P AS (SELECT DISTINCT a.k AS a, b.k AS b, a.spelling AS sa, b.spelling AS sb, a.mentions AS ma, b.mentions AS mb, a.w AS wa, b.w AS wb FROM B a JOIN B b ON a.block = b.block AND a.k < b.k), "
+    "T AS (SELECT *, array_to_string(list_sort(wa), ' ') AS oa, array_to_string(list_sort(wb), ' ') AS ob FROM P), "
+    "S AS (SELECT a AS x, b AS y FROM T UNION SELECT oa, ob FROM T), "
+    f"L(x, y, j, r) AS (SELECT x, y, 0, list_transform(range(length(x) + 1), lambda i: 0) FROM S UNION ALL SELECT x, y, j + 1, {_LCS} FROM L WHERE j < length(y)), "
+    "R AS (SELECT x, y, 200.0 * r[len(r)] / (length(x) + length(y)) AS ratio FROM L WHERE j = length(y)), "
+    "M AS (SELECT T.*, q1.ratio AS ts, q2.ratio AS cs, len(list_intersect(list_distinct(wa), list_distinct(wb))) AS common, len(list_distinct(wa)) AS na, len(list_distinct(wb)) AS nb FROM T JOIN R q1 ON q1.x = oa AND q1.y = ob JOIN R q2 ON q2.x = a AND q2.y = b) "
+    "SELECT CASE WHEN top THEN sb ELSE sa END AS variant, CASE WHEN top THEN sa ELSE sb END AS canonical, round(ts, 2) AS token_sort, round(cs, 2) AS characters, round(common / CAST(na + nb - common AS DOUBLE), 4) AS jaccard, round(common / CAST(least(na, nb) AS DOUBLE), 4) AS containment "
+    "FROM (SELECT *, (ma, len(wa), length(sa), lower(sa)) >= (mb, len(wb), length(sb), lower(sb)) AS top FROM M) WHERE ts >= 50 OR cs >= 94",
+)
 def component_candidates(spark, sf):
-    c = table(spark, sf, "part").select("p_partkey", T.affiliations(F.concat("p_name", F.lit(", "), "p_type")).alias("entries"))
-    return M.component_candidates(M.component_records(c, "p_partkey", "entries"))
+    c = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", T.affiliations(F.concat("n_name", F.lit(", "), "r_name")).alias("entries"))
+    return M.component_candidates(M.component_records(c, "n_nationkey", "entries"), 50.0)
 
 
 @query("q_author_candidates")
@@ -491,14 +526,16 @@ def author_candidates(spark, sf):
     return M.author_candidates(s)
 
 
-@query("q_fill_ids", "SELECT s_name AS variant, CAST(10000000 + s_suppkey AS VARCHAR) AS variant_id, 'C' || (s_suppkey % 5) AS canonical, '' AS canonical_id FROM supplier")
+@query("q_fill_ids", "SELECT s_name AS variant, CAST(10000000 + s_suppkey AS VARCHAR) AS variant_id, CASE WHEN s_suppkey <= 10 THEN 'D' || s_suppkey ELSE 'C' || (s_suppkey % 5) END AS canonical, CASE WHEN s_suppkey <= 10 THEN CAST(10000000 + s_suppkey AS VARCHAR) WHEN s_suppkey % 5 = 0 THEN '33333333' ELSE '' END AS canonical_id FROM supplier")
 def fill_ids(spark, sf):
+    """Ids of the variants' own names; of a canonical name with one id; of a group in which all ids are one; and none where there are several."""
     s = table(spark, sf, "supplier")
-    template = s.select(F.col("s_name").alias("variant"), F.lit("").alias("variant_id"), F.concat(F.lit("C"), (F.col("s_suppkey") % 5).cast("string")).alias("canonical"), F.lit("").alias("canonical_id"))
+    canonical = F.when(F.col("s_suppkey") <= 10, F.concat(F.lit("D"), F.col("s_suppkey").cast("string"))).otherwise(F.concat(F.lit("C"), (F.col("s_suppkey") % 5).cast("string")))
+    template = s.select(F.col("s_name").alias("variant"), F.lit("").alias("variant_id"), canonical.alias("canonical"), F.lit("").alias("canonical_id"))
     mentions = s.select(F.col("s_name").alias("name"), (F.col("s_suppkey") + 10_000_000).cast("string").alias("aid"))
-    # two ids for every canonical name, so that only the variants' own ids can be filled
-    more = template.select(F.col("canonical").alias("name"), F.explode(F.array(F.lit("11111111"), F.lit("22222222"))).alias("aid"))
-    return M.fill_ids(template, mentions.union(more)).withColumn("canonical_id", F.when(F.size(F.split("canonical", "C")) == 2, F.lit("")).otherwise(F.col("canonical_id")))
+    groups = template.select(F.col("canonical").alias("name")).filter("name like 'C%'").distinct()
+    more = groups.select("name", F.explode(F.when(F.col("name") == "C0", F.array(F.lit("33333333"))).otherwise(F.array(F.lit("11111111"), F.lit("22222222")))).alias("aid"))
+    return M.fill_ids(template, mentions.union(more))
 
 
 @query("q_recovered_authors", SQL + "SELECT id, CASE WHEN count(e) >= 3 AND id % 2 = 0 THEN count(e) + 1 ELSE count(e) END AS authors, CASE WHEN count(e) < 3 THEN 'listed' WHEN id % 2 = 0 THEN 'external' ELSE 'not_cached' END AS author_source FROM P JOIN A USING (id) GROUP BY id")

@@ -39,7 +39,7 @@ def preprocess(raw: DataFrame, dataset: str, *, cache: DataFrame | None = None,
     out = L.deduplicate(recovered, dataset, threshold=threshold, decisions=decisions, generic=[c for c in ("title", "year", "source_title", "volume", "issue", "art_no", "funding_texts", "editors", "publisher", "language", "document_type", "authors_with_affiliations", "author_source", "source_row") if c in recovered.columns])
     final = out["records"].withColumn("entries", T.affiliations("affiliations"))
     if component_rules is not None:
-        rules = M.component_rules(component_rules)
+        rules = M.component_chains(M.component_rules(component_rules))
         final = final.join(M.countries(final, "k_order", "entries", rules), "k_order")
         out["components"] = M.component_records(final, "k_order", "entries", rules)
     else:
@@ -74,8 +74,8 @@ def dataset_label(name: str, labels: dict[str, str] | None = None) -> str:
     return (labels or {}).get(name, name.replace("_", " ").title())
 
 
-def analyze_dataset(p: DataFrame, name: str) -> dict[str, DataFrame]:
-    """Rankings, annual tables, open-access tables and statistics of one data set."""
+def analyze_dataset(p: DataFrame, name: str, reference_year: int | None = None) -> dict[str, DataFrame]:
+    """Rankings, annual tables, open-access tables and statistics of one data set. Years run to the reference year."""
     authors, lands = E.productivity(p, "authors", "author"), E.productivity(p, "countries", "country")
     journals, publishers = E.column_productivity(p, "source_title", "journal"), E.column_productivity(p, "publisher", "publisher")
     by_land = E.open_access_by_entity(p, "countries", "country")
@@ -84,7 +84,12 @@ def analyze_dataset(p: DataFrame, name: str) -> dict[str, DataFrame]:
     label = {"dataset": dataset_label(name)}
     stats = [E.describe(t, measures, label | {"unit": unit}) for t, unit in ((authors, "author"), (lands, "country"), (journals, "journal"), (publishers, "publisher"))]
     stats.append(E.describe(p, ["cited", "citation_years", "citation_rate"], label | {"unit": "record"}))
-    stats.append(E.describe(E.zero_filled(E.annual_counts(p), "year", ["publications", "citations"]), ["publications", "citations"], label | {"unit": "year"}))
+    by_year = E.zero_filled(E.annual_counts(p).join(E.annual_rates(p), "year", "left"), "year", ["publications", "citations", "total_rate", "mean_rate"], reference_year)
+    stats.append(E.describe(by_year, ["publications", "citations", "total_rate", "mean_rate"], label | {"unit": "year"}))
+    for unit, column in (("language", "language"), ("document type", "document_type")):
+        stats.append(E.describe(E.value_counts(p, column), ["n"], label | {"unit": unit}))
+    sizes = p.select(F.col("open").cast("int").alias("open_access"), F.size(E.distinct_entities(F.col("authors"))).alias("authors"), F.size(E.distinct_entities(F.col("countries"))).alias("countries"))
+    stats.append(E.describe(sizes, ["open_access", "authors", "countries"], label | {"unit": "record"}))
     return {
         "authors": authors, "countries": lands, "journals": journals, "publishers": publishers,
         "languages": E.value_counts(p, "language", 10), "document_types": E.value_counts(p, "document_type", 10),
@@ -173,15 +178,17 @@ def main(argv: list[str] | None = None) -> None:
             parts[name(path)] = spark.read.parquet(f"{args.output}/{name(path)}")
             reviews.append(out["reviews"])
         if len(parts) > 1:
-            both = combine(parts, threshold=args.threshold)
+            both = combine(parts, threshold=args.threshold, decisions=options["decisions"])
             K.write_dataset(both["records"], f"{args.output}/combined")
+            K.write_tables({"combined_removals": both["removals"], "combined_reviews": both["reviews"]}, args.output)
+            reviews.append(both["reviews"])
         K.write_tables({"review_queue": L.review_queue(reviews)}, args.output)
     elif args.stage == "analyze":
         tables = {name(p): spark.read.parquet(p) for p in args.inputs}
         ready = {n: papers(t, args.reference_year) for n, t in tables.items()}
         if args.part in ("all", "dataset"):
             for n, p in ready.items():
-                K.write_tables({f"{n}_{k}": v for k, v in analyze_dataset(p, n).items()}, args.output)
+                K.write_tables({f"{n}_{k}": v for k, v in analyze_dataset(p, n, args.reference_year).items()}, args.output)
         if args.part in ("all", "combined") and len(ready) == 2:
             (n1, p1), (n2, p2) = ready.items()
             K.write_tables({"year_comparison": E.year_comparison(E.annual_counts(p1), E.annual_counts(p2), ["publications", "citations"], (n1, n2))}, args.output)

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -46,9 +46,15 @@ def ensure_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def number_rows(df: DataFrame, name: str = "row_order", first: int = 0) -> DataFrame:
-    """Consecutive numbers in file order. Spark numbers partitions first (one narrow count), then rows within them."""
-    schema = S.StructType([S.StructField(name, S.LongType(), False), *df.schema.fields])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1] + first, *x[0])), schema)
+    """Consecutive numbers in file order: a row's place in its partition, and how many rows the partitions before hold.
+
+    What is read twice is counted once; the offsets are one row per partition, and stay in the JVM.
+    """
+    local = df.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    before = local.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("__least"))
+    offsets = before.select("__part", "__least", (F.sum("n").over(Window.orderBy("__part")) - F.col("n") + first).alias("__before"))
+    out = local.join(F.broadcast(offsets), "__part")
+    return out.select((F.col("__before") + F.col("__at") - F.col("__least")).alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

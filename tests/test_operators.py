@@ -176,6 +176,81 @@ def test_chains(spark):
         M.component_rules(spark.createDataFrame([("a", "b", "planet", "yes")], "Variant string, Canonical string, Component_Type string, Decision string")).collect()
 
 
+def test_long_chains_and_cycles(spark):
+    links = [(f"n{k}", f"n{k + 1}") for k in range(140)]
+    rules = M.rules(spark.createDataFrame(links, "Variant string, Canonical string"))
+    assert {r.canonical for r in M.chains(rules).collect()} == {"n140"}
+    M.checkpointed(M.rules(spark.createDataFrame(links[66:], "Variant string, Canonical string"))).createOrReplaceTempView("long_view")
+    assert {r.canonical for r in M.chains_sql(spark, "long_view").collect()} == {"n140"}
+    circle = M.checkpointed(M.rules(spark.createDataFrame([*links[:9], ("n9", "n3"), ("x", "y")], "Variant string, Canonical string")))
+    circle.createOrReplaceTempView("circle_view")
+    for made in (M.chains(circle), M.chains_sql(spark, "circle_view")):
+        with pytest.raises(Exception, match="circular mapping"):
+            made.collect()
+
+
+def test_target_ids_of_chains(spark):
+    rules = spark.createDataFrame([("a", "b", "1"), ("b", "c", "2"), ("c", "d", ""), ("x", "y", ""), ("y", "y", "9"), ("p", "q", "5")], "variant string, canonical string, target_id string")
+    assert {r.variant: (r.canonical, r.target_id) for r in M.chains(rules).collect()} == {"a": ("d", "2"), "b": ("d", "2"), "c": ("d", ""), "x": ("y", "9"), "y": ("y", "9"), "p": ("q", "5")}
+
+
+def test_component_chains_follow_keys(spark):
+    rows = [("U.K.", "United Kingdom"), ("United-Kingdom", "Great Britain"), ("Great Britain", "great britain"), ("Wales", "Cymru")]
+    table = spark.createDataFrame([(*r, "country", "accept") for r in rows], "Variant string, Canonical string, Component_Type string, Decision string")
+    got = {r.variant_key: r.canonical for r in M.component_chains(M.component_rules(table)).collect()}
+    assert got == {"u k": "great britain", "united kingdom": "great britain", "great britain": "great britain", "wales": "Cymru"}
+    circle = spark.createDataFrame([("a", "B", "city", "yes"), ("b", "A", "city", "yes")], table.schema)
+    with pytest.raises(Exception, match="circular"):
+        M.component_chains(M.component_rules(circle)).collect()
+
+
+def test_component_blocks(spark):
+    keys = {"laboratory of a": {"laborato", "atoryofa", "l:2"}, "university of south wales": {"south", "wales", "universi", "uthwales", "u:4"}, "": set(), "lab": {"lab", "l:0"}}
+    got = {r.k: set(r.b) for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", M.blocks(F.col("k")).alias("b")).collect()}
+    assert got == keys
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).repartition(1).sortWithinPartitions("id").selectExpr("cast(id as string) as v").coalesce(1).write.text(path)
+    rows = R.number_rows(spark.read.text(path).repartition(5), "at", 3).collect()
+    assert sorted(r["at"] for r in rows) == list(range(3, 1003)) and len({r.value for r in rows}) == 1000
+    assert [(r["at"], r.value) for r in R.number_rows(spark.read.text(path)).withColumnRenamed("row_order", "at").collect()][:3] == [(0, "0"), (1, "1"), (2, "2")]
+
+
+def test_review_queue_from_exports(spark, tmp_path):
+    """Undecided manual pairs, decided ones, and an automatic duplicate that a reviewer overrides, through the stage."""
+    import csv
+
+    from citegrid.plans import stages
+
+    columns = ["Author full names", "Author(s) ID", "Title", "Year", "Source title", "Volume", "Issue", "Art. No.", "DOI", "Abstract", "Cited by", "Document Type"]
+    text = "gene therapy of primary immunodeficiency"
+    one = lambda title, year, doi, names="Abel, A. (10000001); Bell, B. (10000002)": [names, "", f"{title} {text}", year, "Journal of Tests", "1", "", "", doi, text, "3", "Article"]
+    rows = [one("alpha", "2020", "10.1/a"), one("alpha", "2020", ""), one("beta", "2021", "10.1/b"), one("beta", "2021", "10.1/c"), one("gamma", "2020", "10.1/d"), one("gamma", "2020", "10.1/d"), one("delta", "2019", "", "Cole, C. (10000003)"), one("delta", "2019", "", "Dunn, D. (10000004)")]
+    path = tmp_path / "part.csv"
+    with path.open("w", newline="") as f:
+        csv.writer(f).writerows([columns, *rows])
+    raw = R.read_records(spark, str(path))
+    kept = stages.preprocess(raw, "part")
+    first = {(r.record_1_title.split()[0], r.suggested_review, r.decision) for r in kept["reviews"].collect()}
+    assert first == {("beta", "REVIEW_IDENTICAL_TITLE_YEAR_CONFLICTING_DOI", ""), ("delta", "REVIEW_IDENTICAL_TITLE_AND_YEAR", "")}
+    assert kept["records"].count() == 6
+    ids = {r.record_1_title.split()[0]: r.pair_id for r in kept["reviews"].collect()}
+    auto = kept["pairs"].filter("automatic").withColumn("pair_id", L.pair_id(F.lit("part"))).collect()
+    gamma = next(r.pair_id for r in auto if r.a_k_title.startswith("gamma"))
+    verdicts = spark.createDataFrame([(ids["delta"], "REMOVE_RECORD_1"), (gamma, "KEEP_BOTH")], "pair_id string, verdict string")
+    again = stages.preprocess(raw, "part", decisions=verdicts)
+    rows = {r.record_1_title.split()[0]: r for r in again["reviews"].collect()}
+    assert set(rows) == {"beta", "gamma", "delta"}
+    assert rows["gamma"].suggested_review == "MANUAL_OVERRIDE_OF_AUTOMATIC_DUPLICATE" and rows["gamma"].decision == "KEEP_BOTH" and rows["gamma"].removal_reason == ""
+    assert rows["delta"].decision == "REMOVE_RECORD_1" and rows["delta"].decision_status == "APPLIED_TO_FINAL_COMPONENT"
+    assert rows["beta"].decision == "" and rows["beta"].manual and rows["beta"].record_2_title.startswith("beta")
+    assert again["records"].count() == 6
+    queue = L.review_queue([again["reviews"], kept["reviews"]])
+    assert queue.count() == 3 and {r.decision for r in queue.collect()} == {"", "KEEP_BOTH", "REMOVE_RECORD_1"}
+
+
 def test_cascade_and_lists(spark):
     resolved = spark.createDataFrame([("Doe, J", "Doe, Jane"), ("Roe R", "Roe, Rita")], "variant string, canonical string")
     names = spark.createDataFrame([("Doe, J",), ("DOE J",), ("j doe",), ("Jane Doe",), ("Nobody",), ("",)], "name string")
