@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrid.llm.shared import cut, join_counted, mix, shingles, span_hashes, text_blocks, without_ids, word_spans
+from citegrid.llm.shared import cut, join_counted, mix, release, shingles, span_hashes, text_blocks, without_ids, word_spans
 
 WIDTH, PER_CENT = 5, 75
 TREES, DEPTH = 20, 2
@@ -40,7 +40,7 @@ VALUES = TREES * DEPTH
 #: Values that a candidate pair must share. At similarity 0.75 the number is binomial(40, 0.75); under 16 has p < 1e-6.
 AGREE = 16
 #: Nodes of a cell or slice at most. A node counts as one for each UNIT shingles, so a cell's sets are bounded too.
-SLICE, UNIT = 2048, 2048
+SLICE, UNIT = 2048, 512
 #: The first round over rare shingles takes one in SIFT of them: it joins most of what is similar at a fraction of the work.
 SIFT = 16
 
@@ -187,6 +187,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         rest = tuple(c[edges[-1] if edges else 0 :] for c in rows)
     if rest is not None and len(rest[0]) > 1:
         yield one(rest, 0, len(rest[0]))
+    release()
 
 
 def prefix_slices(sig: np.ndarray, size: int, depth: int = DEPTH) -> list[tuple[int, int]]:
@@ -221,7 +222,7 @@ def prefix_slices(sig: np.ndarray, size: int, depth: int = DEPTH) -> list[tuple[
 def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(nodes, labels, signatures) of each slice, from sorted rows (key, ord, node, label, t).
 
-    At most some 16 slices of one region are held at a time; a region that goes on is cut there.
+    At most some four slices of one region are held at a time; a region that goes on is cut there.
     """
     rest: tuple[np.ndarray, ...] | None = None
 
@@ -244,13 +245,14 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.n
         edges = [0, *(np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1).tolist()]
         for a, b in zip(edges, edges[1:], strict=False):
             yield from region(rows, a, b)
-        if len(rows[0]) - edges[-1] > 16 * size:
+        if len(rows[0]) - edges[-1] > 4 * size:
             yield from region(rows, edges[-1], len(rows[0]))
             rest = None
         else:
             rest = tuple(c[edges[-1] :] for c in rows)
     if rest is not None:
         yield from region(rest, 0, len(rest[0]))
+    release()
 
 
 def _candidates(sorted_rows: DataFrame, size: int) -> DataFrame:
@@ -371,6 +373,8 @@ def _settle(members: DataFrame, per_cent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
         if len(rows) > 1 and (found := links(*zip(*rows, strict=True))):
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        rows = []
+        release()
 
     return members.select("slice", "node", "label", "grams").repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "a bigint, b bigint")
 
@@ -401,6 +405,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                 n = int((both[1:] == both[:-1]).sum())
                 verdict.append(100 * n >= per_cent * (len(p) + len(q) - n))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdict, pa.bool_())], ["a", "b", "linked"])
+        release()
 
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))

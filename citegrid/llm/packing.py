@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOCUMENT_CUT, SENTENCE_CUT, HARD_CUT = 0.0, 4.0, 16.0
-CACHE_WORDS = 900_000
+CACHE_WORDS = 400_000
 SOLVE_TOKENS = 1 << 19
 GRID = 16
 STOPS, CLOSING = (".", "!", "?", "\u2026", "\u3002"), "\"')]\u00bb\u201d"

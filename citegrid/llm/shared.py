@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Rows and bytes that Spark hands to Python at a time; texts and packed rows can be large.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -101,6 +101,19 @@ def join_counted(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> D
     return rows.join(known, on).unionByName(rest.join(groups.filter(~hot), on))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers stay for later stages and would keep it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 @dataclass
 class Block:
     """Documents of one block: buf holds each text followed by one separator byte (a blank)."""
@@ -143,6 +156,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: int, limit: int = BLOCK
             ends = np.cumsum(lens + 1) - 1
             yield Block(batch.slice(at, to - at), np.frombuffer(b" ".join(parts), np.uint8), ends - lens, ends)
             at = to
+    release()
 
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
