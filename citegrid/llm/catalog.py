@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrid.llm import ctw, decontaminate, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, suffix_dedup
+from citegrid.llm import ctw, decontaminate, fill_middle, fingerprints, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, resampling, secrets, suffix_dedup
 from citegrid.llm.shared import table
 
 LLM_QUERIES = {}
@@ -67,3 +67,21 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@register
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
+LLM_ORACLES["op11_fill_middle"] = fill_middle.SQL
+
+
+@register
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.digest(resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@register
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.follow(table(spark, sf_dir, "documents"))
