@@ -5,14 +5,14 @@ the longest template. Each window is compressed with zstandard, once alone and o
 dictionary, and the templates are ranked by how much they reduce its size. Down the ranking, a winner is confirmed by
 exact wording: a match holds most of the template's words in order, close together, and all of its deciding words (names,
 versions, clauses); what is missing or added is reported. The ranking ends when every place with vocabulary belongs to a
-match without differences. Of overlapping matches the one stays whose own place its template reduces most, less the bytes that differ. Windows are as long as templates,
+match without differences. Of overlapping matches those stay that together save most bytes, less the bytes that differ. Windows are as long as templates,
 so the length of a block or line cannot hide a notice.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -86,6 +86,7 @@ class Scanner:
         self.templates = templates
         self.words = [[w for w, _, _ in wording(t.text)] for t in templates]
         self.counts = [Counter(w) for w in self.words]
+        self.spots = [[i for i, w in enumerate(words) if w == t.deciding[0]] for t, words in zip(templates, self.words, strict=True)]
         self.reach = 2 * max(map(len, self.words))
         self.plain = z.ZstdCompressor(level=level, write_content_size=False)
         self.primed = [z.ZstdCompressor(level=level, write_content_size=False, dict_data=z.ZstdCompressionDict(t.text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for t in templates]
@@ -98,7 +99,7 @@ class Scanner:
             if begin < 0 or hit.start() - MARGIN > until:
                 if begin >= 0:
                     yield begin, text[begin:until]
-                begin = max(until, text.rfind("\n", 0, max(0, hit.start() - MARGIN)) + 1)
+                begin = max(until, text.rfind("\n", max(until, 0), max(0, hit.start() - MARGIN)) + 1)
             if hit.end() + MARGIN > until:
                 until = text.find("\n", min(hit.end() + MARGIN, len(text)))
                 until = len(text) if until < 0 else until
@@ -110,7 +111,7 @@ class Scanner:
         half = self.reach // 2
         for a in range(0, max(len(words) - half, 1), half):
             b = min(a + self.reach, len(words))
-            inside = [h for h in hits if words[a][1] <= h < words[b - 1][2]]
+            inside = hits[bisect_left(hits, words[a][1]) : bisect_left(hits, words[b - 1][2])]
             if inside:
                 yield a, b, inside
 
@@ -121,38 +122,83 @@ class Scanner:
         less = alone - len(self.primed[k].compress(raw))
         return less, round(less / alone, 6)
 
-    def rate(self, block: str, s: int, e: int, k: int, differences: tuple[list[str], list[str]]) -> tuple[int, int, int, int, float]:
-        """What orders overlapping matches: bytes that the place saves, less the bytes in which its wording differs (negative)."""
+    def rate(self, block: str, s: int, e: int, k: int, differences: tuple[list[str], list[str]]) -> tuple[int, float]:
+        """Bytes that the place saves, less the bytes in which its wording differs; 1 at least. And the share that is saved."""
         less, share = self.saved(block[max(0, s - AROUND) : e + AROUND], k)
-        return sum(len(w) + 1 for part in differences for w in part) - less, k, s, e, share
+        return max(less - sum(len(w) + 1 for part in differences for w in part), 1), share
+
+    @staticmethod
+    def best(matches: list[tuple[int, int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """Of matches (start, end, template, bytes, share) those that do not overlap and have most bytes together; on ties the
+        earlier ends and templates."""
+        rows = sorted(matches, key=lambda m: (m[1], m[0], m[2]))
+        ends = [m[1] for m in rows]
+        total, taken = [0] * (len(rows) + 1), [0] * len(rows)
+        for i, m in enumerate(rows):
+            before = bisect_right(ends, m[0], 0, i)
+            total[i + 1], taken[i] = total[i], -1
+            if total[before] + m[3] > total[i]:
+                total[i + 1], taken[i] = total[before] + m[3], before
+        out, i = [], len(rows)
+        while i:
+            if taken[i - 1] < 0:
+                i -= 1
+            else:
+                s, e, k, _, share = rows[i - 1]
+                out.append((s, e, k, share))
+                i = taken[i - 1]
+        return out
 
     def ranked(self, window: str) -> list[int]:
         """Templates by the size that they save, the largest saving first; ties go to the earlier template."""
         raw = window.encode()
         return sorted(range(len(self.templates)), key=lambda k: (len(self.primed[k].compress(raw)), k))
 
-    def confirm(self, words: list[tuple[str, int, int]], places: dict[str, list[int]], k: int, a: int, b: int) -> list[tuple[int, int, list[str], list[str]]]:
-        """Where the template's wording stands about the words a..b of a block: start, end, words missing, words added; left
-        to right, none overlapping. places: where each word stands in the block."""
-        found, want, at = [], self.words[k], 0
-        anchors = places.get(self.templates[k].deciding[0], [])
-        for anchor in anchors[bisect_left(anchors, a) : bisect_left(anchors, b)]:
-            if anchor < at:
-                continue
-            lo, hi = max(at, anchor - len(want) - 5), anchor + len(want) + 5
-            have = [w for w, _, _ in words[lo:hi]]
-            if (Counter(have) & self.counts[k]).total() < SHARE * len(want):
+    def about(self, have: list[str], k: int, i: int, least: int, most: int) -> tuple[int, int, list[str], list[str]] | None:
+        """The template's wording with word i of a block, one of its first deciding words, in its place: first and last word,
+        words missing, words added. Only the words from `least` to before `most` are used.
+
+        What lies before and after the word is compared apart, from the word outwards, so that of equal notices in a row each
+        word finds its own.
+        """
+        want = self.words[k]
+        n, best = len(want), None
+        for p in self.spots[k]:
+            slack = n // 2 + 3
+            before, after = have[max(least, i - p - slack) : i][::-1], have[i + 1 : min(most, i + n - p + slack)]
+            if (Counter(before + after + [want[p]]) & self.counts[k]).total() < SHARE * n:
                 continue
-            match = [m for m in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
-            held = sum(m.size for m in match)
-            first, last = match[0].b, match[-1].b + match[-1].size
-            inside = have[first:last]
-            in_order = {w for m in match for w in want[m.a : m.a + m.size]}
-            if held >= SHARE * len(want) and len(inside) <= 1.5 * len(want) + 3 and in_order.issuperset(self.templates[k].deciding):
-                covered = {m.b + i for m in match for i in range(m.size)}
-                kept = {m.a + i for m in match for i in range(m.size)}
-                found.append((words[lo + first][1], words[lo + last - 1][2], [w for i, w in enumerate(want) if i not in kept], [w for i, w in enumerate(inside, first) if i not in covered]))
-                at = lo + last
+            left, right = (SequenceMatcher(None, w, h, autojunk=False).get_matching_blocks()[:-1] for w, h in ((want[:p][::-1], before), (want[p + 1 :], after)))
+            kept = {p} | {p - 1 - m.a - x for m in left for x in range(m.size)} | {p + 1 + m.a + x for m in right for x in range(m.size)}
+            used = {i} | {i - 1 - m.b - x for m in left for x in range(m.size)} | {i + 1 + m.b + x for m in right for x in range(m.size)}
+            first, last = min(used), max(used) + 1
+            if len(kept) >= SHARE * n and last - first <= 1.5 * n + 3 and {want[x] for x in kept}.issuperset(self.templates[k].deciding) and (best is None or len(kept) > best[0]):
+                best = len(kept), (first, last, [w for x, w in enumerate(want) if x not in kept], [have[x] for x in range(first, last) if x not in used])
+        return best and best[1]
+
+    def confirm(self, have: list[str], places: dict[str, list[int]], k: int, a: int, b: int) -> list[tuple[int, int, list[str], list[str]]]:
+        """Where the template's wording stands about the words a..b of a block, none overlapping; each match covers the word
+        that it was looked for at. Equal wording goes first, and what differs is looked for between. places: where each word
+        stands in the block."""
+        want, found, open_ = self.words[k], [], []
+        anchors = places.get(self.templates[k].deciding[0], [])
+        at = 0
+        for i in anchors[bisect_left(anchors, a) : bisect_left(anchors, b)]:
+            start = next((i - p for p in self.spots[k] if i - p >= at and have[i - p : i - p + len(want)] == want), -1)
+            if start >= 0:
+                at = start + len(want)
+                found.append((start, at, [], []))
+            elif i >= at:
+                open_.append(i)
+        equal, at, j = list(found), 0, 0
+        for i in open_:
+            while j < len(equal) and equal[j][0] <= i:
+                at = max(at, equal[j][1])
+                j += 1
+            other = self.about(have, k, i, at, equal[j][0] if j < len(equal) else len(have)) if i >= at else None
+            if other:
+                found.append(other)
+                at = other[1]
         return found
 
     def scan(self, text: str) -> list[dict]:
@@ -160,25 +206,22 @@ class Scanner:
         for begin, block in self.blocks(text):
             words, hits = wording(block), [m.start() for m in self.vocabulary.finditer(block)]
             matches: dict[tuple[int, int, int], tuple] = {}
-            places = defaultdict(list)
-            for i, (w, _, _) in enumerate(words):
+            have, places = [w for w, _, _ in words], defaultdict(list)
+            for i, w in enumerate(have):
                 places[w].append(i)
             for a, b, inside in self.windows(words, hits):
                 open_ = set(inside)
                 for k in self.ranked(block[words[a][1] : words[b - 1][2]]):
-                    for s, e, missing, added in self.confirm(words, places, k, a, b):
+                    for first, last, missing, added in self.confirm(have, places, k, a, b):
+                        s, e = words[first][1], words[last - 1][2]
                         matches.setdefault((s, e, k), (missing, added))
                         if not missing and not added:  # no other template can explain this place better
                             open_ -= {h for h in inside if s <= h < e}
                     if not open_:
                         break
-            rated = [self.rate(block, s, e, k, matches[s, e, k]) for s, e, k in matches]
-            taken: list[tuple[int, int]] = []
-            for _, k, s, e, saved in sorted(rated):
-                if not any(s < d and c < e for c, d in taken):
-                    taken.append((s, e))
-                    missing, added = matches[s, e, k]
-                    out.append({"license": self.templates[k].license, "start": begin + s, "end": begin + e, "saved": saved, "missing": missing, "added": added})
+            for s, e, k, saved in self.best([(s, e, k, *self.rate(block, s, e, k, d)) for (s, e, k), d in matches.items()]):
+                missing, added = matches[s, e, k]
+                out.append({"license": self.templates[k].license, "start": begin + s, "end": begin + e, "saved": saved, "missing": missing, "added": added})
         return sorted(out, key=lambda x: (x["start"], x["end"]))
 
 
@@ -186,8 +229,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     """doc_id, found: array<struct<license, start, end, saved, missing, added>>, code points; one row per input row.
 
     Null, empty or plain texts have an empty list; they are told apart by one expression before any text leaves the JVM.
-    Null ids stay null; rows do not affect each other, so repeats do not matter. Of overlapping matches the one whose
-    template saves most, less what differs, stays; ties go to the earlier template. The work on a long text is in proportion to its windows. An
+    Null ids stay null; rows do not affect each other, so repeats do not matter. Of overlapping matches those stay that together
+    save most, less what differs; ties go to the earlier place and template. The work on a long text is in proportion to its windows. An
     empty table gives no rows. Other columns are not read, so their names cannot clash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
