@@ -194,33 +194,49 @@ def affiliations(c: Column | str) -> Column:
     return F.transform(raw, lambda a: F.struct(a.alias("raw_affiliation"), components(a).alias("components")))
 
 
+#: Types of affiliation components, and the spellings of a reviewer's verdict on them.
+COMPONENT_TYPES = ("institution", "city", "country", "exclude")
+ACCEPTED, REJECTED = ("accept", "accepted", "yes", "y", "true", "1"), ("reject", "rejected", "no", "n", "false", "0")
+
+
 def component_type(c: Column | str) -> Column:
     k = lookup_key(c)
-    return F.when(k.isin("institution", "city", "country", "exclude"), k).otherwise("")
+    return F.when(k.isin(*COMPONENT_TYPES), k).otherwise("")
 
 
 def decision(c: Column | str) -> Column:
     k = lookup_key(c)
-    return F.when(k.isin("accept", "accepted", "yes", "y", "true", "1"), "accept").when(k.isin("reject", "rejected", "no", "n", "false", "0"), "reject").otherwise("unresolved")
+    return F.when(k.isin(*ACCEPTED), "accept").when(k.isin(*REJECTED), "reject").otherwise("unresolved")
+
+
+#: Words of notices about other publications.
+RETRACTIONS = ("retraction", "retracted", "withdrawal", "withdrawn")
+CONCERN = "expression of concern"
+CORRECTIONS = ("correction", "erratum", "corrigendum")
 
 
 def notice_type(title_and_type_key: Column) -> Column:
     w = tokens(title_and_type_key)
     has = lambda *names: F.arrays_overlap(w, F.array(*map(F.lit, names)))
     return (
-        F.when(has("retraction", "retracted", "withdrawal", "withdrawn"), "retraction")
-        .when(F.contains(title_and_type_key, F.lit("expression of concern")), "expression_of_concern")
-        .when(has("correction", "erratum", "corrigendum"), "correction_or_erratum")
+        F.when(has(*RETRACTIONS), "retraction")
+        .when(F.contains(title_and_type_key, F.lit(CONCERN)), "expression_of_concern")
+        .when(has(*CORRECTIONS), "correction_or_erratum")
         .otherwise("")
     )
 
 
+#: How a record says that it is not open, that it is, and by which route.
+NOT_OPEN = ("", "no", "none", "closed", "closed access", "no open access", "not open access", "non open access", "false", "0")
+OPEN, ROUTES = ("yes", "true", "1"), ("gold", "green", "bronze", "hybrid")
+
+
 def open_access_affirmative(c: Column | str) -> Column:
     """Does a merged record count as open: denials first, then plain assent, the phrase, or a route's name."""
     k = lookup_key(c)
-    denied = k.isin("", "no", "none", "closed", "closed access", "no open access", "not open access", "non open access", "false", "0")
-    route = F.arrays_overlap(tokens(k), F.array(*map(F.lit, ("gold", "green", "bronze", "hybrid"))))
-    return ~denied & (k.isin("yes", "true", "1") | F.contains(k, F.lit("open access")) | route)
+    denied = k.isin(*NOT_OPEN)
+    route = F.arrays_overlap(tokens(k), F.array(*map(F.lit, ROUTES)))
+    return ~denied & (k.isin(*OPEN) | F.contains(k, F.lit("open access")) | route)
 
 
 def open_access_status(c: Column | str) -> Column:

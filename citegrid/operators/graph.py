@@ -8,6 +8,7 @@ number is bounded by the selection (MOST_NODES), and refuse a larger one.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -164,29 +165,27 @@ class Small:
             self.near[at[b]][at[a]] = w
 
     def paths_from(self, s: int) -> tuple[list[int], dict[int, float], list[list[int]], list[float]]:
-        """Dijkstra with path counts: order of settling, distances, predecessors, numbers of shortest paths."""
-        n = len(self.near)
-        before: list[list[int]] = [[] for _ in range(n)]
-        number, dist, order, seen, heap = [0.0] * n, {}, [], {s: 0.0}, [(0.0, s, s)]
+        """Nodes in order of distance from s, distances, the nodes before each on shortest paths, and numbers of such paths.
+
+        Distances are settled first. The paths are counted afterwards, from near to far, over the links that bridge the
+        distance between their ends up to rounding.
+        """
+        length = lambda weight: 1.0 / weight if weight > 0 else 1.0
+        dist, open_ = {s: 0.0}, [(0.0, s)]
+        while open_:
+            d, v = heapq.heappop(open_)
+            if d == dist[v]:
+                for w, weight in self.near[v].items():
+                    if d + length(weight) < dist.get(w, math.inf):
+                        dist[w] = d + length(weight)
+                        heapq.heappush(open_, (dist[w], w))
+        order = sorted(dist, key=lambda v: (dist[v], v))
+        before: list[list[int]] = [[] for _ in self.near]
+        number = [0.0] * len(self.near)
         number[s] = 1.0
-        while heap:
-            d, p, v = heapq.heappop(heap)
-            if v in dist:
-                continue
-            if v != s:
-                number[v] += number[p]
-            dist[v] = d
-            order.append(v)
-            for w, weight in self.near[v].items():
-                far = d + (1.0 / weight if weight > 0 else 1.0)
-                if w not in dist and (w not in seen or far < seen[w]):
-                    seen[w] = far
-                    heapq.heappush(heap, (far, v, w))
-                    number[w] = 0.0
-                    before[w] = [v]
-                elif w in seen and far == seen[w] and w not in dist:
-                    number[w] += number[v]
-                    before[w].append(v)
+        for w in order[1:]:
+            before[w] = [v for v, weight in self.near[w].items() if dist[v] < dist[w] and math.isclose(dist[v] + length(weight), dist[w], rel_tol=1e-12)]
+            number[w] = sum(number[v] for v in before[w])
         return order, dist, before, number
 
     def centralities(self) -> tuple[np.ndarray, np.ndarray, float, float]:

@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df read back from the folder in spark.checkpoint.dir; a temporary one only where the session names none."""
+    """df read back from the folder in spark.checkpoint.dir, which all machines share. Only a session on a single machine may
+    name none (tests); it has a temporary one."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/citegrid-checkpoints")
+            found = f"file://{tempfile.mkdtemp(prefix='citegrid-')}"
+        spark.sparkContext.setCheckpointDir(found)
     return df.checkpoint()

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from citegrid.functions import text as T
+from citegrid.sources import files
+from citegrid.sources.exports import read_csv
 
 #: Columns of an export and their names here.
 EXPORT = {
@@ -30,11 +32,18 @@ FINAL_STATUS = ("http_404", "http_410")
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file as strings, with the spellings of a missing value made empty. Quoted fields may span lines."""
+    """A CSV file that people edit, as strings, with the spellings of a missing value made empty. Quoted fields may span
+    lines, so each file is one task; exports are read by read_export()."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
     return raw.select(*[missing_to_empty(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file of any size, in ranges, as strings like read_strings(), and row_order."""
+    raw = read_csv(spark, path)
+    return raw.select(*[missing_to_empty(F.col(f"`{c}`")).alias(c) for c in raw.columns if c != "row_order"], "row_order")
+
+
 def missing_to_empty(c: Column) -> Column:
     return F.when(c.isNull() | c.isin(*T.MISSING), "").otherwise(c)
 
@@ -59,10 +68,10 @@ def number_rows(df: DataFrame, name: str = "row_order", first: int = 0) -> DataF
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A raw export: renamed columns, normalised text, cited_by bigint (0 if no number), year double, row_order, source_row."""
-    df = ensure_columns(read_strings(spark, path), list(EXPORT))
+    df = ensure_columns(read_export(spark, path), list(EXPORT))
     named = df.select(*[F.col(f"`{old}`").alias(new) for old, new in EXPORT.items()], *[F.col(f"`{c}`") for c in df.columns if c not in EXPORT])
     clean = named.withColumns({c: T.squeeze(c) for c in SQUEEZED} | {"cited_by": F.coalesce(T.number("cited_by").cast("bigint"), F.lit(0)), "year": T.number("year")})
-    return number_rows(clean).withColumn("source_row", F.col("row_order") + 2)
+    return clean.withColumn("source_row", F.col("row_order") + 2)
 
 
 def read_preprocessed(spark: SparkSession, path: str) -> DataFrame:
@@ -111,7 +120,7 @@ def eligible(df: DataFrame, terms: tuple[str, ...] = ELIGIBLE_TERMS, columns: tu
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """pair_id, verdict; the last row of a pair counts. A missing file or missing columns give no decisions."""
     none = spark.createDataFrame([], "pair_id string, verdict string")
-    if not path or not os.path.exists(path):
+    if not files.exists(spark, path):
         return none
     df = read_strings(spark, path)
     if not {"Pair_ID", "Decision"} <= set(df.columns):
@@ -140,7 +149,7 @@ def read_component_mapping(spark: SparkSession, path: str) -> DataFrame:
 def mapping_rows(spark: SparkSession, path: str) -> int:
     """Rows with both names filled; -1 for a file that is missing or has other columns."""
     try:
-        return read_mapping(spark, path).filter((T.squeeze("Variant") != "") & (T.squeeze("Canonical") != "")).count() if os.path.exists(path) else -1
+        return read_mapping(spark, path).filter((T.squeeze("Variant") != "") & (T.squeeze("Canonical") != "")).count() if files.exists(spark, path) else -1
     except ValueError:
         return -1
 
@@ -148,7 +157,7 @@ def mapping_rows(spark: SparkSession, path: str) -> int:
 def component_mapping_rows(spark: SparkSession, path: str) -> int:
     """Accepted rows with a valid type and both names; -1 as above."""
     try:
-        if not os.path.exists(path):
+        if not files.exists(spark, path):
             return -1
         df = read_component_mapping(spark, path)
     except ValueError:
@@ -177,7 +186,7 @@ def combined_path(first: str, second: str, combined: str = "", name: str = "comb
 
 def read_author_cache(spark: SparkSession, path: str) -> DataFrame:
     """doi, authors, status of the entries that can be used again: a list of authors, or a final status."""
-    if not os.path.exists(path):
+    if not files.exists(spark, path):
         return spark.createDataFrame([], "doi string, authors array<string>, status string")
     whole = spark.read.text(path, wholetext=True)
     return cache_entries(whole.select(F.col("value")))
@@ -221,7 +230,7 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_country_citations(spark: SparkSession, path: str) -> DataFrame:
     """Only the country columns and citations (0 or more) of a cleaned table; without country columns an error."""
-    head = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    head = read_csv(spark, path)
     wide = numbered_columns(head, "Country")
     if not wide:
         raise ValueError("no country columns")

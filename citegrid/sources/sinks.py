@@ -11,8 +11,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegrid.sources import files
 from citegrid.sources.records import EXPORT, ensure_columns, numbered_columns, read_strings
 
+#: Columns of the files that reviewers fill in.
 COMPONENT_TEMPLATE = ("Variant", "Canonical", "Component_Type", "Decision", "Mentions", "Canonical Mentions", "Candidate Reason", "Token Sort Similarity", "Character Similarity", "Token Jaccard", "Token Containment", "Variant Full Affiliation")
 AUTHOR_TEMPLATE = ("Variant", "Variant ID", "Canonical", "Canonical ID")
 
@@ -68,18 +70,18 @@ def cache_json(cache: DataFrame) -> DataFrame:
 
 def make_template(spark: SparkSession, path: str, columns: tuple[str, ...], seed: str = "") -> DataFrame:
     """The rows of a template: the file's own, else those of the seed, with the fixed columns first."""
-    source = path if os.path.exists(path) else seed
-    if not source or not os.path.exists(source):
+    source = path if files.exists(spark, path) else seed
+    if not files.exists(spark, source):
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
     df = ensure_columns(read_strings(spark, source), list(columns))
     return df.select(*[f"`{c}`" for c in columns], *[f"`{c}`" for c in df.columns if c not in columns])
 
 
-def remove_files(paths: list[str]) -> list[str]:
-    """Delete the files that exist; which they were."""
-    gone = [p for p in paths if os.path.isfile(p)]
+def remove_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Delete the files that exist; which they were. Folders stay."""
+    gone = [p for p in paths if files.is_file(spark, p)]
     for p in gone:
-        os.remove(p)
+        files.delete(spark, p)
     return gone
 
 
