@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrid.functions import text as T
-from citegrid.functions.similarity import component_metrics, token_sort_ratio
+from citegrid.functions.similarity import component_metrics
+from citegrid.functions.text import order_key
 from citegrid.operators.lineage import checkpointed
+from citegrid.operators.similar import similar_pairs, word_blocks
 
 #: Words that component names are not blocked on.
 GENERIC_BLOCKS = ("a", "an", "and", "at", "by", "de", "del", "department", "division", "for", "hospital", "in", "institute", "laboratory", "of", "on", "research", "the", "to", "university", "with")
 
 
+#: Similarity by characters from which two components are candidates, whatever their words.
+CHARACTERS = 94.0
+
+
 def rules(table: DataFrame, variant: str = "Variant", canonical: str = "Canonical") -> DataFrame:
     """variant, canonical of the rows that fill both; a variant with two targets is an error."""
     rows = table.select(T.squeeze(variant).alias("variant"), T.squeeze(canonical).alias("canonical")).filter("variant != '' and canonical != ''").distinct()
@@ -165,11 +171,18 @@ def blocks(key: Column) -> Column:
 
 
 def component_candidates(records: DataFrame, threshold: float = 90.0) -> DataFrame:
-    """Pairs of component keys that share a block and are similar, the better-ranked one as canonical."""
-    b = records.select("component_key", "spelling", "mentions", F.explode(blocks(F.col("component_key"))).alias("block"))
-    x, y = b.alias("x"), b.alias("y")
-    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.component_key") < F.col("y.component_key"))).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("component_key", "spelling", "mentions")]).distinct()
-    scored = pairs.withColumn("m", component_metrics(F.col("x_component_key"), F.col("y_component_key"), threshold)).filter("m.accepted")
+    """Pairs of component keys that share a block and are similar by words or by characters, the better-ranked one as canonical.
+
+    records: component_key (distinct), spelling, mentions. Similar pairs come from similarity joins, so a block of any size is
+    not paired with itself.
+    """
+    known = checkpointed(records.select("component_key", "spelling", "mentions"))
+    keyed = known.select(F.col("component_key").alias("key"), order_key("component_key").alias("o"), blocks(F.col("component_key")).alias("blocks"))
+    by_words, by_characters = similar_pairs(keyed, threshold, text="o"), similar_pairs(keyed, CHARACTERS, text="key")
+    pairs = by_words.select("a", "b").union(by_characters.select("a", "b")).distinct()
+    for side, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(known.select(F.col("component_key").alias(side), *[F.col(c).alias(f"{name}_{c}") for c in known.columns]), side)
+    scored = pairs.withColumn("m", component_metrics(F.col("x_component_key"), F.col("y_component_key"), threshold, CHARACTERS)).filter("m.accepted")
     rank = lambda s: F.struct(F.col(f"{s}_mentions"), F.size(T.tokens(f"{s}_component_key")), F.length(f"{s}_spelling"), F.lower(f"{s}_spelling"))
     top = rank("x") >= rank("y")
     return scored.select(F.when(top, F.col("y_spelling")).otherwise(F.col("x_spelling")).alias("variant"), F.when(top, F.col("x_spelling")).otherwise(F.col("y_spelling")).alias("canonical"), "m.token_sort", "m.characters", "m.jaccard", "m.containment")
@@ -200,35 +213,38 @@ def fill_ids(template: DataFrame, authors: DataFrame) -> DataFrame:
 def author_candidates(mentions: DataFrame, threshold: float = 90.0, known: DataFrame | None = None, components=None) -> DataFrame:
     """variant, canonical, score, reason: names on one id, names with a known canonical's words, fuzzy components.
 
-    mentions: name, aid. known: column `name` of canonical names. The first reason of a variant wins.
+    mentions: name, aid. known: column `name` of canonical names. The first reason of a variant wins. Names with one key are a class;
+    similar classes come from a similarity join, and a name is scored against its component's canonical
+    name, so the output grows with the names and not with their pairs.
     """
     from citegrid.operators.graph import labels_of
 
     freq = mentions.filter("name != ''").groupBy("name", "aid").agg(F.count(F.lit(1)).alias("n")).withColumn("k", T.lookup_key("name"))
-    names = freq.groupBy("name", "k").agg(F.sum("n").alias("n"), F.max(F.when(F.col("aid") != "", 1).otherwise(0)).alias("has_id"))
+    names = freq.groupBy("name", "k").agg(F.sum("n").alias("n"), F.max(F.when(F.col("aid") != "", 1).otherwise(0)).alias("has_id"), F.collect_set(F.nullif("aid", F.lit(""))).alias("aids"))
     words = T.tokens("k")
     rank = F.struct("has_id", "n", F.size(words), -F.size(F.filter(words, lambda w: F.length(w) == 1)), F.length("name"), F.lower("name"))
-    ranked = names.withColumn("rank", rank)
-    on_id = freq.filter("aid != ''").join(ranked.select("name", "rank"), "name")
+    ranked = checkpointed(names.withColumn("rank", rank).withColumn("o", order_key("k")))  # read by every part below
+    on_id = ranked.select("name", "k", "rank", F.explode("aids").alias("aid"))
     same = on_id.groupBy("aid").agg(F.countDistinct("k").alias("kinds"), F.max_by("name", "rank").alias("canonical"), F.collect_set("name").alias("all")).filter("kinds > 1")
     by_id = same.select(F.explode("all").alias("variant"), "canonical", F.lit(100.0).alias("score"), F.lit("same_author_id").alias("reason"), F.lit(0).alias("o")).filter("variant != canonical")
     parts = [by_id]
     if known is not None:
         table = _unambiguous(known.select(T.order_key(T.lookup_key("name")).alias("key"), "name"))
-        hit = ranked.withColumn("key", T.order_key("k")).join(table.withColumnRenamed("name", "canonical"), "key").filter("name != canonical")
+        hit = ranked.join(table.select(F.col("key").alias("o"), F.col("name").alias("canonical")), "o").filter("name != canonical")
         parts.append(hit.select(F.col("name").alias("variant"), "canonical", F.lit(100.0).alias("score"), F.lit("same_words_as_canonical").alias("reason"), F.lit(1).alias("o")))
-    block = ranked.select("name", "k", F.explode(F.array_distinct(F.array(F.get(words, F.lit(0)), F.element_at(words, -1)))).alias("b"))
-    x, y = block.alias("x"), block.alias("y")
-    pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.name") < F.col("y.name"))).select(F.col("x.name").alias("src"), F.col("y.name").alias("dst"), F.col("x.k").alias("xk"), F.col("y.k").alias("yk")).distinct()
-    scored = pairs.withColumn("score", F.round(token_sort_ratio(F.col("xk"), F.col("yk")), 2)).filter(F.col("score") >= threshold).select("src", "dst", "score")
-    nodes = scored.select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
-    comp = (components or labels_of)(scored.select("src", "dst", F.lit(1).alias("shared"), F.lit(1.0).alias("weight")), nodes)
-    members = comp.join(ranked.withColumnRenamed("name", "entity"), "entity")
-    stars = members.groupBy("label").agg(F.max_by("entity", "rank").alias("canonical")).join(members.select("label", F.col("entity").alias("variant")), "label").filter("variant != canonical")
-    direct = scored.select(F.col("src").alias("variant"), F.col("dst").alias("other"), "score").union(scored.select("dst", "src", "score"))
-    best = direct.groupBy("variant").agg(F.max("score").alias("best"))
-    fuzzy = stars.join(direct.select("variant", F.col("other").alias("canonical"), "score"), ["variant", "canonical"], "left").join(best, "variant").select("variant", "canonical", F.coalesce("score", "best").alias("score"), F.lit("similar_name").alias("reason"), F.lit(2).alias("o"))
-    parts.append(fuzzy)
+    classes = ranked.groupBy("k").agg(F.first("o").alias("o"), F.count(F.lit(1)).alias("members")).withColumn("blocks", word_blocks(T.tokens("k")))
+    pairs = similar_pairs(classes, threshold - 0.005, key="k", text="o").withColumn("score", F.round("ratio", 2)).filter(F.col("score") >= threshold)
+    linked = checkpointed(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "score"))
+    nodes = linked.select(F.explode(F.array("src", "dst")).alias("entity")).union(classes.filter("members > 1 and k != ''").select("k")).distinct()
+    comp = (components or labels_of)(linked.select("src", "dst", F.lit(1).alias("shared"), F.lit(1.0).alias("weight")), nodes)
+    members = checkpointed(comp.withColumnRenamed("entity", "k").join(ranked.select("name", "k", "rank"), "k"))
+    stars = members.groupBy("label").agg(F.max_by(F.struct("name", "k"), "rank").alias("c")).select("label", F.col("c.name").alias("canonical"), F.col("c.k").alias("ck"))
+    spokes = members.select("label", F.col("name").alias("variant"), "k").join(stars, "label").filter("variant != canonical")
+    direct = linked.select(F.col("src").alias("k"), F.col("dst").alias("ck"), "score").union(linked.select("dst", "src", "score"))
+    best = direct.select("k", "score").union(classes.filter("members > 1").select("k", F.lit(100.0))).groupBy("k").agg(F.max("score").alias("best"))
+    near = spokes.join(direct, ["k", "ck"], "left").join(best, "k")
+    score = F.when(F.col("k") == F.col("ck"), 100.0).otherwise(F.coalesce("score", "best"))
+    parts.append(near.select("variant", "canonical", score.alias("score"), F.lit("similar_name").alias("reason"), F.lit(2).alias("o")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

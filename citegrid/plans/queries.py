@@ -558,9 +558,17 @@ _TERM_KEY = "' ' || trim(regexp_replace(regexp_replace(regexp_replace(lower(repl
 _TERM_TEXTS = f"F AS (SELECT doc_id AS row_id, 'title' AS field, {_TERM_KEY.format('string_split(text, chr(10))[1]')} AS t FROM documents UNION ALL SELECT doc_id, 'abstract', {_TERM_KEY.format('text')} FROM documents)"
 
 
-@query("q_term_index", "SELECT * FROM (VALUES ('anea', 'anea', 1), ('apache license', 'apache', 2), ('attion to thanedble', 'attion', 3), ('general public license', 'general', 3), ('insult', 'insult', 1), ('license', 'license', 1), ('mit license', 'mit', 2), ('secret token', 'secret', 2), ('stupid', 'stupid', 1), ('thanedble', 'thanedble', 1), ('token', 'token', 1), ('worthless', 'worthless', 1)) t(normalized, anchor, n_tokens)")
+@query(
+    "q_term_index",
+    "WITH V AS (SELECT lower(p_type) AS normalized FROM part UNION SELECT lower(p_name) FROM part), K AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(regexp_replace(normalized, '([a-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-z])', '\\1 \\2', 'g'), '[^a-z0-9]+', ' ', 'g')) AS normalized FROM V), "
+    "W AS (SELECT DISTINCT normalized, unnest(string_split(normalized, ' ')) AS token FROM K), N AS (SELECT token, count(*) AS n FROM W GROUP BY token) "
+    "SELECT normalized, arg_min(token, (n, -length(token), token)) AS anchor, len(string_split(normalized, ' ')) AS n_tokens FROM W JOIN N USING (token) GROUP BY normalized",
+)
 def term_index(spark, sf):
-    return D.term_index(D.vocabulary(dictionary(spark))).select("normalized", "anchor", "n_tokens").distinct()
+    """An index over the types and names of the parts, with the brand as group."""
+    p = table(spark, sf, "part")
+    terms = p.select(F.col("p_brand").alias("disease"), F.col("p_partkey").cast("int").alias("position"), F.explode(F.array("p_type", "p_name")).alias("term"))
+    return D.term_index(D.vocabulary(terms)).select("normalized", "anchor", "n_tokens").distinct()
 
 
 @query("q_term_match", f"WITH {_TERM_ROWS}, {_TERM_TEXTS} SELECT row_id, field, term AS normalized, disease FROM F JOIN V ON contains(t, ' ' || term || ' ')")
