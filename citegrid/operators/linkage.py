@@ -1,7 +1,8 @@
 """Record linkage: candidate pairs, their comparison, constrained clustering, and the merge of clusters.
 
 Automatic edges need an equal title and year, so they come from equi-joins alone; fuzzy similarity only fills the review
-queue. Candidate pairs of large blocks are equi-joins with residual conditions, which adaptive execution can split. Clusters
+queue. Rows that agree in all that linkage looks at are a class, which is paired through its first row alone; fuzzy titles
+come from a similarity join. Clusters
 are resolved per connected component of automatic and manual edges: every union joins members that such an edge links, so
 components do not affect each other, and the order-dependent rules run inside one component at a time.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from citegrid.functions import text as T
 from citegrid.functions.similarity import author_relation, token_sort_ratio
 from citegrid.operators.lineage import checkpointed
+from citegrid.operators.similar import similar_pairs
 
 VENUE_BLOCK = 250
 TITLE_LENGTH, VENUE_LENGTH, VENUE_OVERLAP = 0.6, 0.75, 0.6
@@ -85,10 +87,12 @@ def title_block_pairs(work: DataFrame) -> DataFrame:
     return _pairs(work.filter("k_title != '' and k_year != ''"), ["k_year", "k_block"], ["k_title"], _length_ratio("a_k_title", "b_k_title") >= TITLE_LENGTH)
 
 
-def venue_block_pairs(work: DataFrame, most: int = VENUE_BLOCK) -> DataFrame:
-    """Blocks of 2 to `most` rows; a larger block has no pairs of this kind (part of the rule, not a cap on the work)."""
-    rows = work.filter("k_title != '' and k_year != '' and k_venue != ''")
-    sizes = rows.groupBy("k_year", "k_venue").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= most)).select("k_year", "k_venue")
+def venue_block_pairs(work: DataFrame, most: int = VENUE_BLOCK, counted: DataFrame | None = None) -> DataFrame:
+    """Blocks of 2 to `most` rows; a larger block has no pairs of this kind (part of the rule, not a cap on the work). counted:
+    the rows whose number decides, if work has only some of them."""
+    there = "k_title != '' and k_year != '' and k_venue != ''"
+    rows = work.filter(there)
+    sizes = (counted if counted is not None else work).filter(there).groupBy("k_year", "k_venue").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= most)).select("k_year", "k_venue")
     rows = rows.join(sizes, ["k_year", "k_venue"], "left_semi").withColumn("k_tokens", F.array_distinct(T.tokens("k_title")))
     shared = F.size(F.array_intersect("a_k_tokens", "b_k_tokens")) / F.least(F.size("a_k_tokens"), F.size("b_k_tokens"))
     return _pairs(rows, ["k_year", "k_venue"], ["k_title", "k_tokens"], (_length_ratio("a_k_title", "b_k_title") >= VENUE_LENGTH) & (shared >= VENUE_OVERLAP))
@@ -99,6 +103,59 @@ def candidate_pairs(work: DataFrame) -> DataFrame:
     return doi_pairs(work).union(exact_pairs(work)).union(title_block_pairs(work)).union(venue_block_pairs(work)).distinct()
 
 
+def similar_title_pairs(work: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of one year and title block whose titles differ and have a word-order ratio of at least threshold.
+
+    Distinct titles are joined by similarity, so a block is not paired with itself; then the records of two titles meet.
+    """
+    rows = work.filter("k_title != '' and k_year != ''")
+    titles = rows.groupBy("k_title").agg(F.first("k_block").alias("block"), F.collect_set("k_year").alias("years"))
+    blocks = titles.select(F.col("k_title").alias("key"), T.order_key("k_title").alias("s"), F.transform("years", lambda y: F.concat(y, F.lit("|"), F.col("block"))).alias("blocks"))
+    alike = similar_pairs(blocks, threshold).select("a", "b")
+    a = rows.select(F.col("k_title").alias("a"), "k_year", F.col("k_order").alias("one"))
+    b = rows.select(F.col("k_title").alias("b"), "k_year", F.col("k_order").alias("two"))
+    return alike.join(a, "a").join(b, ["b", "k_year"]).select(F.least("one", "two").alias("first"), F.greatest("one", "two").alias("second"))
+
+
+def classes(work: DataFrame) -> DataFrame:
+    """k_order, rep (the least row order of the class), automatic: rows that agree in everything that linkage looks at are a class.
+
+    automatic: are any two rows of the class duplicates by rule? The others have no automatic duplicates at all.
+    """
+    seen = F.sha1(F.concat_ws("\x1f", *[F.col(k) for k in KEYS if k != "k_signature"], F.array_join("k_signature", "\x1e"), F.col("k_complete").cast("string")))
+    rule = (F.col("k_title") != "") & (F.col("k_year") != "") & ((F.col("k_doi") != "") | (F.col("k_first") != ""))
+    rows = work.select("k_order", seen.alias("k_class"), rule.alias("automatic"))
+    return rows.join(rows.groupBy("k_class").agg(F.min("k_order").alias("rep")), "k_class").select("k_order", "rep", "automatic")
+
+
+def class_pairs(work: DataFrame, members: DataFrame, threshold: float = 95.0) -> DataFrame:
+    """compare() of the pairs that are duplicates by rule or that a reviewer has to see, between representatives of classes; and
+    of each class with more rows the pair of its first two. All other pairs have the outcome, and the pair id, of one of these."""
+    reps = work.join(members.filter("k_order = rep").select("k_order"), "k_order", "left_semi")
+    own = members.filter("k_order > rep").groupBy(F.col("rep").alias("first")).agg(F.min("k_order").alias("second"))
+    parts = [doi_pairs(reps), exact_pairs(reps), similar_title_pairs(reps, threshold), venue_block_pairs(reps, counted=work), own]
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.union(p)
+    return compare(with_keys(pairs.distinct(), work), threshold).filter("automatic or manual")
+
+
+def settle_classes(work: DataFrame, dataset: str, threshold: float = 95.0, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of classes() and class_pairs(). Rows of a class that a decision names stand for themselves: a decision
+    is about rows, and their order counts in it."""
+    members = checkpointed(classes(work))
+    pairs = checkpointed(class_pairs(work, members, threshold))
+    if decisions is None:
+        return members, pairs
+    named = pairs.withColumn("pair_id", pair_id(F.lit(dataset))).join(decisions.select("pair_id").distinct(), "pair_id", "left_semi")
+    many = members.filter("k_order > rep").select("rep")
+    named = checkpointed(named.select(F.explode(F.array("first", "second")).alias("rep")).distinct().join(many, "rep", "left_semi").withColumn("named", F.lit(True)))
+    if not named.limit(1).count():
+        return members, pairs
+    members = checkpointed(members.join(named, "rep", "left").select("k_order", F.when(F.col("named"), F.col("k_order")).otherwise(F.col("rep")).alias("rep"), "automatic"))
+    return members, checkpointed(class_pairs(work, members, threshold))
+
+
 KEYS = ("k_title", "k_year", "k_venue", "k_document", "k_doi", "k_notice", "k_signature", "k_first")
 
 
@@ -286,8 +343,8 @@ class Resolver:
             self.reviews[pair] = {"first": p, "second": q, "status": status if status.startswith("APPLIED") else "", "suggestion": "REVIEW_COMPONENT_CONFLICTING_DOI"}
 
 
-def cluster(work: DataFrame, compared: DataFrame, dataset: str, decisions: DataFrame | None = None, components=None) -> tuple[DataFrame, DataFrame]:
-    """(clusters, reviews).
+def cluster(work: DataFrame, compared: DataFrame, dataset: str, decisions: DataFrame | None = None, components=None, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clusters, reviews). With members, compared holds pairs of representatives, and the rows of a class follow theirs.
 
     clusters: k_order, kept (row order of the cluster's survivor), forced (ids of decisions that removed the row), for every
     row. reviews: pair_id, first, second, status, suggestion for decided pairs and conflicts. decisions: pair_id, verdict.
@@ -301,6 +358,8 @@ def cluster(work: DataFrame, compared: DataFrame, dataset: str, decisions: DataF
     decided = (decisions if decisions is not None else none).select("pair_id", "verdict")
     edges = compared.filter("automatic or manual").withColumn("pair_id", pair_id(F.lit(dataset))).join(decided, "pair_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("")))
     edges = edges.select("first", "second", "pair_id", "verdict", "automatic", "same_doi").filter("automatic or verdict != ''")
+    if members is not None:  # not the pairs inside a class
+        edges = edges.join(members.filter("k_order = rep").select(F.col("k_order").alias("second")), "second", "left_semi").select(*edges.columns)
     as_graph = edges.select(F.col("first").cast("string").alias("src"), F.col("second").cast("string").alias("dst"), F.lit(1).alias("shared"), F.lit(1.0).alias("weight"))
     linked = as_graph.select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
     comp = (components or labels_of)(as_graph, linked).select(F.col("entity").cast("bigint").alias("k_order"), F.col("label").alias("c"))
@@ -328,18 +387,18 @@ def cluster(work: DataFrame, compared: DataFrame, dataset: str, decisions: DataF
     schema = "k_order bigint, kept bigint, forced string, pair_id string, first bigint, second bigint, status string, suggestion string"
     resolved = rows.groupBy("c").cogroup(own.groupBy("edge_c")).applyInPandas(resolve, schema)
     found = resolved.filter("k_order is not null").select("k_order", "kept", "forced")
+    if members is not None:
+        found = members.join(found.withColumnRenamed("k_order", "rep"), "rep", "left").filter("automatic or k_order = rep").select("k_order", F.coalesce("kept", "rep").alias("kept"), "forced")
     clusters = work.select("k_order").join(found, "k_order", "left").select("k_order", F.coalesce("kept", "k_order").alias("kept"), F.coalesce("forced", F.lit("")).alias("forced"))
     return clusters, resolved.filter("k_order is null").select("pair_id", "first", "second", "status", "suggestion")
 
 
-def removals(clusters: DataFrame, work: DataFrame, compared: DataFrame, threshold: float = 95.0) -> DataFrame:
+def removals(clusters: DataFrame, work: DataFrame, threshold: float = 95.0) -> DataFrame:
     """One row per removed record: the survivor, the comparison with it, and why it went."""
     gone = clusters.filter("kept != k_order").select(F.col("kept").alias("first"), F.col("k_order").alias("second"), "forced")
     against = compare(with_keys(gone, work), threshold)
-    direct = compared.filter("automatic").select(F.col("first").alias("e1"), F.col("second").alias("e2"), F.col("removal_reason").alias("direct"))
-    joined = against.join(direct, (F.least("first", "second") == F.col("e1")) & (F.greatest("first", "second") == F.col("e2")), "left")
-    why = F.when(F.col("forced") != "", "manual_duplicate_decision").otherwise(F.coalesce("direct", F.lit("resolved_duplicate_component")))
-    return joined.select(F.col("first").alias("kept"), F.col("second").alias("removed"), "title_similarity", "author_match", why.alias("removal_reason"), F.col("forced").alias("manual_decision_pair_ids"))
+    why = F.when(F.col("forced") != "", "manual_duplicate_decision").when(F.col("automatic"), F.col("removal_reason")).otherwise("resolved_duplicate_component")
+    return against.select(F.col("first").alias("kept"), F.col("second").alias("removed"), "title_similarity", "author_match", why.alias("removal_reason"), F.col("forced").alias("manual_decision_pair_ids"))
 
 
 def merge(records: DataFrame, clusters: DataFrame, *, generic: list[str], unions: dict[str, str] | None = None) -> DataFrame:
@@ -390,13 +449,14 @@ def _united(column: str, pattern: str) -> Column:
 
 
 def deduplicate(records: DataFrame, dataset: str, *, threshold: float = 95.0, decisions: DataFrame | None = None, generic: list[str] | None = None) -> dict[str, DataFrame]:
-    """The whole flow over records with a row_order column: work, pairs, clusters, removals, reviews and merged records."""
+    """The whole flow over records with a row_order column: work, members of classes, pairs between classes, clusters, removals,
+    reviews and merged records. Copies are members of a class and make no pairs."""
     work = checkpointed(prepare(records))  # keyed once; all that follows reads the keys, and no record is keyed again
-    pairs = checkpointed(compare(with_keys(candidate_pairs(work), work), threshold))
-    clusters, reviews = (checkpointed(x) for x in cluster(work, pairs, dataset, decisions))
+    members, pairs = settle_classes(work, dataset, threshold, decisions)
+    clusters, reviews = (checkpointed(x) for x in cluster(work, pairs, dataset, decisions, members=members))
     special = {"cited_by", "doi", "abstract", "author_keywords", "index_keywords", "affiliations", "open_access", "search_category", "authors", "author_ids", "countries"}
     columns = generic if generic is not None else [c for c in records.columns if c not in special and c != "row_order"]
-    return {"work": work, "pairs": pairs, "clusters": clusters, "removals": removals(clusters, work, pairs, threshold), "reviews": review_rows(work, pairs, reviews, dataset, decisions, threshold), "records": merge(work, clusters, generic=columns)}
+    return {"work": work, "members": members, "pairs": pairs, "clusters": clusters, "removals": removals(clusters, work, threshold), "reviews": review_rows(work, pairs, reviews, dataset, decisions, threshold), "records": merge(work, clusters, generic=columns)}
 
 
 def review_rows(work: DataFrame, compared: DataFrame, settled: DataFrame, dataset: str, decisions: DataFrame | None = None, threshold: float = 95.0) -> DataFrame:

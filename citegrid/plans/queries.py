@@ -427,9 +427,7 @@ def ratio_native(spark, sf):
 
 @query("q_dedup_clusters")
 def dedup_clusters(spark, sf):
-    w = _work(spark, sf)
-    pairs = L.compare(L.with_keys(L.candidate_pairs(w), w))
-    return L.cluster(w, pairs, "docs")[0]
+    return L.deduplicate(records(spark, sf), "docs")["clusters"]
 
 
 @query("q_dedup_records")

@@ -141,7 +141,7 @@ def test_decisions_override(spark):
     clusters, reviews = L.cluster(w, c, "d", gone)
     assert {r.k_order: r.kept for r in clusters.collect()} == {0: 1, 1: 1, 2: 2}
     assert reviews.first().status == "APPLIED_TO_FINAL_COMPONENT"
-    assert L.removals(clusters, w, c).first().removal_reason == "manual_duplicate_decision"
+    assert L.removals(clusters, w).first().removal_reason == "manual_duplicate_decision"
 
 
 def test_merge_rules(spark):
