@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrid.functions.text import plain
+from citegrid.operators.ranks import competition_ranks, group_stats, positions
 
 
 def mean_or_zero(c: Column) -> Column:
@@ -76,14 +77,13 @@ def value_counts(papers: DataFrame, column: str, n: int | None = None) -> DataFr
 
 
 def competition_rank(table: DataFrame, value: str, label: str) -> DataFrame:
-    """rank 1, 1, 3 by value; the partial window without partitions is bounded by the number of entities."""
-    ranked = table.withColumn("rank", F.rank().over(Window.orderBy(F.desc(value))))
-    return ranked.orderBy(F.desc(value), F.asc(label))
+    """rank 1, 1, 3 by value."""
+    return competition_ranks(table, value).orderBy(F.desc(value), F.asc(label))
 
 
 def position(table: DataFrame, *order: Column, name: str = "position") -> DataFrame:
     """1-based position in a total order."""
-    return table.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return positions(table, *order, name=name)
 
 
 def log_color(table: DataFrame, value: str) -> DataFrame:
@@ -134,9 +134,13 @@ def open_access_summary(papers: DataFrame) -> DataFrame:
     """Two rows, open and not, with zeros where a side is empty. papers: open (boolean), cited, citation_rate."""
     sides = papers.sparkSession.createDataFrame([("Open Access", True), ("Not Open Access", False)], "status string, open boolean")
     stats = papers.groupBy("open").agg(
-        F.count(F.lit(1)).alias("publications"), F.sum("cited").cast("bigint").alias("citations"), F.avg("cited").alias("mean_citations"), F.median("cited").alias("median_citations"),
-        F.count("citation_rate").alias("rated"), F.sum("citation_rate").alias("total_rate"), F.avg("citation_rate").alias("mean_rate"), F.median("citation_rate").alias("median_rate"),
+        F.count(F.lit(1)).alias("publications"), F.sum("cited").cast("bigint").alias("citations"), F.avg("cited").alias("mean_citations"),
+        F.count("citation_rate").alias("rated"), F.sum("citation_rate").alias("total_rate"), F.avg("citation_rate").alias("mean_rate"),
     )
+    long = papers.select("open", F.col("cited").cast("double").alias("cited"), "citation_rate").unpivot("open", ["cited", "citation_rate"], "metric", "value")
+    medians = group_stats(long, ["open", "metric"], "value").groupBy("open").agg(F.max(F.when(F.col("metric") == "cited", F.col("q_0"))).alias("median_citations"), F.max(F.when(F.col("metric") != "cited", F.col("q_0"))).alias("median_rate"))
+    order = ["open", "publications", "citations", "mean_citations", "median_citations", "rated", "total_rate", "mean_rate", "median_rate"]
+    stats = stats.join(F.broadcast(medians), "open", "left").select(*order)  # two rows
     joined = sides.join(stats, "open", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in stats.columns if c != "open"}
     total = F.sum(zero["publications"]).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -213,19 +217,25 @@ def describe(table: DataFrame, metrics: list[str], labels: dict[str, str]) -> Da
     """
     values = table.select(*[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], metrics, "metric", "value")
     values = values.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs(F.col("value")) < F.lit(float("inf"))))
-    stats = values.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("deviation"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return stats.select(*[F.lit(v).alias(k) for k, v in labels.items()], *stats.columns)
+    stats = group_stats(values, ["metric"], "value")
+    return stats.select(*[F.lit(v).alias(k) for k, v in labels.items()], "metric", "n", "mean", F.col("q_0").alias("median"), F.coalesce("deviation", F.lit(0.0)).alias("deviation"), "least", "most")
 
 
 def stacked(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def distribution(value: Column, prefix: str) -> list[Column]:
-    """Nine aggregates of a grouped value: count, mean, median, deviation, min, Q1, Q3, IQR, max; zeros when there is none."""
-    q1, q3 = F.percentile(value, F.lit(0.25)), F.percentile(value, F.lit(0.75))
-    parts = {"n": F.count(value), "mean": F.avg(value), "median": F.median(value), "deviation": F.stddev_samp(value), "least": F.min(value), "q1": q1, "q3": q3, "iqr": q3 - q1, "most": F.max(value)}
-    return [F.coalesce(v, F.lit(0)).alias(f"{prefix}_{k}") for k, v in parts.items()]
+def distribution(table: DataFrame, groups: list[str], value: str, prefix: str) -> DataFrame:
+    """Per group nine values: count, mean, median, deviation, min, Q1, Q3, IQR, max; zeros where there is none. Without groups
+    one row."""
+    by = groups or ["__all"]
+    rows = table if groups else table.withColumn("__all", F.lit(0))
+    stats = group_stats(rows, by, value, (0.25, 0.5, 0.75)).select(*[F.col(g).alias(f"__{g}") for g in by], "n", "mean", F.col("q_1").alias("median"), "deviation", "least", F.col("q_0").alias("q1"), F.col("q_2").alias("q3"), (F.col("q_2") - F.col("q_0")).alias("iqr"), "most")
+    every = rows.select(*by).distinct() if groups else table.sparkSession.createDataFrame([(0,)], "__all int")
+    same = F.lit(True)
+    for g in by:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return every.join(stats, same, "left").select(*groups, *[F.coalesce(c, F.lit(0)).alias(f"{prefix}_{c}") for c in stats.columns if not c.startswith("__")])
 
 
 def dataset_summary(papers: DataFrame, entities: dict[str, str]) -> DataFrame:

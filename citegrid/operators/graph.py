@@ -13,11 +13,12 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrid.operators.entities import distinct_entities
 from citegrid.operators.lineage import checkpointed
+from citegrid.operators.ranks import positions
 
 MOST_NODES = 2000
 
@@ -92,7 +93,7 @@ def components(e: DataFrame, nodes: DataFrame) -> DataFrame:
     """entity, component, component_size: numbered by size, then by least name. Only one row per component is numbered."""
     labels = labels_of(e, nodes)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("component_size"))
-    numbered = sizes.withColumn("component", F.row_number().over(Window.orderBy(F.desc("component_size"), "label")))
+    numbered = positions(sizes, F.desc("component_size"), F.asc("label"), name="component")
     return labels.join(numbered, "label").select("entity", "component", "component_size")
 
 
@@ -336,7 +337,7 @@ def ranked_network(papers: DataFrame, paper_id: str, entities: str, table: DataF
     metrics = table.select(F.col(label).alias("entity"), "publications", "citations", "total_rate", "mean_rate")
     rows = selected.join(metrics, "entity", "left").na.fill(0).join(node_strength(e, nodes), "entity").join(node_measures(e, nodes), "entity").join(pagerank(e, nodes), "entity").join(comp, "entity")
     order = (F.desc("link_strength"), F.desc("collaborators"), F.desc("betweenness"), F.lower("entity"))
-    ranking = rows.withColumn("collaboration_rank", F.row_number().over(Window.orderBy(*order))).orderBy("collaboration_rank")
+    ranking = positions(rows, *order, name="collaboration_rank").orderBy("collaboration_rank")
     shown = backbone(e, nodes, per_node)
     total = comp.agg(F.countDistinct("component").alias("components"), F.max("component_size").alias("largest_component"))
     summary = density(e, nodes).join(F.broadcast(graph_measures(e, nodes)), how="cross").join(F.broadcast(total), how="cross").join(F.broadcast(shown.agg(F.count(F.lit(1)).alias("displayed_edges"))), how="cross")  # one row each
@@ -346,11 +347,14 @@ def ranked_network(papers: DataFrame, paper_id: str, entities: str, table: DataF
 
 def drawing(e: DataFrame, ranking: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Node sizes and edge widths of a drawing, from logarithms of strength and weight relative to the largest."""
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    scaled = lambda c: F.coalesce(F.try_divide(F.log1p(c), F.nullif(F.log1p(F.max(c).over(everything)), F.lit(0.0))), F.lit(0.0))
-    sizes = ranking.select("entity", "community", (260.0 + 1500.0 * scaled(F.col("link_strength").cast("double"))).alias("size"))
-    widths = e.select("src", "dst", (0.35 + 4.2 * scaled(F.col("weight"))).alias("width"))
-    return sizes, widths
+    def scaled(table: DataFrame, c: str) -> tuple[DataFrame, Column]:
+        most = table.agg(F.max(F.col(c).cast("double")).alias("__most"))  # one row
+        share = F.try_divide(F.log1p(F.col(c).cast("double")), F.nullif(F.log1p("__most"), F.lit(0.0)))
+        return table.join(F.broadcast(most), how="cross"), F.coalesce(share, F.lit(0.0))
+
+    nodes, strength = scaled(ranking, "link_strength")
+    links, weight = scaled(e, "weight")
+    return nodes.select("entity", "community", (260.0 + 1500.0 * strength).alias("size")), links.select("src", "dst", (0.35 + 4.2 * weight).alias("width"))
 
 
 def community_links(e: DataFrame, membership: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def stats_entities(spark, sf):
 
 @query("q_distribution", SQL + "SELECT journal, count(v) AS cited_n, round(avg(v), 6) AS cited_mean, round(median(v), 6) AS cited_median, round(stddev_samp(v), 6) AS cited_deviation, min(v) AS cited_least, round(quantile_cont(v, 0.25), 6) AS cited_q1, round(quantile_cont(v, 0.75), 6) AS cited_q3, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS cited_iqr, max(v) AS cited_most FROM (SELECT journal, CAST(cited AS DOUBLE) AS v FROM P) GROUP BY journal")
 def distribution(spark, sf):
-    return rounded(papers(spark, sf, False).groupBy("journal").agg(*E.distribution(F.col("cited").cast("double"), "cited")))
+    return rounded(E.distribution(papers(spark, sf, False), ["journal"], "cited", "cited"))
 
 
 @query("q_zero_filled", SQL + ", N AS (SELECT year, count(*) AS n FROM P WHERE year % 2 = 1 GROUP BY year) SELECT CAST(y AS INTEGER) AS year, coalesce(n, 0) AS publications FROM (SELECT unnest(range((SELECT min(year) FROM N), (SELECT max(year) FROM N) + 1)) AS y) LEFT JOIN N ON N.year = y")

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegrid.operators.ranks import positions
 from citegrid.sources import files
 from citegrid.sources.records import EXPORT, ensure_columns, numbered_columns, read_strings
 
@@ -106,6 +107,9 @@ def marker_data(metrics: DataFrame, small: list[str]) -> DataFrame:
 def ranked_lines(ranked: DataFrame, value: str, label: str, columns: int = 4) -> DataFrame:
     """Lines of a ranked list with the column each stands in."""
     numbered = ranked.select("rank", label, value).withColumn("line", F.format_string("%d. %s (%d)", F.col("rank").cast("bigint"), F.col(label), F.col(value).cast("bigint")))
-    from pyspark.sql import Window
-
-    return numbered.withColumn("column", F.ntile(columns).over(Window.orderBy("rank", label)) - 1)
+    placed = positions(numbered, F.asc("rank"), F.asc(label), name="__n")
+    total = placed.agg(F.count(F.lit(1)).alias("__total"))
+    at, each, more = F.col("__n") - 1, F.floor(F.col("__total") / columns), F.col("__total") % columns  # the first columns take what is left over
+    long_ = more * (each + 1)
+    column = F.when(at < long_, F.floor(at / (each + 1))).otherwise(more + F.floor(F.try_divide((at - long_).cast("double"), each.cast("double"))))
+    return placed.join(F.broadcast(total), how="cross").select("rank", label, value, "line", column.cast("int").alias("column"))  # one row

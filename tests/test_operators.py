@@ -35,9 +35,9 @@ def test_statistics(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,), (float("inf"),), (float("nan"),), (None,)], "v double")
     r = E.describe(df, ["v"], {"unit": "x"}).first()
     assert (r.n, r.mean, r.median, round(r.deviation, 6), r.least, r.most) == (4, 4.25, 3.0, 4.031129, 1.0, 10.0)
-    d = df.filter("v < 100").agg(*E.distribution(F.col("v"), "v")).first()
+    d = E.distribution(df.filter("v < 100"), [], "v", "v").first()
     assert (d.v_q1, d.v_q3, d.v_iqr) == (1.75, 5.5, 3.75)
-    empty = df.filter("v > 1000 and v < 2000").agg(*E.distribution(F.col("v"), "v")).first()
+    empty = E.distribution(df.filter("v > 1000 and v < 2000"), [], "v", "v").first()
     assert set(empty.asDict().values()) == {0}
     assert E.describe(df.filter("v = 10"), ["v"], {}).first().deviation == 0.0
     assert E.describe(df.filter("v is null"), ["v"], {}).count() == 0
