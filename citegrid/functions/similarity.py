@@ -76,8 +76,9 @@ def author_relation(a: Column, b: Column) -> Column:
 
 
 def component_metrics(a_key: Column, b_key: Column, threshold: float, character_threshold: float = 94.0) -> Column:
-    """struct<token_sort, characters, jaccard, containment, accepted> of two component keys."""
+    """struct<token_sort, characters, jaccard, containment, accepted, reason> of two component keys; the reason says which
+    similarity reaches its threshold."""
     a, b = F.array_distinct(F.split(a_key, " ")), F.array_distinct(F.split(b_key, " "))
     containment, jaccard = set_overlap(a, b)
     t, c = token_sort_ratio(a_key, b_key), ratio(a_key, b_key)
-    return F.struct(F.round(t, 2).alias("token_sort"), F.round(c, 2).alias("characters"), F.round(jaccard, 4).alias("jaccard"), F.round(containment, 4).alias("containment"), ((t >= threshold) | (c >= character_threshold)).alias("accepted"))
+    return F.struct(F.round(t, 2).alias("token_sort"), F.round(c, 2).alias("characters"), F.round(jaccard, 4).alias("jaccard"), F.round(containment, 4).alias("containment"), ((t >= threshold) | (c >= character_threshold)).alias("accepted"), F.concat(F.lit("STRICT_"), F.concat_ws("_AND_", F.when(t >= threshold, "TOKEN_SORT"), F.when(c >= character_threshold, "CHARACTER"))).alias("reason"))

@@ -429,8 +429,7 @@ def merge(records: DataFrame, clusters: DataFrame, *, generic: list[str], unions
         listed = T.ascii_key("author_source") != "external" if "author_source" in records.columns else F.lit(True)
         most = F.struct((-F.size("k_authors")).alias("n"), listed.alias("listed"), (-F.col("k_complete")).alias("less"), F.col("k_order").alias("at"))
         aggs.append(F.min_by("authors", most).alias("authors"))
-        if "author_ids" in records.columns:
-            aggs.append(F.min_by("author_ids", most).alias("author_ids"))
+        aggs += [F.min_by(c, most).alias(c) for c in ("author_ids", "raw_authors", "raw_author_ids") if c in records.columns]
     for c in unions:
         aggs.append(F.array_sort(F.collect_list(F.struct("p", F.col(c).alias("v")))).alias(f"__{c}"))
     if "countries" in records.columns:
@@ -454,7 +453,7 @@ def deduplicate(records: DataFrame, dataset: str, *, threshold: float = 95.0, de
     work = checkpointed(prepare(records))  # keyed once; all that follows reads the keys, and no record is keyed again
     members, pairs = settle_classes(work, dataset, threshold, decisions)
     clusters, reviews = (checkpointed(x) for x in cluster(work, pairs, dataset, decisions, members=members))
-    special = {"cited_by", "doi", "abstract", "author_keywords", "index_keywords", "affiliations", "open_access", "search_category", "authors", "author_ids", "countries"}
+    special = {"cited_by", "doi", "abstract", "author_keywords", "index_keywords", "affiliations", "open_access", "search_category", "authors", "author_ids", "raw_authors", "raw_author_ids", "countries"}
     columns = generic if generic is not None else [c for c in records.columns if c not in special and c != "row_order"]
     return {"work": work, "members": members, "pairs": pairs, "clusters": clusters, "removals": removals(clusters, work, threshold), "reviews": review_rows(work, pairs, reviews, dataset, decisions, threshold), "records": merge(work, clusters, generic=columns)}
 

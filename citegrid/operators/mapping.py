@@ -185,7 +185,12 @@ def component_candidates(records: DataFrame, threshold: float = 90.0) -> DataFra
     scored = pairs.withColumn("m", component_metrics(F.col("x_component_key"), F.col("y_component_key"), threshold, CHARACTERS)).filter("m.accepted")
     rank = lambda s: F.struct(F.col(f"{s}_mentions"), F.size(T.tokens(f"{s}_component_key")), F.length(f"{s}_spelling"), F.lower(f"{s}_spelling"))
     top = rank("x") >= rank("y")
-    return scored.select(F.when(top, F.col("y_spelling")).otherwise(F.col("x_spelling")).alias("variant"), F.when(top, F.col("x_spelling")).otherwise(F.col("y_spelling")).alias("canonical"), "m.token_sort", "m.characters", "m.jaccard", "m.containment")
+    of = lambda c: (F.when(top, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")), F.when(top, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")))
+    (variant, canonical), (v_key, c_key), (v_n, c_n) = of("spelling"), of("component_key"), of("mentions")
+    return scored.select(
+        variant.alias("variant"), canonical.alias("canonical"), "m.token_sort", "m.characters", "m.jaccard", "m.containment", "m.reason",
+        v_key.alias("variant_key"), c_key.alias("canonical_key"), v_n.alias("variant_mentions"), c_n.alias("canonical_mentions"),
+    )
 
 
 def extend_template(template: DataFrame, candidates: DataFrame) -> DataFrame:

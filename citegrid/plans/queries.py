@@ -515,7 +515,7 @@ def component_blocks(spark, sf):
 )
 def component_candidates(spark, sf):
     c = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", T.affiliations(F.concat("n_name", F.lit(", "), "r_name")).alias("entries"))
-    return M.component_candidates(M.component_records(c, "n_nationkey", "entries"), 50.0)
+    return M.component_candidates(M.component_records(c, "n_nationkey", "entries"), 50.0).select("variant", "canonical", "token_sort", "characters", "jaccard", "containment")
 
 
 @query("q_author_candidates")

@@ -19,36 +19,78 @@ from citegrid.operators import graph as G
 from citegrid.operators import linkage as L
 from citegrid.operators import mapping as M
 from citegrid.operators import terms as D
+from citegrid.operators.lineage import checkpointed
+from citegrid.plans import curation as U
+from citegrid.sources import files
+from citegrid.sources import lookups as W
 from citegrid.sources import records as R
 from citegrid.sources import sinks as K
 
 
+#: Folders of CSV parts that reviewers fill in.
+AUTHORS, COMPONENTS, REVIEWS = "author_mapping_template", "component_mapping_template", "duplicate_review"
+CACHE = "author_cache"
+
+
 def preprocess(raw: DataFrame, dataset: str, *, cache: DataFrame | None = None, author_rules: DataFrame | None = None, component_rules: DataFrame | None = None, decisions: DataFrame | None = None, threshold: float = 95.0) -> dict[str, DataFrame]:
-    """One raw export: eligible records, recovered and mapped authors, duplicates merged, countries extracted."""
+    """One raw export: eligible records, recovered and mapped authors, duplicates merged, countries extracted.
+
+    Besides the tables of deduplicate(): summary, raw_mentions and mentions (name, aid; before and after mapping), entries
+    (affiliations of the final records), and with component rules chained (the rules followed to their ends).
+    """
     spark = raw.sparkSession
-    kept = R.eligible(raw)
-    listed = kept.withColumns({"listed": T.author_list("author_full_names"), "author_ids": T.author_id_list("author_ids_raw")})
+    kept = listed(R.eligible(raw))
     cache = cache if cache is not None else spark.createDataFrame([], "doi string, authors array<string>, status string")
-    recovered = M.recovered_authors(listed, cache)
-    align = F.udf(M.align_to_recovered, "array<string>")  # greedy and sequential, only for records with an external list
-    recovered = recovered.withColumn("author_ids", F.when(F.col("author_source") == "external", align("listed", "author_ids", "authors")).otherwise(T.align_ids(F.col("authors"), F.col("author_ids"))))
+    recovered = M.recovered_authors(kept, cache)
+    align = F.udf(lambda l, i, a: None if l is None else M.align_to_recovered(l, i, a), "array<string>")  # greedy and sequential; other records reach it as nulls
+    outside = F.col("author_source") == "external"
+    recovered = recovered.withColumn("author_ids", F.when(outside, align(F.when(outside, F.col("listed")), F.when(outside, F.col("author_ids")), F.when(outside, F.col("authors")))).otherwise(T.align_ids(F.col("authors"), F.col("author_ids"))))
+    recovered = checkpointed(recovered.withColumns({"raw_authors": F.col("authors"), "raw_author_ids": F.col("author_ids")}))
     if author_rules is not None:
         tables = M.lookups(M.chains(M.rules(author_rules)))
         mapped = M.apply_to_lists(recovered, "row_order", "authors", "author_ids", tables)
         recovered = recovered.drop("authors", "author_ids").join(mapped, "row_order")
     out = L.deduplicate(recovered, dataset, threshold=threshold, decisions=decisions, generic=[c for c in ("title", "year", "source_title", "volume", "issue", "art_no", "funding_texts", "editors", "publisher", "language", "document_type", "authors_with_affiliations", "author_source", "source_row") if c in recovered.columns])
-    final = out["records"].withColumn("entries", T.affiliations("affiliations"))
+    final = checkpointed(out["records"].withColumn("entries", T.affiliations("affiliations")))
+    pairs = lambda a, i: final.select(F.explode(F.arrays_zip(F.col(a).alias("name"), F.col(i).alias("aid"))).alias("z")).select("z.name", F.coalesce("z.aid", F.lit("")).alias("aid"))
+    out |= {"raw_mentions": pairs("raw_authors", "raw_author_ids"), "mentions": pairs("authors", "author_ids"), "entries": final.select("k_order", "entries")}
     if component_rules is not None:
-        rules = M.component_chains(M.component_rules(component_rules))
-        final = final.join(M.countries(final, "k_order", "entries", rules), "k_order")
-        out["components"] = M.component_records(final, "k_order", "entries", rules)
+        out["chained"] = checkpointed(M.component_chains(M.component_rules(component_rules)))
+        final = final.join(M.countries(final, "k_order", "entries", out["chained"]), "k_order")
+        out["components"] = M.component_records(final, "k_order", "entries", out["chained"])
     else:
         final = final.withColumn("countries", F.array().cast("array<string>"))
-    out["records"] = final.drop("entries")
+    out["records"] = final.drop("entries", "raw_authors", "raw_author_ids")
     out["summary"] = run_summary(raw, kept, recovered, final, dataset)
     return out
 
 
+def listed(records: DataFrame) -> DataFrame:
+    """records with the authors that the export lists, and their ids."""
+    return records.withColumns({"listed": T.author_list("author_full_names"), "author_ids": T.author_id_list("author_ids_raw")})
+
+
+def curate(spark: SparkSession, output: str, parts: list[dict[str, DataFrame]], author_rules: DataFrame | None, author_rows: DataFrame, component_rows: DataFrame, similarity: float = 90.0, component_similarity: float = 90.0) -> dict[str, DataFrame]:
+    """What a reviewer gets after a run over all data sets: the extended component template (which is replaced), similar names,
+    and the validation of both mappings. Returns the tables that are to be written."""
+    union = lambda name: E.stacked([p[name] for p in parts])
+    entries = checkpointed(E.stacked([p["entries"].withColumn("part", F.lit(i)) for i, p in enumerate(parts)]).withColumn("row", F.struct("part", "k_order")))
+    named = U.named_components(component_rows).withColumnRenamed("component_key", "variant_key")
+    records = M.component_records(entries, "row", "entries", named)
+    U.save(spark, U.extended_components(component_rows, records, component_similarity), f"{output}/{COMPONENTS}")
+    mapped = checkpointed(union("mentions"))
+    known = author_rows.select(T.squeeze("Canonical").alias("name")).filter("name != ''").distinct()
+    none = spark.createDataFrame([], "variant string, canonical string")
+    resolved = M.chains(M.rules(author_rules)) if author_rules is not None else none
+    chained = parts[0].get("chained")
+    rules = U.country_rules(component_rows, chained) if chained is not None else spark.createDataFrame([], "variant_key string, variant string, canonical string")
+    return {
+        "author_similarity_candidates": M.author_candidates(mapped, similarity, known),
+        "author_mapping_validation": M.validation(resolved, union("raw_mentions").select("name"), mapped.select("name")),
+        "country_mapping_validation": U.country_validation(rules, entries, E.stacked([p["records"].select("countries") for p in parts])),
+    }
+
+
 def run_summary(raw: DataFrame, kept: DataFrame, recovered: DataFrame, final: DataFrame, dataset: str) -> DataFrame:
     """One row: records read, eligible and left, external author lists used, distinct countries."""
     parts = [raw.agg(F.count(F.lit(1)).alias("raw_records")), kept.agg(F.count(F.lit(1)).alias("eligible_records")), recovered.agg(F.count_if(F.col("author_source") == "external").alias("external_author_lists")), final.agg(F.count(F.lit(1)).alias("final_records")), final.select(F.explode("countries").alias("c")).agg(F.countDistinct("c").alias("unique_countries"))]
@@ -139,16 +181,63 @@ def country_maps(counts: DataFrame, codes: DataFrame, territories: DataFrame) ->
     return out
 
 
+def run_preprocess(spark: SparkSession, args, name) -> None:
+    """The first stage from files to files. The templates and the review table in the output folder are the reviewer's: they
+    are read first and replaced with their rows kept."""
+    for path in (args.author_mapping, args.component_mapping):
+        if path and not files.exists(spark, path):
+            raise FileNotFoundError(path)
+    at = lambda x: f"{args.output}/{x}"
+    raws = {name(p): checkpointed(R.read_records(spark, p)) for p in args.inputs}
+    component_rows = U.start_component_template(spark, at(COMPONENTS), args.component_mapping)
+    listed_ = [listed(r).select(F.explode(F.arrays_zip(F.col("listed").alias("name"), T.align_ids(F.col("listed"), F.col("author_ids")).alias("aid"))).alias("z")).select("z.name", "z.aid") for r in raws.values()]
+    if args.author_mapping and files.absolute(spark, args.author_mapping) != files.absolute(spark, at(AUTHORS)):
+        U.save(spark, K.make_template(spark, args.author_mapping, K.AUTHOR_TEMPLATE), at(AUTHORS))
+    author_rows = U.author_template(spark, at(AUTHORS), E.stacked(listed_))
+    author_rules = author_rows if args.author_mapping else None
+    decisions = checkpointed(R.read_decisions(spark, args.decisions or at(REVIEWS)))
+    fetch = None if args.skip_lookups else W.http_fetch(args.lookup_url, args.lookup_mailto, args.lookup_timeout)
+    wanted = E.stacked([listed(R.eligible(r)).select("doi", "listed") for r in raws.values()])
+    cache = W.look_up(spark, wanted, args.author_cache or at(CACHE), fetch, lanes=args.lookup_lanes, retries=args.lookup_retries, delay=args.lookup_delay)
+    options = {"author_rules": author_rules, "component_rules": component_rows, "cache": cache, "decisions": decisions, "threshold": args.threshold}
+    parts, made, reviews = {}, [], []
+    for n, raw in raws.items():
+        out = preprocess(raw, n, **options)
+        K.write_dataset(out["records"], at(n))
+        K.write_tables({f"{n}_{k}": out[k] for k in ("removals", "reviews", "summary")}, args.output)
+        parts[n] = spark.read.parquet(at(n))
+        reviews.append(out["reviews"])
+        made.append(out)
+    K.write_tables(curate(spark, args.output, made, author_rules, author_rows, component_rows, args.similarity_threshold, args.component_similarity_threshold), args.output)
+    if len(parts) > 1:
+        both = combine(parts, threshold=args.threshold, decisions=decisions)
+        K.write_dataset(both["records"], at("combined"))
+        K.write_tables({"combined_removals": both["removals"], "combined_reviews": both["reviews"]}, args.output)
+        reviews.append(both["reviews"])
+    queue = checkpointed(L.review_queue(reviews).withColumnsRenamed({"pair_id": "Pair_ID", "decision": "Decision"}).orderBy("Pair_ID"))
+    K.write_tables({"review_queue": queue}, args.output)
+    U.save(spark, queue, at(REVIEWS))
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="citegrid.plans.stages")
     sub = parser.add_subparsers(dest="stage", required=True)
     a = sub.add_parser("preprocess")
     a.add_argument("--inputs", nargs="+", required=True)
-    a.add_argument("--author-mapping", default="")
-    a.add_argument("--component-mapping", default="")
-    a.add_argument("--decisions", default="")
-    a.add_argument("--author-cache", default="")
+    a.add_argument("--author-mapping", default="", help="CSV that replaces the author template and is applied; without it no names are mapped")
+    a.add_argument("--component-mapping", default="", help="CSV that seeds the component template")
+    a.add_argument("--decisions", default="", help="decided pairs; without it those in the output's review table")
+    a.add_argument("--author-cache", default="", help="JSON file or folder; without it the output's own")
     a.add_argument("--threshold", type=float, default=95.0)
+    a.add_argument("--similarity-threshold", type=float, default=90.0)
+    a.add_argument("--component-similarity-threshold", type=float, default=90.0)
+    a.add_argument("--skip-lookups", action="store_true", help="ask no external service; the cache is used")
+    a.add_argument("--lookup-url", default=W.SERVICE)
+    a.add_argument("--lookup-mailto", default="")
+    a.add_argument("--lookup-timeout", type=float, default=20.0)
+    a.add_argument("--lookup-retries", type=int, default=2)
+    a.add_argument("--lookup-delay", type=float, default=0.2)
+    a.add_argument("--lookup-lanes", type=int, default=1, help="look-ups at a time")
     b = sub.add_parser("analyze")
     b.add_argument("--inputs", nargs="+", required=True)
     b.add_argument("--combined", default="")
@@ -164,25 +253,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("citegrid").getOrCreate()
     name = lambda path: os.path.splitext(os.path.basename(path.rstrip("/")))[0]
     if args.stage == "preprocess":
-        options = {
-            "author_rules": R.read_mapping(spark, args.author_mapping) if args.author_mapping else None,
-            "component_rules": R.read_component_mapping(spark, args.component_mapping) if args.component_mapping else None,
-            "cache": R.read_author_cache(spark, args.author_cache) if args.author_cache else None,
-            "decisions": R.read_decisions(spark, args.decisions) if args.decisions else None, "threshold": args.threshold,
-        }
-        parts, reviews = {}, []
-        for path in args.inputs:
-            out = preprocess(R.read_records(spark, path), name(path), **options)
-            K.write_dataset(out["records"], f"{args.output}/{name(path)}")
-            K.write_tables({f"{name(path)}_{k}": out[k] for k in ("removals", "reviews", "summary")}, args.output)
-            parts[name(path)] = spark.read.parquet(f"{args.output}/{name(path)}")
-            reviews.append(out["reviews"])
-        if len(parts) > 1:
-            both = combine(parts, threshold=args.threshold, decisions=options["decisions"])
-            K.write_dataset(both["records"], f"{args.output}/combined")
-            K.write_tables({"combined_removals": both["removals"], "combined_reviews": both["reviews"]}, args.output)
-            reviews.append(both["reviews"])
-        K.write_tables({"review_queue": L.review_queue(reviews)}, args.output)
+        run_preprocess(spark, args, name)
     elif args.stage == "analyze":
         tables = {name(p): spark.read.parquet(p) for p in args.inputs}
         ready = {n: papers(t, args.reference_year) for n, t in tables.items()}
