@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrid.operators.lineage import checkpointed
+from citegrid.operators.lineage import in_order
 
 
 def _dealt(table: DataFrame, *order: Column) -> DataFrame:
     """table in ranges of its order, with the number of the range (__range) and growing numbers inside it (__at)."""
-    cut = checkpointed(table.repartitionByRange(*order).sortWithinPartitions(*order))
+    cut = in_order(table.repartitionByRange(*order).sortWithinPartitions(*order))
     return cut.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
 
 
