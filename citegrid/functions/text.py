@@ -174,12 +174,15 @@ def surname_key(name: Column | str) -> Column:
 
 
 def clean_affiliation(c: Column | str) -> Column:
-    s = squeeze(c)
     pairs = (('"', '"'), ("'", "'"), ("“", "”"), ("‘", "’"))
-    quoted = F.lit(False)
-    for a, b in pairs:
-        quoted = quoted | ((F.length(s) >= 2) & s.startswith(a) & s.endswith(b))
-    s = F.when(quoted, F.trim(F.substr(s, F.lit(2), F.length(s) - 2))).otherwise(s)
+
+    def bare(s: Column) -> Column:
+        quoted = F.lit(False)
+        for a, b in pairs:
+            quoted = quoted | (s.startswith(a) & s.endswith(b))
+        return F.when((F.length(s) >= 2) & quoted, F.trim(F.substr(s, F.lit(2), F.length(s) - 2))).otherwise(s)
+
+    s = let(squeeze(c), bare)
     s = F.regexp_replace(F.regexp_replace(s, r"\s*,\s*", ", "), r",\s*,+", ", ")
     return F.btrim(s, F.lit(" ,;|"))
 

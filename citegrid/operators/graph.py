@@ -32,10 +32,10 @@ def edges(papers: DataFrame, paper_id: str, entities: str, allowed: DataFrame |
     rows = papers.select(paper_id, distinct_entities(F.col(entities)).alias("es")).filter(F.size("es") > 0).select(paper_id, F.greatest(F.size("es") - 1, F.lit(1)).alias("m"), F.explode("es").alias("entity"))
     if allowed is not None:
         rows = rows.join(allowed.select("entity").distinct(), "entity", "left_semi")
-    # pairs come from the row's own list, so no self-join over a shuffle of papers is needed beyond this grouping
+    # pairs come from the row's own list, one entity at a time with those after it, so no task holds a row's pairs at once
     lists = rows.groupBy(paper_id, "m").agg(F.sort_array(F.collect_list("entity")).alias("es")).filter(F.size("es") > 1)
-    pairs = F.flatten(F.transform("es", lambda a, i: F.transform(F.slice("es", i + 2, F.greatest(F.size("es") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("src"), b.alias("dst")))))
-    one = lists.select("m", F.explode(pairs).alias("p")).select("p.src", "p.dst", (1.0 / F.col("m")).alias("w"))
+    each = lists.select("m", "es", F.posexplode("es").alias("i", "src"))
+    one = each.select("src", F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("dst"), (1.0 / F.col("m")).alias("w"))
     return one.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"), F.sum("w").alias("weight"))
 
 

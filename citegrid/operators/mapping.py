@@ -67,7 +67,8 @@ def chains_sql(spark, view: str) -> DataFrame:
 
 def component_chains(rules: DataFrame) -> DataFrame:
     """component_rules() with each canonical text followed through the keys of its targets; a cycle is an error."""
-    keyed = checkpointed(rules.withColumn("next_key", T.lookup_key("canonical")))
+    rules = checkpointed(rules.withColumn("next_key", T.lookup_key("canonical")))
+    keyed = rules
     known = keyed.select(F.col("variant_key").alias("next_key"), F.lit(True).alias("known"))
     hop = keyed.join(known, "next_key", "left").select(F.col("variant_key").alias("variant"), F.when(F.col("known"), F.col("next_key")).otherwise(F.col("variant_key")).alias("canonical"))
     ends = chains(hop).select(F.col("variant").alias("variant_key"), F.col("canonical").alias("end"))
@@ -128,7 +129,8 @@ def validation(resolved: DataFrame, raw: DataFrame, mapped: DataFrame) -> DataFr
 
 def component_rules(table: DataFrame) -> DataFrame:
     """variant_key, canonical, component_type of accepted rows; a bad type or two targets for a key are errors."""
-    rows = table.select(T.lookup_key(T.clean_affiliation("Variant")).alias("variant_key"), T.clean_affiliation("Canonical").alias("canonical"), T.component_type("Component_Type").alias("component_type"), T.decision("Decision").alias("d"), F.col("Component_Type").alias("raw_type"))
+    clean = table.select(T.clean_affiliation("Variant").alias("variant"), T.clean_affiliation("Canonical").alias("canonical"), F.col("Component_Type").alias("raw_type"), "Decision")
+    rows = clean.select(T.lookup_key("variant").alias("variant_key"), "canonical", T.component_type("raw_type").alias("component_type"), T.decision("Decision").alias("d"), "raw_type")
     rows = rows.filter("d = 'accept' and variant_key != '' and canonical != ''")
     bad = F.raise_error(F.concat(F.lit("bad component type "), F.coalesce("raw_type", F.lit("")))).cast("string")
     rows = rows.withColumn("component_type", F.when(F.col("component_type") == "", bad).otherwise(F.col("component_type")))

@@ -57,11 +57,11 @@ def extended_components(rows: DataFrame, records: DataFrame, threshold: float =
     rows: the template. records: component_key, spelling, mentions, example, mapped. A pair of keys that the template has is
     not added again.
     """
-    v, c = T.clean_affiliation("Variant"), T.clean_affiliation("Canonical")
-    own = rows.withColumn("Canonical", F.when((v != "") & (c == ""), v).otherwise(F.col("Canonical")))
-    own = own.withColumns({"vk": T.lookup_key(v), "ck": T.lookup_key(T.clean_affiliation("Canonical"))})
+    own = checkpointed(rows.withColumns({"v": T.clean_affiliation("Variant"), "c": T.clean_affiliation("Canonical")}))
+    lone = (F.col("v") != "") & (F.col("c") == "")  # a component without a target stands for itself
+    own = own.withColumns({"Canonical": F.when(lone, F.col("v")).otherwise(F.col("Canonical")), "vk": T.lookup_key("v"), "ck": F.when(lone, T.lookup_key("v")).otherwise(T.lookup_key("c"))})
     blank = T.squeeze("`Candidate Reason`") == ""
-    own = checkpointed(own.withColumn("Candidate Reason", F.when(blank & (v != "") & (F.col("vk") == F.col("ck")), OBSERVED).otherwise(F.col("`Candidate Reason`"))))
+    own = checkpointed(own.withColumn("Candidate Reason", F.when(blank & (F.col("v") != "") & (F.col("vk") == F.col("ck")), OBSERVED).otherwise(F.col("`Candidate Reason`"))).drop("v", "c"))
     text = lambda x: F.col(x).cast("string")
     known = checkpointed(records)
     observed = known.select(

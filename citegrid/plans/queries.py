@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ from citegrid.operators import graph as G
 from citegrid.operators import linkage as L
 from citegrid.operators import mapping as M
 from citegrid.operators import terms as D
-from citegrid.operators.lineage import checkpointed
+from citegrid.operators.lineage import checkpointed, shared_folder
+from citegrid.plans import curation as U
 from citegrid.plans.adapters import KEY, RECORDS_SQL, SQL, dictionary, papers, records, table
 from citegrid.plans.catalog import query
+from citegrid.sources import lookups as W
 from citegrid.sources import records as R
 from citegrid.sources import sinks as K
+from citegrid.sources.exports import read_csv
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -578,7 +583,23 @@ def _assigned(spark, sf) -> DataFrame:
     return D.assign(D.matches(_texts(spark, sf), D.term_index(D.vocabulary(dictionary(spark)))))
 
 
-@query("q_term_accept")
+#: Spellings of the dictionary's terms, which of them are bare symbols, and the supporting words, typed apart from the implementation.
+_ACCEPT_TERMS = "VALUES ('thanedble', 'attion to thanedble', 'attion to thanedble', false), ('thanedble', 'thanedble', 'thanedble', false), ('license', 'license', 'license', false), ('license', 'mit license', 'mit license', false), ('license', 'apache license', 'apache license', false), ('license', 'general public license', 'general public license', false), ('token', 'token', 'token', true), ('token', 'secret token', 'secret token', false), ('insult', 'insult', 'insult', true), ('insult', 'stupid', 'stupid', true), ('insult', 'worthless', 'worthless', false), ('insult', 'anea', 'ANEA', true)"
+_SUPPORT = "['deficiency','deficient','syndrome','disease','disorder','immunodeficiency','mutation','variation','variant','defect','pathogenic','causative','biallelic','monoallelic','autosomal','recessive','dominant','linked','gof','lof','gain','loss','function','associated','related','diagnosis','diagnosed','patient','patients','case','cases','cohort']"
+_ACCEPT = (
+    f"WITH V(disease, term, shown, symbol) AS ({_ACCEPT_TERMS}), {_TERM_TEXTS}, W AS (SELECT row_id, field, t, string_split(trim(t), ' ') AS w FROM F), "
+    "H AS (SELECT row_id, field, disease, term, shown, symbol, w, string_split(term, ' ') AS tw FROM W JOIN V ON contains(t, ' ' || term || ' ')), "
+    "L AS (SELECT *, list_filter(range(0, len(w) - len(tw) + 1), lambda i: (list_slice(w, i + 1, i + len(tw)) = tw)) AS places FROM H), "
+    f"C AS (SELECT *, len(list_filter(places, lambda i: list_has_any(list_slice(w, greatest(i - 8, 0) + 1, i + len(tw) + 8), {_SUPPORT}))) > 0 AS near, count(*) OVER (PARTITION BY row_id, disease, term, symbol) AS of_term FROM L), "
+    "G AS (SELECT row_id, disease, bool_or(NOT symbol) AS phrase, bool_or(NOT symbol AND (field = 'title' OR len(tw) >= 3 OR of_term >= 2)) AS sure, coalesce(bool_or(symbol AND near), false) AS near, coalesce(bool_or(symbol AND field = 'title'), false) AS named, count(DISTINCT CASE WHEN symbol THEN field END) AS fields, max(CASE WHEN symbol THEN length(replace(term, ' ', '')) END) AS longest, list_distinct(list(shown)) AS s, list_distinct(list(field)) AS f FROM C GROUP BY row_id, disease), "
+    "K AS (SELECT *, near AND (named OR fields >= 2) AS by_near, fields >= 2 AND longest >= 4 AS by_two FROM G) "
+    "SELECT row_id, disease, phrase OR by_near OR by_two AS accepted, CASE WHEN phrase THEN sure ELSE coalesce((by_near OR by_two) AND near AND named AND fields >= 2, false) END AS strict, "
+    "CASE WHEN phrase THEN 'Normalized disease phrase' WHEN by_near THEN 'Context-supported standalone symbol or acronym' WHEN by_two THEN 'Repeated-field standalone symbol or acronym' ELSE '' END AS category, "
+    "array_to_string(list_transform(list_sort(list_transform(s, lambda x: {'l': lower(x), 'x': x})), lambda e: e.x), ' | ') AS matched_terms, array_to_string(list_sort(f), ' | ') AS match_fields FROM K"
+)
+
+
+@query("q_term_accept", _ACCEPT)
 def term_accept(spark, sf):
     return _assigned(spark, sf)
 
@@ -640,3 +661,70 @@ def map_join(spark, sf):
 @query("q_bar_labels", SQL + f", G AS ({_full_count('A', 'author')}) SELECT author || ' (' || publications || ' papers)' AS label, citations AS value FROM G ORDER BY citations DESC, author LIMIT 30")
 def bar_labels(spark, sf):
     return K.bar_data(E.productivity(papers(spark, sf), "authors", "author"), "citations", "author", 30, suffix="publications")
+
+
+# ---- files and reviewers -----------------------------------------------------------------------------------------
+
+
+@query("q_export_rows", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_order, sha256(replace(text, chr(13) || chr(10), chr(10))) AS text_hash, length(text) AS n FROM documents")
+def export_rows(spark, sf):
+    """Documents as a quoted CSV export in several files, read back by ranges: whole texts, in file order."""
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    d.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = read_csv(spark, path).withColumn("text", F.coalesce("text", F.lit("")))
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "row_order", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_hash"), F.length("text").cast("bigint").alias("n"))
+
+
+@query("q_work_list", SQL + "SELECT '10.1/' || id AS doi FROM P JOIN A USING (id) WHERE id % 3 <> 0 GROUP BY id HAVING count(e) >= 4")
+def work_list(spark, sf):
+    """Identifiers of papers with four authors or more that the cache (every third paper) does not hold."""
+    p = papers(spark, sf).select("id", F.concat(F.lit("https://doi.org/10.1/"), F.col("id").cast("string")).alias("doi"), F.col("authors").alias("listed"))
+    cache = p.filter("id % 3 = 0").select(T.doi_key("doi").alias("doi"))
+    return W.work_list(p, cache, 4)
+
+
+@query(
+    "q_merge_cache",
+    "WITH O AS (SELECT event_id % 97 AS k, CASE WHEN event_id % 5 = 0 THEN 'A' END AS a, CASE event_id % 3 WHEN 0 THEN 'http_404' ELSE 'timeout' END AS s, event_id % 2 = 1 AS newer, event_id FROM events), "
+    "D AS (SELECT k, newer, arg_max(a, event_id) FILTER (a IS NOT NULL) AS a, arg_max(s, event_id) AS s FROM O GROUP BY k, newer) "
+    "SELECT CAST(k AS VARCHAR) AS doi, x.a AS authors, x.s AS status FROM (SELECT k, arg_max({'a': a, 's': s}, (CASE WHEN a IS NOT NULL THEN 1 ELSE 0 END, CASE WHEN s IN ('http_404', 'http_410') THEN 1 ELSE 0 END, CASE WHEN newer THEN 1 ELSE 0 END)) AS x FROM D GROUP BY k)",
+)
+def merge_cache(spark, sf):
+    """Two versions of a cache, the answers of the even and of the odd events, as one."""
+    e = table(spark, sf, "events").select((F.col("event_id") % 97).cast("string").alias("doi"), (F.col("event_id") % 2 == 1).alias("newer"), F.when(F.col("event_id") % 5 == 0, "A").alias("a"), F.when(F.col("event_id") % 3 == 0, "http_404").otherwise("timeout").alias("status"), "event_id")
+    v = e.groupBy("doi", "newer").agg(F.max_by("a", F.when(F.col("a").isNotNull(), F.col("event_id"))).alias("a"), F.max_by("status", "event_id").alias("status"))
+    version = lambda newer: v.filter(F.col("newer") == newer).select("doi", F.when(F.col("a").isNotNull(), F.array("a")).alias("authors"), "status")
+    return W.merge_cache(version(False), version(True)).select("doi", F.array_join("authors", ";").alias("authors"), "status")
+
+
+@query(
+    "q_country_validation",
+    "WITH R(variant, canonical, vk) AS (SELECT 'Old ' || n_name, n_name, 'old ' || lower(replace(n_name, '_', ' ')) FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_name, n_name, lower(replace(n_name, '_', ' ')) FROM nation UNION ALL SELECT 'Nowhere', 'Utopia', 'nowhere' UNION ALL SELECT r_name, 'NATION_0', lower(r_name) FROM region), "
+    "E AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'old ' ELSE '' END || lower(replace(n_name, '_', ' ')) AS ck, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), "
+    "X AS (SELECT ck FROM E UNION ALL SELECT ck FROM E WHERE c_custkey % 5 = 0), "
+    "M AS (SELECT DISTINCT c_custkey, lower(replace(canonical, '_', ' ')) AS k FROM E JOIN R ON vk = ck) "
+    "SELECT variant, canonical, (SELECT count(*) FROM X WHERE ck = vk) AS raw_mentions, (SELECT count(*) FROM M WHERE k = lower(replace(canonical, '_', ' '))) AS canonical_mentions, CASE WHEN vk = lower(replace(canonical, '_', ' ')) THEN 'SELF_MAPPING' WHEN (SELECT count(*) FROM X WHERE ck = vk) = 0 THEN 'NOT_PRESENT_IN_INPUT' WHEN (SELECT count(*) FROM M WHERE k = lower(replace(canonical, '_', ' '))) > 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM R",
+)
+def country_validation(spark, sf):
+    """Customers' nations as affiliations, half of them under an old name; rules for both names, the regions and one that never occurs."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    pairs = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("Old "), "n_name").alias("Variant"), F.col("n_name").alias("Canonical")).union(n.select("n_name", "n_name")).union(spark.createDataFrame([("Nowhere", "Utopia")])).union(r.select("r_name", F.lit("NATION_0")))
+    rows = pairs.select("Variant", "Canonical", F.lit("country").alias("Component_Type"), F.lit("yes").alias("Decision"))
+    chained = checkpointed(M.component_chains(M.component_rules(rows)))
+    place = F.concat(F.when(F.col("c_custkey") % 2 == 0, "old ").otherwise(""), "n_name")
+    field = F.concat(F.lit("Office, "), place, F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("; Other Office, "), place)).otherwise(""))
+    c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", T.affiliations(field).alias("entries"))
+    return U.country_validation(U.country_rules(rows, chained), c, M.countries(c, "c_custkey", "entries", chained))
+
+
+@query("q_selection_rank", SQL + f", G AS ({_full_count('A', 'author')}) SELECT author, CAST(row_number() OVER (ORDER BY citations DESC, publications DESC, author) AS INTEGER) AS selection_rank FROM G")
+def selection_rank(spark, sf):
+    t = E.productivity(papers(spark, sf), "authors", "author")
+    return E.position(t, F.desc("citations"), F.desc("publications"), F.asc("author"), name="selection_rank").select("author", "selection_rank")
+
+
+@query("q_ranked_lines", SQL + f", G AS ({_full_count('C', 'country')}), K AS (SELECT country, citations, rank() OVER (ORDER BY citations DESC) AS rank FROM G) SELECT CAST(rank AS INTEGER) AS rank, country, citations, rank || '. ' || country || ' (' || citations || ')' AS line, CAST(ntile(4) OVER (ORDER BY rank, country) - 1 AS INTEGER) AS \"column\" FROM K")
+def ranked_lines(spark, sf):
+    ranked = E.competition_rank(E.productivity(papers(spark, sf), "countries", "country"), "citations", "country")
+    return K.ranked_lines(ranked, "citations", "country")

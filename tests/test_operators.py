@@ -70,6 +70,13 @@ def test_edges_keep_the_full_list_size(spark):
     assert [(r.src, r.dst, r.shared, r.weight) for r in e] == [("A", "B", 1, 0.5)]
 
 
+def test_edges_of_a_long_list(spark):
+    p = papers(spark, [(1, 2020.0, 1, True, [f"n{i:04}" for i in range(1200)], ""), (2, 2020.0, 1, True, ["n0000", "n0001"], "")])
+    e = G.edges(p, "id", "authors")
+    assert e.count() == 1200 * 1199 // 2
+    assert [(r.shared, round(r.weight, 9)) for r in e.filter("src = 'n0000' and dst in ('n0001', 'n1199')").orderBy("dst").collect()] == [(2, round(1 + 1 / 1199, 9)), (1, round(1 / 1199, 9))]
+
+
 def path_graph(spark):
     e = spark.createDataFrame([("a", "b", 1, 1.0), ("b", "c", 1, 1.0), ("x", "y", 1, 1.0)], "src string, dst string, shared long, weight double")
     nodes = spark.createDataFrame([(n,) for n in "abcxyz"], "entity string")
