@@ -1,27 +1,20 @@
-"""Collaboration graphs: edges, strengths, components, backbone, centralities, communities.
+"""Collaboration graphs: edges, strengths, components, backbone, measures.
 
-Edges, degrees, strengths, triangles, components and PageRank are DataFrame operations over the edge table. Shortest-path
-measures and communities need the whole graph at once; they run in one task over a graph of selected entities, whose
-number is bounded by the selection (MOST_NODES), and refuse a larger one.
+All of it are DataFrame operations over the edge table, of any number of nodes. Shortest paths are in `paths`, where each
+task follows those of its own sources, communities in `communities`.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections import defaultdict
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citegrid.operators.communities import communities
 from citegrid.operators.entities import distinct_entities
 from citegrid.operators.lineage import checkpointed
+from citegrid.operators.paths import both_ways, centralities, component_paths
 from citegrid.operators.ranks import positions
 
-MOST_NODES = 2000
-
 
 def edges(papers: DataFrame, paper_id: str, entities: str, allowed: DataFrame | None = None) -> DataFrame:
     """src, dst, shared, weight (src < dst).
@@ -39,10 +32,6 @@ def edges(papers: DataFrame, paper_id: str, entities: str, allowed: DataFrame |
     return one.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"), F.sum("w").alias("weight"))
 
 
-def both_ways(e: DataFrame) -> DataFrame:
-    return e.select("src", "dst", "shared", "weight").union(e.select(F.col("dst"), F.col("src"), "shared", "weight"))
-
-
 def node_strength(e: DataFrame, nodes: DataFrame) -> DataFrame:
     """entity, collaborators, link_strength, fractional_strength, degree_centrality; isolated nodes have zeros."""
     sums = both_ways(e).groupBy(F.col("src").alias("entity")).agg(F.count(F.lit(1)).alias("collaborators"), F.sum("shared").alias("link_strength"), F.sum("weight").alias("fractional_strength"))
@@ -52,11 +41,16 @@ def node_strength(e: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("entity", zero("collaborators"), zero("link_strength"), F.coalesce("fractional_strength", F.lit(0.0)).alias("fractional_strength"), F.coalesce(F.try_divide(F.coalesce("collaborators", F.lit(0)).cast("double"), F.nullif(F.col("n") - 1, F.lit(0))), F.lit(0.0)).alias("degree_centrality"))
 
 
+def weighted_triangles(e: DataFrame) -> DataFrame:
+    """a, b, c with a < b < c, all three linked, and the weights ab, bc, ac."""
+    x, y, z = (e.select("src", "dst", "weight").alias(n) for n in "xyz")
+    two = x.join(y, F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("a"), F.col("x.dst").alias("b"), F.col("y.dst").alias("c"), F.col("x.weight").alias("ab"), F.col("y.weight").alias("bc"))
+    return two.join(z, (F.col("a") == F.col("z.src")) & (F.col("c") == F.col("z.dst"))).select("a", "b", "c", "ab", "bc", F.col("z.weight").alias("ac"))
+
+
 def triangles(e: DataFrame) -> DataFrame:
     """a, b, c with a < b < c, all three linked."""
-    x, y, z = (e.select("src", "dst").alias(n) for n in "xyz")
-    two = x.join(y, F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("a"), F.col("x.dst").alias("b"), F.col("y.dst").alias("c"))
-    return two.join(z, (F.col("a") == F.col("z.src")) & (F.col("c") == F.col("z.dst"))).select("a", "b", "c")
+    return weighted_triangles(e).select("a", "b", "c")
 
 
 def density(e: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -124,209 +118,96 @@ def pagerank(e: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int
     return ranks.select("entity", F.col("r").alias("pagerank"))
 
 
+def spanning_forest(e: DataFrame) -> DataFrame:
+    """src, dst of the maximum spanning forest; of links of one weight the least names go first, so there is one forest.
+
+    In each round every tree takes its heaviest link to another one, which at least halves the trees that have any; links
+    inside a tree are dropped.
+    """
+    links = checkpointed(e.select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")))
+    taken = links.select("src", "dst").limit(0)
+    while True:
+        first = F.struct((-F.col("weight")).alias("less"), "src", "dst", "a", "b")
+        best = links.select(F.explode(F.array("a", "b")).alias("tree"), first.alias("link")).groupBy("tree").agg(F.min("link").alias("link"))
+        best = checkpointed(best.select("link.*").distinct())
+        if best.isEmpty():
+            return taken
+        taken = taken.union(best.select("src", "dst"))
+        joins = best.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("shared"), F.lit(1.0).alias("weight"))
+        tree = labels_of(joins, joins.select(F.explode(F.array("src", "dst")).alias("entity")).distinct())
+        left, right = tree.select(F.col("entity").alias("a"), F.col("label").alias("la")), tree.select(F.col("entity").alias("b"), F.col("label").alias("lb"))
+        links = checkpointed(links.join(left, "a").join(right, "b").filter("la != lb").select("src", "dst", "weight", F.col("la").alias("a"), F.col("lb").alias("b")))
+
+
 def backbone(e: DataFrame, nodes: DataFrame, per_node: int) -> DataFrame:
     """src, dst of what a drawing shows: all edges if they are few, else a maximum spanning forest and the heaviest per node."""
-    n_edges, n_nodes = e.count(), nodes.count()
-    if n_edges <= max(220, n_nodes * per_node):
+    if e.count() <= max(220, nodes.count() * per_node):
         return e.select("src", "dst")
     order = Window.partitionBy("src").orderBy(F.desc("weight"), F.desc("shared"), F.lower("dst"), "dst")
     heavy = both_ways(e).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_node).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    if n_nodes > MOST_NODES:
-        raise ValueError(f"a drawing of {n_nodes} nodes is beyond {MOST_NODES}")
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    tree = []
-    for r in e.orderBy(F.desc("weight"), "src", "dst").select("src", "dst").toLocalIterator():
-        a, b = root(r["src"]), root(r["dst"])
-        if a != b:
-            parent[a] = b
-            tree.append((r["src"], r["dst"]))
-    forest = e.sparkSession.createDataFrame(tree, "src string, dst string")
-    return heavy.union(forest).distinct()
-
-
-# ---- measures of a bounded graph ---------------------------------------------------------------------------------
-
-
-class Small:
-    """Adjacency of a bounded graph; weights and distances by node number."""
-
-    def __init__(self, nodes: list[str], rows: list[tuple[str, str, float, float]]):
-        self.names = sorted(nodes)
-        at = {x: i for i, x in enumerate(self.names)}
-        self.near: list[dict[int, float]] = [{} for _ in nodes]
-        for a, b, _, w in rows:
-            self.near[at[a]][at[b]] = w
-            self.near[at[b]][at[a]] = w
-
-    def paths_from(self, s: int) -> tuple[list[int], dict[int, float], list[list[int]], list[float]]:
-        """Nodes in order of distance from s, distances, the nodes before each on shortest paths, and numbers of such paths.
-
-        Distances are settled first. The paths are counted afterwards, from near to far, over the links that bridge the
-        distance between their ends up to rounding.
-        """
-        length = lambda weight: 1.0 / weight if weight > 0 else 1.0
-        dist, open_ = {s: 0.0}, [(0.0, s)]
-        while open_:
-            d, v = heapq.heappop(open_)
-            if d == dist[v]:
-                for w, weight in self.near[v].items():
-                    if d + length(weight) < dist.get(w, math.inf):
-                        dist[w] = d + length(weight)
-                        heapq.heappush(open_, (dist[w], w))
-        order = sorted(dist, key=lambda v: (dist[v], v))
-        before: list[list[int]] = [[] for _ in self.near]
-        number = [0.0] * len(self.near)
-        number[s] = 1.0
-        for w in order[1:]:
-            before[w] = [v for v, weight in self.near[w].items() if dist[v] < dist[w] and math.isclose(dist[v] + length(weight), dist[w], rel_tol=1e-12)]
-            number[w] = sum(number[v] for v in before[w])
-        return order, dist, before, number
-
-    def centralities(self) -> tuple[np.ndarray, np.ndarray, float, float]:
-        """Betweenness and closeness by distance, and mean path and diameter of the largest component."""
-        n = len(self.near)
-        between, close, reach = np.zeros(n), np.zeros(n), []
-        for s in range(n):
-            order, dist, before, number = self.paths_from(s)
-            lean = [0.0] * n
-            for w in reversed(order):
-                for v in before[w]:
-                    lean[v] += number[v] / number[w] * (1 + lean[w])
-                if w != s:
-                    between[w] += lean[w]
-            total, k = sum(dist.values()), len(dist)
-            if total > 0 and n > 1:
-                close[s] = (k - 1) / total * (k - 1) / (n - 1)
-            reach.append((k, total, max(dist.values(), default=0.0)))
-        if n > 2:
-            between /= (n - 1) * (n - 2)
-        big = max((k for k, _, _ in reach), default=0)
-        inside = [(t, m) for k, t, m in reach if k == big and big > 1]
-        mean = sum(t for t, _ in inside[:big]) / (big * (big - 1)) if inside else 0.0
-        return between, close, mean, max((m for _, m in inside), default=0.0)
-
-    def clustering(self) -> np.ndarray:
-        """Geometric mean of the scaled weights of each triangle, over all pairs of neighbours."""
-        top = max((w for x in self.near for w in x.values()), default=1.0)
-        out = np.zeros(len(self.near))
-        for v, around in enumerate(self.near):
-            k = len(around)
-            if k < 2:
-                continue
-            total = 0.0
-            for a, wa in around.items():
-                for b, wb in around.items():
-                    if a < b and b in self.near[a]:
-                        total += (wa / top * wb / top * self.near[a][b] / top) ** (1 / 3)
-            out[v] = 2 * total / (k * (k - 1))
-        return out
-
-    def assortativity(self) -> float:
-        deg = np.array([len(x) for x in self.near], float)
-        a = np.array([deg[v] for v, x in enumerate(self.near) for _ in x])
-        b = np.array([deg[w] for x in self.near for w in x])
-        if len(a) < 2 or a.std() == 0:
-            return 0.0
-        return float(np.corrcoef(a, b)[0, 1])
-
-    def modularity(self, group: np.ndarray) -> float:
-        m2 = sum(w for x in self.near for w in x.values())
-        if not m2:
-            return 0.0
-        k = np.array([sum(x.values()) for x in self.near])
-        inside: dict[int, float] = defaultdict(float)
-        for v, x in enumerate(self.near):
-            for w, weight in x.items():
-                if group[v] == group[w]:
-                    inside[int(group[v])] += weight
-        return sum(inside[g] / m2 - (k[group == g].sum() / m2) ** 2 for g in set(group.tolist()))
-
-    def communities(self) -> np.ndarray:
-        """Louvain: local moves in name order while modularity grows, then the same on the graph of communities."""
-        n = len(self.near)
-        group, near, members = np.arange(n), [dict(x) for x in self.near], [[i] for i in range(n)]
-        m2 = sum(w for x in near for w in x.values())
-        if not m2:
-            return group
-        while True:
-            size = len(near)
-            strength = [sum(x.values()) for x in near]
-            where, total, moved = list(range(size)), strength[:], False
-            for _ in range(100):
-                again = False
-                for v in range(size):
-                    links: dict[int, float] = defaultdict(float)
-                    for w, weight in near[v].items():
-                        if w != v:
-                            links[where[w]] += weight
-                    old = where[v]
-                    total[old] -= strength[v]
-                    gain = lambda g: links.get(g, 0.0) - total[g] * strength[v] / m2  # noqa: E731, B023
-                    best = max(sorted({*links, old}), key=lambda g: (gain(g) > gain(old) + 1e-12, gain(g), g == old))  # noqa: B023
-                    total[best] += strength[v]
-                    if best != old:
-                        where[v], again, moved = best, True, True
-                if not again:
-                    break
-            if not moved:
-                return group
-            number = {g: i for i, g in enumerate(sorted(set(where)))}
-            new: list[dict[int, float]] = [defaultdict(float) for _ in number]
-            joined: list[list[int]] = [[] for _ in number]
-            for v in range(size):
-                joined[number[where[v]]] += members[v]
-                for w, weight in near[v].items():
-                    new[number[where[v]]][number[where[w]]] += weight
-            near, members = [dict(x) for x in new], joined
-            for i, who in enumerate(members):
-                group[who] = i
-
-
-def small_graph(e: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row with the lists of nodes and edges; more than MOST_NODES nodes are an error."""
-    names = nodes.agg(F.sort_array(F.collect_set("entity")).alias("names"))
-    rows = e.agg(F.collect_list(F.struct("src", "dst", F.col("shared").cast("double").alias("shared"), "weight")).alias("rows"))
-    checked = names.select(F.when(F.size("names") > MOST_NODES, F.raise_error(F.lit(f"more than {MOST_NODES} nodes")).cast("array<string>")).otherwise(F.col("names")).alias("names"))
-    return checked.join(F.broadcast(rows), how="cross")  # one row each
-
-
-def node_measures(e: DataFrame, nodes: DataFrame) -> DataFrame:
-    """entity, betweenness, closeness, clustering, community, community_size of a bounded graph."""
-
-    def run(batches):
-        for pdf in batches:
-            for names, rows in zip(pdf["names"], pdf["rows"], strict=True):
-                g = Small(list(names), [(r["src"], r["dst"], r["shared"], r["weight"]) for r in rows])
-                between, close, _, _ = g.centralities()
-                group = g.communities()
-                weight = {c: sum(w for v in np.flatnonzero(group == c) for u, w in g.near[v].items() if group[u] == c) for c in set(group.tolist())}
-                order = sorted(weight, key=lambda c: (-(group == c).sum(), -weight[c], g.names[int(np.flatnonzero(group == c)[0])]))
-                number = {c: i for i, c in enumerate(order, 1)}
-                yield pd.DataFrame({"entity": g.names, "betweenness": between, "closeness": close, "clustering": g.clustering(), "community": [number[c] for c in group.tolist()], "community_size": [int((group == c).sum()) for c in group.tolist()]})
-
-    return small_graph(e, nodes).mapInPandas(run, "entity string, betweenness double, closeness double, clustering double, community long, community_size long")
-
-
-def graph_measures(e: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: mean shortest path and diameter of the largest component, mean clustering, assortativity, communities, modularity."""
-
-    def run(batches):
-        for pdf in batches:
-            for names, rows in zip(pdf["names"], pdf["rows"], strict=True):
-                g = Small(list(names), [(r["src"], r["dst"], r["shared"], r["weight"]) for r in rows])
-                _, _, mean, diameter = g.centralities()
-                group, c = g.communities(), g.clustering()
-                sizes = np.bincount(group) if len(group) else np.zeros(0)
-                yield pd.DataFrame({"mean_path": [mean], "diameter": [diameter], "mean_clustering": [float(c.mean()) if len(c) else 0.0], "assortativity": [g.assortativity()], "communities": [int((sizes > 0).sum())], "communities_of_two": [int((sizes > 1).sum())], "modularity": [g.modularity(group)]})
-
-    return small_graph(e, nodes).mapInPandas(run, "mean_path double, diameter double, mean_clustering double, assortativity double, communities long, communities_of_two long, modularity double")
+    return heavy.union(spanning_forest(e)).distinct()
+
+
+def clustering(e: DataFrame) -> DataFrame:
+    """entity, clustering of the linked entities: the geometric means of the scaled weights of their triangles, by their pairs of
+    neighbours."""
+    corner = weighted_triangles(e).select(F.explode(F.array("a", "b", "c")).alias("entity"), "ab", "bc", "ac")
+    top = e.agg(F.max("weight").alias("top"))  # one row
+    scaled = corner.join(F.broadcast(top), how="cross").groupBy("entity").agg(F.sum(F.cbrt(F.col("ab") / F.col("top") * F.col("bc") / F.col("top") * F.col("ac") / F.col("top"))).alias("t"))
+    degrees = both_ways(e).groupBy(F.col("src").alias("entity")).agg(F.count(F.lit(1)).alias("d"))
+    return degrees.join(scaled, "entity", "left").select("entity", F.coalesce(F.try_divide(2 * F.col("t"), F.nullif(F.col("d") * (F.col("d") - 1), F.lit(0))), F.lit(0.0)).alias("clustering"))
+
+
+def assortativity(e: DataFrame) -> DataFrame:
+    """One row: the correlation of the degrees at both ends of a link; 0 where they do not vary."""
+    d = both_ways(e).groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("d"))
+    ends = both_ways(e).select("src", "dst").join(d, "src").join(d.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst")
+    return ends.agg(F.when(F.min("d") < F.max("d"), F.corr("d", "d2")).otherwise(0.0).alias("assortativity"))
+
+
+def modularity(e: DataFrame, membership: DataFrame) -> DataFrame:
+    """One row: modularity of the groups in membership (entity, community); 0 without links."""
+    a = membership.select(F.col("entity").alias("src"), F.col("community").alias("c1"))
+    b = membership.select(F.col("entity").alias("dst"), F.col("community").alias("c2"))
+    per = both_ways(e).join(a, "src").join(b, "dst").groupBy("c1").agg(F.sum(F.when(F.col("c1") == F.col("c2"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("total"))
+    all_ = F.nullif(F.sum("total"), F.lit(0.0))
+    return per.agg(F.coalesce(F.sum("inside") / all_ - F.sum(F.col("total") * F.col("total")) / (all_ * all_), F.lit(0.0)).alias("modularity"))
+
+
+def node_measures(e: DataFrame, nodes: DataFrame, found: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """entity, betweenness, closeness, clustering, community, community_size; entities without links have zeros.
+
+    found, groups: what `paths.centralities` and `communities.communities` gave for the same graph, if both are there already.
+    """
+    if found is None or groups is None:
+        e, nodes = checkpointed(e), checkpointed(nodes)  # each measure reads them
+        found, groups = centralities(e, nodes), communities(e, nodes)
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return groups.join(found, "entity", "left").join(clustering(e), "entity", "left").select("entity", zero("betweenness"), zero("closeness"), zero("clustering"), "community", "community_size")
+
+
+def graph_measures(e: DataFrame, nodes: DataFrame, found: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """One row: mean shortest path and diameter of the largest component, mean clustering, assortativity, communities, modularity.
+
+    Of components of equal size the one with the least name counts. found, groups: as for node_measures.
+    """
+    if found is None or groups is None:
+        e, nodes = checkpointed(e), checkpointed(nodes)  # each measure reads them
+        found, groups = centralities(e, nodes), communities(e, nodes)
+    n = nodes.agg(F.countDistinct("entity").alias("n"))
+    sizes = groups.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    parts = [
+        component_paths(found),
+        clustering(e).agg(F.coalesce(F.sum("clustering"), F.lit(0.0)).alias("all_clustering")),
+        assortativity(e),
+        sizes.agg(F.count(F.lit(1)).alias("communities"), F.count_if(F.col("size") > 1).alias("communities_of_two")),
+        modularity(e, groups),
+    ]
+    row = n
+    for p in parts:
+        row = row.join(F.broadcast(p), how="cross")  # one row each
+    mean = F.coalesce(F.try_divide("all_clustering", F.nullif(F.col("n"), F.lit(0))), F.lit(0.0))
+    return row.select("mean_path", "diameter", mean.alias("mean_clustering"), "assortativity", "communities", "communities_of_two", "modularity")
 
 
 def ranked_network(papers: DataFrame, paper_id: str, entities: str, table: DataFrame, label: str, selected: DataFrame, per_node: int) -> dict[str, DataFrame]:
@@ -334,13 +215,14 @@ def ranked_network(papers: DataFrame, paper_id: str, entities: str, table: DataF
     nodes = selected.select("entity").distinct()
     e, nodes = checkpointed(edges(papers, paper_id, entities, nodes)), checkpointed(nodes)
     comp = components(e, nodes)
+    found, groups = checkpointed(centralities(e, nodes)), checkpointed(communities(e, nodes))
     metrics = table.select(F.col(label).alias("entity"), "publications", "citations", "total_rate", "mean_rate")
-    rows = selected.join(metrics, "entity", "left").na.fill(0).join(node_strength(e, nodes), "entity").join(node_measures(e, nodes), "entity").join(pagerank(e, nodes), "entity").join(comp, "entity")
+    rows = selected.join(metrics, "entity", "left").na.fill(0).join(node_strength(e, nodes), "entity").join(node_measures(e, nodes, found, groups), "entity").join(pagerank(e, nodes), "entity").join(comp, "entity")
     order = (F.desc("link_strength"), F.desc("collaborators"), F.desc("betweenness"), F.lower("entity"))
     ranking = positions(rows, *order, name="collaboration_rank").orderBy("collaboration_rank")
     shown = backbone(e, nodes, per_node)
     total = comp.agg(F.countDistinct("component").alias("components"), F.max("component_size").alias("largest_component"))
-    summary = density(e, nodes).join(F.broadcast(graph_measures(e, nodes)), how="cross").join(F.broadcast(total), how="cross").join(F.broadcast(shown.agg(F.count(F.lit(1)).alias("displayed_edges"))), how="cross")  # one row each
+    summary = density(e, nodes).join(F.broadcast(graph_measures(e, nodes, found, groups)), how="cross").join(F.broadcast(total), how="cross").join(F.broadcast(shown.agg(F.count(F.lit(1)).alias("displayed_edges"))), how="cross")  # one row each
     summary = summary.withColumn("largest_component_share", F.coalesce(F.try_divide(100.0 * F.col("largest_component"), F.nullif(F.col("nodes"), F.lit(0))), F.lit(0.0)))
     return {"ranking": ranking, "summary": summary, "edges": shown}
 
