@@ -208,13 +208,14 @@ def fill_ids(template: DataFrame, authors: DataFrame) -> DataFrame:
 
     authors: name, aid; a row per mention.
     """
-    known = authors.filter("aid != ''").groupBy("name").agg(F.collect_set("aid").alias("ids")).filter("size(ids) = 1").select("name", F.get("ids", F.lit(0)).alias("one"))
+    known = authors.filter("aid != ''").groupBy("name").agg(F.min("aid").alias("one"), F.max("aid").alias("last")).filter("one = last").select("name", "one")
     t = template
     for name, aid in (("variant", "variant_id"), ("canonical", "canonical_id")):
         t = t.join(known.select(F.col("name").alias(name), F.col("one").alias("f")), name, "left").withColumn(aid, F.when(F.coalesce(aid, F.lit("")) == "", F.coalesce("f", F.lit(""))).otherwise(F.col(aid))).drop("f")
-    ids = F.array_distinct(F.filter(F.concat(F.collect_set("variant_id").over(Window.partitionBy("canonical")), F.collect_set("canonical_id").over(Window.partitionBy("canonical"))), lambda x: x != ""))
-    t = t.withColumn("group_ids", ids)
-    return t.withColumn("canonical_id", F.when((F.col("canonical_id") == "") & (F.size("group_ids") == 1), F.get("group_ids", F.lit(0))).otherwise(F.col("canonical_id"))).drop("group_ids").select(*template.columns)
+    ids = t.select(F.col("canonical").alias("c"), F.explode(F.array("variant_id", "canonical_id")).alias("id")).filter("id != ''")
+    one = ids.groupBy("c").agg(F.min("id").alias("f"), F.max("id").alias("last")).filter("f = last").select("c", "f")  # a group's ids are not gathered
+    t = t.join(one, F.col("canonical").eqNullSafe(F.col("c")), "left")
+    return t.withColumn("canonical_id", F.when(F.col("canonical_id") == "", F.coalesce("f", F.lit(""))).otherwise(F.col("canonical_id"))).select(*template.columns)
 
 
 def author_candidates(mentions: DataFrame, threshold: float = 90.0, known: DataFrame | None = None, components=None) -> DataFrame:
