@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrid.llm.shared import cut, join_counted, mix, release, shingles, span_hashes, text_blocks, without_ids, word_spans
+from citegrid.llm.shared import cut, join_counted, mix, release, shingles, span_hashes, text_blocks, uncut, without_ids, word_spans
 
 WIDTH, PER_CENT = 5, 75
 TREES, DEPTH = 20, 2
@@ -43,6 +43,8 @@ AGREE = 16
 SLICE, UNIT = 2048, 512
 #: The first round over rare shingles takes one in SIFT of them: it joins most of what is similar at a fraction of the work.
 SIFT = 16
+#: Bits of the table that tells which documents' sets are wanted: so many a node, and at most 2^27 (16 MB).
+NODE_BITS, MOST_BITS = 64, 1 << 27
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -379,17 +381,41 @@ def _settle(members: DataFrame, per_cent: int) -> DataFrame:
     return members.select("slice", "node", "label", "grams").repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "a bigint, b bigint")
 
 
+def _marks(wanted: DataFrame) -> np.ndarray:
+    """A table of bits, a power of two of them, in which the bit of each wanted node's hash is set."""
+    most = 64
+    while most < MOST_BITS and most < NODE_BITS * wanted.count():
+        most *= 2
+    at = wanted.select(F.col("node").alias("v")).select(F.expr(f"xxhash64(v) & {most - 1}").alias("p"))
+    # one row per word of the table that is not 0
+    words = at.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.expr("cast(p & 63 as int)"))).alias("v")).toArrow()
+    table = np.zeros(most // 64, np.int64)
+    table[np.asarray(words["w"])] = np.asarray(words["v"])
+    return table.view(np.uint64)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """node and its full set (sorted distinct 64-bit hashes) for the wanted nodes."""
+    """node and its full set (sorted distinct 64-bit hashes) for the wanted nodes, and for some others whose bits meet theirs.
+
+    Documents stay where they are read: a table of bits tells each task which of them to look at, so no text is exchanged.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, flat, sizes in _block_sets(batches, 1, width):
+        marks = shared.value
+
+        def marked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = np.asarray(batch.column(2)).view(np.uint64) & np.uint64(64 * len(marks) - 1)
+                yield batch.filter(pa.array((marks[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1))
+
+        for block, flat, sizes in _block_sets(marked(), 1, width):
             ends = np.cumsum(sizes)
             raw = [flat[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([block.rows.column(0), pa.array(raw, pa.binary())], ["node", "grams"])
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("t"))
-    return texts.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, "node bigint, grams binary")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).cast("string").alias("t")).filter("node is not null")
+    return texts.withColumn("h", F.xxhash64("node")).mapInArrow(run, "node bigint, grams binary").filter("length(grams) > 0")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -440,12 +466,14 @@ def _rare(sets: DataFrame, per_cent: int) -> DataFrame:
     times = cut(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("times")), "times")
     known = join_counted(rows, times, ["gram"], "times")
     listed = known.groupBy("node").agg(F.collect_list(F.struct("gram", "times")).alias("x")).select("node", F.col("x.gram").alias("gram"), F.col("x.times").alias("times"))
-    return cut(listed.mapInArrow(pick, "gram bigint, node bigint, small boolean"), "rare")
+    rare = cut(listed.mapInArrow(pick, "gram bigint, node bigint, small boolean"), "rare")
+    uncut(rows, times)
+    return rare
 
 
 def _crowd_links(docs: DataFrame, crowd: DataFrame, signed: DataFrame, labels: DataFrame | None, found: list[DataFrame], id_col: str, text_col: str, width: int, per_cent: int, size: int) -> list[DataFrame]:
     """Links between the nodes of crowd (node), by the shingles that are rare among them. signed: node, sig, n_shingles."""
-    sets = cut(_sets(docs, crowd, id_col, text_col, width), "sets")
+    sets = cut(_sets(docs, crowd, id_col, text_col, width).join(crowd, "node", "left_semi"), "sets")
     rare = _rare(sets, per_cent)
     many = crowd.count() > SIFT * size
     about = cut(crowd.join(signed, "node"), "about")
@@ -461,6 +489,8 @@ def _crowd_links(docs: DataFrame, crowd: DataFrame, signed: DataFrame, labels: D
         cells = met.select(F.col("gram").alias("key"), F.col("sig").alias("ord"), "node", "label", F.lit(0).alias("t"), "n")
         open_ = cut(_unsettled(cells, size), "open")
         made.append(cut(_settle(open_.join(sets, "node"), per_cent), "links"))
+        uncut(open_)
+    uncut(sets, rare, about)
     return made
 
 
@@ -525,9 +555,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         # a node that had no candidate in its slices has its set not there yet
         late = cut(open_.select("node").distinct().join(sets.select("node"), "node", "left_anti"), "late")
         if late.limit(1).count():
-            sets = sets.unionByName(cut(_sets(docs, late, id_col, text_col, width), "sets"))
+            sets = sets.unionByName(cut(_sets(docs, late, id_col, text_col, width).join(late, "node", "left_semi"), "sets"))
         more = cut(_settle(open_.join(sets, "node"), per_cent), "links")
         crowd = cut(still.filter(F.col("n") > size).select("node").distinct(), "crowd")
+        uncut(sets, open_, pairs, regions)
         if more.limit(1).count():
             found.append(more)
             labels = components(_union(found))
