@@ -41,6 +41,8 @@ VALUES = TREES * DEPTH
 AGREE = 16
 #: Nodes of a cell or slice at most. A node counts as one for each UNIT shingles, so a cell's sets are bounded too.
 SLICE, UNIT = 2048, 512
+#: Rows that a task gathers before it sends them on; a cell or slice adds some thousands at most.
+SENT = 1 << 16
 #: The first round over rare shingles takes one in SIFT of them: it joins most of what is similar at a fraction of the work.
 SIFT = 16
 #: Bits of the table that tells which documents' sets are wanted: so many a node, and at most 2^27 (16 MB).
@@ -262,50 +264,59 @@ def _candidates(sorted_rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
+        held = 0
 
         def out():
             a, b, n = np.concatenate(found, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "agree"])
 
         for node, label, sig in _slices(batches, size):
+            before = len(found)
             if len(node) == 2:
                 n = int((sig[0] == sig[1]).sum())
                 if n >= AGREE and label[0] != label[1]:
                     found.append(np.array([[max(node)], [min(node)], [n]], np.int64))
             else:
                 found += _propose(node, label, sig)
-            if len(found) > 5000:
+            held += sum(x.shape[1] for x in found[before:])
+            if held > SENT:
                 yield out()
-                found = []
+                found, held = [], 0
         if found:
             yield out()
 
     return sorted_rows.select("key", "ord", "node", "label", "t").mapInArrow(run, "a bigint, b bigint, agree bigint")
 
 
+def _open_rows(cells: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]], number: int) -> Iterator[pa.RecordBatch]:
+    """slice (numbers after `number`), node, label of the cells' concerned nodes; a batch has SENT rows and a cell at most."""
+    ids, nodes, labels, held = [], [], [], 0
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, nodes, labels)], ["slice", "node", "label"])
+
+    for node, label, sig, tree, first in cells:
+        hit = _concerned(label, sig, tree, first)
+        if len(hit):
+            number += 1
+            held += len(hit)
+            ids.append(np.full(len(hit), number, np.int64))
+            nodes.append(node[hit])
+            labels.append(label[hit])
+        if held > SENT:
+            yield out()
+            ids, nodes, labels, held = [], [], [], 0
+    if ids:
+        yield out()
+
+
 def _unsettled(rows: DataFrame, size: int) -> DataFrame:
     """slice, node, label: the nodes of each cell that have a candidate in another component; a slice is one cell's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, ids, nodes, labels = TaskContext.get().partitionId() << 40, [], [], []
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, nodes, labels)], ["slice", "node", "label"])
-
-        for node, label, sig, tree, first in _cells(batches):
-            hit = _concerned(label, sig, tree, first)
-            if len(hit):
-                number += 1
-                ids.append(np.full(len(hit), number, np.int64))
-                nodes.append(node[hit])
-                labels.append(label[hit])
-            if len(ids) > 5000:
-                yield out()
-                ids, nodes, labels = [], [], []
-        if ids:
-            yield out()
+        return _open_rows(_cells(batches), TaskContext.get().partitionId() << 40)
 
     cells = _celled(rows, size).repartition("cell").sortWithinPartitions("cell", "side")
     return cells.select("cell", "side", "ord", "node", "label", "t").mapInArrow(run, "slice bigint, node bigint, label bigint")

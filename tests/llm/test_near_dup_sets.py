@@ -48,3 +48,15 @@ def test_uncut_deletes_one_table_only(spark):
     uncut(a)
     assert b.count() == 7
     assert not [p for p in Path(shared_dir(spark).removeprefix("file://")).iterdir() if p.name.startswith("one-")]
+
+
+def test_a_task_sends_what_it_found_by_rows():
+    """Wide cells: what a task holds follows the rows found, not the number of cells, and no cell's rows are lost or parted."""
+    n, cells = 256, 600
+    sig = np.arange(near_dup.VALUES, dtype=np.uint32)[None, :].repeat(n, 0)
+    rows = ((np.arange(c * n, (c + 1) * n), np.arange(c * n, (c + 1) * n), sig, 0, n) for c in range(cells))
+    got = list(near_dup._open_rows(rows, 7 << 40))
+    assert len(got) > 1 and max(len(b) for b in got) <= near_dup.SENT + n
+    whole = [np.concatenate([np.asarray(b.column(k)) for b in got]) for k in range(3)]
+    assert whole[1].tolist() == whole[2].tolist() == list(range(cells * n))
+    assert whole[0].tolist() == [(7 << 40) + 1 + c for c in range(cells) for _ in range(n)]
